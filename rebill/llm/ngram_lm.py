@@ -104,7 +104,7 @@ def _save(df: DataFrame, folder: str, keys: list[str], values: list[str], base:
         ks, vs = [], []
         for b in batches:
             ks.append(b["k"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63))
-            vs.append(b[values].to_numpy(np.float32))
+            vs.append(b[values].to_numpy(np.float64))
         if ks:
             name = f"{folder}/{uuid.uuid4().hex}"
             fs, path = _fs(name)
@@ -136,9 +136,9 @@ class Table:
         for _, rows, uri in parts:
             fs, path = _fs(uri)
             if os.path.exists(path + ".k"):
-                k, v = np.memmap(path + ".k", np.uint64, "r"), np.memmap(path + ".v", np.float32, "r")
+                k, v = np.memmap(path + ".k", np.uint64, "r"), np.memmap(path + ".v", np.float64, "r")
             else:
-                k, v = (np.frombuffer(fs.open_input_file(path + s).read(), t) for s, t in ((".k", np.uint64), (".v", np.float32)))
+                k, v = (np.frombuffer(fs.open_input_file(path + s).read(), t) for s, t in ((".k", np.uint64), (".v", np.float64)))
             self.parts.append((k, v.reshape(rows, width)))
         self.width = width
 
