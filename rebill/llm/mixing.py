@@ -68,6 +68,15 @@ def _fly(df: DataFrame, landing: bool) -> DataFrame:
             aim = (p[at] * size[at]).sum()
             best = min(range(1 << len(at)), key=lambda b: abs(sum(size[i] for j, i in enumerate(at) if b >> j & 1) - aim))
             p[at] = [best >> j & 1 for j in range(len(at))]
+            # Turning single draws over brings a lumpy small source nearer, each time by the best one.
+            off = aim - (p[at] * size[at]).sum()
+            for _ in range(50):
+                change = np.where(p > 0.5, -size, size)
+                i = int(np.argmin(np.abs(off - change)))
+                if abs(off - change[i]) >= abs(off):
+                    break
+                off -= change[i]
+                p[i] = 1 - p[i]
         g["p"] = p
         return g
 
