@@ -1,0 +1,49 @@
+"""Gaps, rhythm and sums of charges by account and merchant."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+# Rhythm, least and greatest days between charges, months.
+PERIODS = (("monthly", 20, 40, 1), ("quarterly", 80, 100, 3), ("semiannual", 170, 200, 6), ("annual", 330, 400, 12))
+
+
+def _between(lo: int, hi: int):
+    return lambda x: x.between(lo, hi)
+
+
+def drop_micro(tx: DataFrame) -> DataFrame:
+    return tx.where(F.abs("amount") >= 1)
+
+
+def charge_gaps(tx: DataFrame) -> DataFrame:
+    """Days since the previous charge of the same merchant in the account; null for the first."""
+    w = Window.partitionBy("account_id", "description").orderBy("date", "row_no")
+    return tx.withColumn("gap", F.datediff("date", F.lag("date").over(w)))
+
+
+def newest_charge(tx: DataFrame) -> DataFrame:
+    """The first row with the latest date of each account and merchant."""
+    w = Window.partitionBy("account_id", "description").orderBy(F.desc("date"), "row_no")
+    return tx.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def cadence(tx: DataFrame, min_events: int = 3) -> DataFrame:
+    """Accounts' merchants whose upper median gap and 60 % of all gaps fall into one rhythm."""
+    g = charge_gaps(drop_micro(tx)).groupBy("account_id", "description").agg(
+        F.count("*").alias("charges"), F.max("date").alias("last_charge"), F.sort_array(F.collect_list("gap")).alias("gaps"))
+    g = g.where((F.col("charges") >= min_events) & (F.size("gaps") > 0))
+    med = F.get("gaps", F.floor(F.size("gaps") / 2).cast("int"))
+    period, share, months = F.lit(None).cast("string"), F.lit(0), F.lit(None).cast("int")
+    for name, lo, hi, k in PERIODS:
+        fits = med.between(lo, hi)
+        period = F.when(fits, name).otherwise(period)
+        months = F.when(fits, k).otherwise(months)
+        share = F.when(fits, F.size(F.filter("gaps", _between(lo, hi)))).otherwise(share)
+    g = g.withColumn("period", period).withColumn("months", months).where(period.isNotNull() & (share >= F.size("gaps") * 0.6))
+    return g.select("account_id", "description", "charges", "last_charge", "period", F.add_months("last_charge", F.col("months")).alias("next_charge"))
+
+
+def monthly_all(tx: DataFrame) -> DataFrame:
+    return tx.groupBy("account_id", F.date_format("date", "MM.yyyy").alias("month")).agg(F.round(F.sum("amount"), 2).alias("spent"))
