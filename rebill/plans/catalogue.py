@@ -1,6 +1,7 @@
 """Queries of the statement analysis and their SQL."""
 
 from rebill.operators import rhythm
+from rebill.plans import oracles, subscriptions
 from rebill.sources.statements import SQL, statements
 
 QUERIES = {
@@ -24,3 +25,5 @@ ORACLES = {
     SELECT account_id, description, charges, last_charge, period, CAST(last_charge + to_months(CAST(k AS INT)) AS DATE) AS next_charge
     FROM p WHERE len(list_filter(gaps, lambda x: x BETWEEN lo AND hi)) >= len(gaps) * 0.6""",
 }
+QUERIES |= subscriptions.QUERIES
+ORACLES |= oracles.ORACLES
