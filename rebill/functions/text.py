@@ -5,6 +5,8 @@ Null descriptions count as empty ones; cells that are no date or number give nul
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,12 @@ def squeezed(c: Column | str) -> Column:
     return F.regexp_replace(translit(c), "[^A-Z0-9]", "")
 
 
+def squeezed_word(word: str) -> str:
+    """The same of a plain string, for literals."""
+    latin = word.upper().translate(str.maketrans(*dims.ONE_TO_ONE) | str.maketrans(dims.ONE_TO_MANY))
+    return re.sub("[^A-Z0-9]", "", latin)
+
+
 def normalize_description(c: Column | str) -> Column:
     """Latin words of two letters or more, without addresses, words with digits and stop words."""
     s = translit(c)
@@ -54,9 +62,7 @@ def canonical_brand(c: Column | str) -> Column:
     up = F.upper(_col(c))
     hits = []
     for name, category, icon, keys in dims.BRANDS:
-        found = F.lit(False)
-        for key in keys:
-            found = found | up.contains(key)
+        found = up.rlike("|".join(map(re.escape, keys)))
         hits.append(F.when(found, F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(icon).alias("icon"))))
     return F.coalesce(*hits)
 

@@ -96,35 +96,46 @@ def stable_charges(it: DataFrame) -> DataFrame:
 
 
 def price_change(it: DataFrame) -> DataFrame:
-    """GROUP and the last confirmed change of price: two levels of two payments or more, one right after the other."""
-    g = it.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("date", "glue", "row_no", F.abs("amount").alias("p")))).alias("xs")).where(F.size("xs") >= 4)
-    g = g.select(*GROUP, "xs", F.reverse(F.transform("xs", lambda x: x["p"])).alias("rev"))
+    """GROUP and the last confirmed change of price: two levels of two payments or more, one right after the other.
+
+    One fold from the newest payment back: ``phase`` 0 is in the new level, 1 in the old one, 2 past both.
+    """
+    pay = F.struct((-F.unix_date("date")).alias("d"), (-F.col("glue")).alias("g"), (-F.col("row_no")).alias("r"), F.abs("amount").alias("p"), "date")
+    g = it.groupBy(*GROUP).agg(F.array_sort(F.collect_list(pay)).alias("xs"))
 
     def same(a: Column, b: Column) -> Column:
         return (a + b > 0) & (F.abs(a - b) / ((a + b) / 2) <= SAME)
 
     def middle(level: Column) -> Column:
+        n = F.size(level)
         s = F.array_sort(level)
-        n = F.size(s)
         return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
-    def level(prices: Column | str) -> Column:
-        start = F.struct(F.array().cast("array<double>").alias("l"), F.lit(True).alias("open"))
-
-        def step(acc: Column, x: Column) -> Column:
-            fits = acc["open"] & ((F.size(acc["l"]) == 0) | F.coalesce(same(x, middle(acc["l"])), F.lit(False)))
-            return F.struct(F.when(fits, F.concat(acc["l"], F.array(x))).otherwise(acc["l"]).alias("l"), fits.alias("open"))
+    def fits(level: Column, p: Column) -> Column:
+        return (F.size(level) == 0) | F.coalesce(same(p, middle(level)), F.lit(False))
 
-        return F.aggregate(prices, start, step, lambda a: a["l"])
-
-    g = g.withColumn("now", level("rev")).withColumn("at", F.size("rev") - F.size("now")).where((F.size("now") >= 2) & (F.col("at") > 0))
-    g = g.withColumn("was", level(F.slice("rev", F.size("now") + 1, F.col("at")))).where(F.size("was") >= 2)
-    g = g.withColumn("a", middle(F.col("was"))).withColumn("b", middle(F.col("now"))).where(~same(F.col("a"), F.col("b")))
-    diff = F.round(F.col("b") - F.col("a"), 2)
-    g = g.withColumn("difference", diff).withColumn("percent_change", F.round(diff / F.col("a") * 100, 2)).where(F.abs("percent_change") >= SAME * 100)
-    return g.select(
-        *GROUP, F.when(F.col("difference") > 0, "up").otherwise("down").alias("direction"), F.round("a", 2).alias("old_price"), F.round("b", 2).alias("new_price"),
-        "difference", "percent_change", F.get("xs", F.col("at"))["date"].alias("changed_at"))
+    def step(acc: Column, x: Column) -> Column:
+        p = x["p"]
+        new = (acc["phase"] == 0) & fits(acc["new"], p)
+        old = ~new & (acc["phase"] < 2) & ((acc["phase"] == 0) | fits(acc["old"], p))
+        return F.struct(
+            F.when(new, F.concat(acc["new"], F.array(p))).otherwise(acc["new"]).alias("new"), F.when(old, F.concat(acc["old"], F.array(p))).otherwise(acc["old"]).alias("old"),
+            F.when(new, x["date"]).otherwise(acc["at"]).alias("at"), F.when(new, 0).when(old, 1).otherwise(2).alias("phase"))
+
+    def change(acc: Column) -> Column:
+        """No struct or one: the filters sit in the array, where the optimiser doesn't copy the fold for each of them."""
+        both = F.filter(F.array(acc), lambda x: (F.size(x["new"]) >= 2) & (F.size(x["old"]) >= 2))
+        level = F.transform(both, lambda x: F.struct(middle(x["old"]).alias("a"), middle(x["new"]).alias("b"), x["at"].alias("at")))
+        moved = F.filter(level, lambda x: ~same(x["a"], x["b"]))
+        diff = F.transform(moved, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.round(x["b"] - x["a"], 2).alias("d"), x["at"].alias("at")))
+        out = F.transform(diff, lambda x: F.struct(
+            F.when(x["d"] > 0, "up").otherwise("down").alias("direction"), F.round(x["a"], 2).alias("old_price"), F.round(x["b"], 2).alias("new_price"),
+            x["d"].alias("difference"), F.round(x["d"] / x["a"] * 100, 2).alias("percent_change"), x["at"].alias("changed_at")))
+        return F.filter(out, lambda x: F.abs(x["percent_change"]) >= SAME * 100)
+
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("new"), none.alias("old"), F.lit(None).cast("date").alias("at"), F.lit(0).alias("phase"))
+    return g.select(*GROUP, F.inline(F.aggregate("xs", start, step, change)))
 
 
 def next_charge(last: Column, months: Column, as_of: Column) -> Column:

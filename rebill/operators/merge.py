@@ -43,8 +43,9 @@ def glue_to_brand(c: Column | str) -> Column:
     s = text.squeezed(c)
     tests = []
     for name, *_ in dims.BRANDS:
-        brand = text.squeezed(F.lit(name))
-        tests.append(F.when((F.length(brand) >= 4) & (s.contains(brand) | ((F.length(s) >= 4) & brand.contains(s))), F.lit(name)))
+        brand = text.squeezed_word(name)
+        if len(brand) >= 4:
+            tests.append(F.when(s.contains(brand) | ((F.length(s) >= 4) & F.lit(brand).contains(s)), name))
     return F.coalesce(*tests)
 
 

@@ -1,11 +1,23 @@
 import duckdb
 import pytest
 
-from rebill.plans import catalogue
+from rebill.plans import catalogue, subscriptions
 
 D = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def shared_frames(spark):
+    """Queries of this module share the cached groups and subscriptions instead of planning them anew each time."""
+    whole = {name: getattr(subscriptions, name) for name in ("_fine", "_subs")}
+    for name, build in whole.items():
+        kept = build(spark, D).cache()
+        setattr(subscriptions, name, lambda s, d, kept=kept: kept)
+    yield
+    for name, build in whole.items():
+        setattr(subscriptions, name, build)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
