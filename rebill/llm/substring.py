@@ -1,7 +1,7 @@
 """Substring dedup: MinHash banding of paragraphs, exact verification, removals by components.
 
 A paragraph is a line, or a sentence of it. Paragraphs of MIN_PARAGRAPH words or more that agree on a band are verified
-by exact Jaccard of their word shingles, and each component keeps its first occurrence by (doc_id, position). Of a
+by exact Jaccard of their word shingles, first with a centre of each band, then with all that are still apart, and each component keeps its first occurrence by (doc_id, position). Of a
 document, runs of repeated paragraphs (with the short ones between them) of MIN_RUN words or more are removed.
 Null texts stay null and empty ones empty; paragraphs shorter than the least length never match. Rows that
 repeat a doc_id lose the paragraphs at the positions that repeat in any of them.
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from rebill.llm.common import components, read, spread_join, stored
-from rebill.llm.minhash import band_keys, shingles, superminhash
+from rebill.llm.common import components, mix, read, spread_join, stored
+from rebill.llm.minhash import band_keys, shingles
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 8, 3
@@ -51,8 +51,16 @@ def _long_parts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pos long, key long")
 
 
+def signature(sets: list[np.ndarray], slots: int) -> np.ndarray:
+    """MinHash signatures [set, slot] of non-empty sets, by one hash function a slot."""
+    at = np.cumsum([0] + [len(x) for x in sets[:-1]])
+    every = np.concatenate(sets)
+    salts = mix(np.arange(1, slots + 1, dtype=np.uint64))
+    return np.column_stack([np.minimum.reduceat(mix(every ^ salt), at) for salt in salts])
+
+
 def _banded(docs: DataFrame) -> DataFrame:
-    """key, band: of the paragraphs of each task, every distinct one of a batch once."""
+    """key, n (shingles), band: of the paragraphs of each task, every distinct one of a batch once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
         for b in batches:
@@ -64,11 +72,11 @@ def _banded(docs: DataFrame) -> DataFrame:
                             found.setdefault(_digest(t[s:e]), t[s:e])
                 if found:
                     sets = [shingles(x, WIDTH, seen) for x in found.values()]
-                    sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets), BANDS * ROWS)
-                    bands = band_keys(sig, BANDS, ROWS).view(np.int64)
-                    yield pd.DataFrame({"key": np.repeat(np.array(list(found), np.int64), BANDS), "band": bands.ravel()})
+                    bands = band_keys(signature(sets, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+                    sizes = [len(x) for x in sets]
+                    yield pd.DataFrame({"key": np.repeat(np.array(list(found), np.int64), BANDS), "n": np.repeat(sizes, BANDS), "band": bands.ravel()})
 
-    return docs.select("text").mapInPandas(run, "key long, band long")
+    return docs.select("text").mapInPandas(run, "key long, n int, band long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -91,19 +99,50 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("part").alias("part")).mapInPandas(hashed, "key long, set array<long>")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, pos: the paragraphs that are not the first of their component."""
-    parts = stored(_long_parts(docs))
-    member = _banded(docs)
-    buckets = member.groupBy("band").agg(F.min("key").alias("c"), F.max("key").alias("hi")).where("c <> hi").select("band", "c")
-    pairs = stored(spread_join(member, buckets, "band").where("key <> c").select(F.col("key").alias("a"), F.col("c").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = stored(_sets(docs, wanted))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard of PERCENT or more."""
     both = spread_join(pairs, sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a")
     both = spread_join(both, sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
-    roots = stored(components(stored(links)))
+    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
+
+
+def _fits(a: str, b: str):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+
+
+def _roots(docs: DataFrame) -> DataFrame:
+    """node, root: components of the paragraphs (keys) that share a band and reach PERCENT."""
+    member = stored(_banded(docs).distinct())
+    buckets = member.groupBy("band").agg(F.min(F.struct("key", "n")).alias("m"), F.max("key").alias("hi"))
+    buckets = buckets.where("m.key <> hi").select("band", F.col("m.key").alias("c"), F.col("m.n").alias("cn"))
+    inside = stored(spread_join(member, buckets, "band"))
+    star = stored(inside.where((F.col("key") != F.col("c")) & _fits("n", "cn")).select(F.col("key").alias("a"), F.col("c").alias("b")).distinct())
+    sets = stored(_sets(docs, inside.select("key").distinct()))
+    linked = stored(_verified(star, sets))
+    roots = components(linked)
+    # Then every pair of a bucket that the links to its centre left in different components.
+    tagged = spread_join(inside.select(F.col("key").alias("node"), "n", "band", "c"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tagged = stored(tagged)
+    sizes = tagged.groupBy("band", "root").count().groupBy("band").agg(
+        F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    parts = F.least(F.lit(64), F.ceil(F.col("all") / 500)).cast("int")  # tasks of a large bucket
+    rest = stored(spread_join(tagged, sizes.select("band", F.col("m.root").alias("major"), parts.alias("parts")), "band"))
+    minor = rest.where("root <> major and node <> c").select(
+        "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    every = rest.where("node <> c").select(
+        "band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "major", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    once = (F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))
+    cross = minor.join(every, ["band", "part"]).where((F.col("ra") != F.col("rb")) & _fits("na", "nb") & once)
+    cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = stored(_verified(cross, sets))
+    return roots if more.isEmpty() else components(linked.unionByName(more))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, pos: the paragraphs that are not the first of their component."""
+    parts = stored(_long_parts(docs))
+    roots = stored(_roots(docs))
     counts = parts.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
     classes = counts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     tops = classes.groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("n")).where("n > 1")
