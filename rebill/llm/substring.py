@@ -3,7 +3,9 @@
 A paragraph is a line, or a sentence of it. Paragraphs of MIN_PARAGRAPH words or more that agree on a band are verified
 by exact Jaccard of their word shingles, first with a centre of each band, then with all that are still apart, and each component keeps its first occurrence by (doc_id, position). Of a
 document, runs of repeated paragraphs (with the short ones between them) of MIN_RUN words or more are removed.
-Null texts stay null and empty ones empty; paragraphs shorter than the least length never match. Rows that
+Besides, windows of MIN_RUN words that occur earlier are removed wherever they begin, so of equal passages of
+MIN_RUN + SPACING - 1 words or more only the first stays, be they cut in mid-sentence or made of short sentences.
+Null texts stay null and empty ones empty; paragraphs shorter than the least length match in windows only. Rows that
 repeat a doc_id lose the paragraphs at the positions that repeat in any of them.
 """
 
@@ -19,12 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from rebill.llm.common import components, mix, read, spread_join, stored
+from rebill.llm.common import components, mix, read, spread_join, stored, words
 from rebill.llm.minhash import band_keys, shingles
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 8, 3
 MIN_PARAGRAPH, MIN_RUN = 8, 25
+SPACING = 16  # words between the chosen windows of a passage, at most
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACES = " \t\n\v\f\r"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_AFTER = re.compile(r"[ \t]*")
 _PART = re.compile(r"[^\n.!?]*(?:[.!?](?![\s])[^\n.!?]*)*(?:[.!?]+[^\S\n]*)?\n?")
 
 
@@ -150,40 +157,131 @@ def repeated(docs: DataFrame) -> DataFrame:
     return spread_join(parts, keyed, "key").where(F.struct("doc_id", "pos") != F.col("top")).select("doc_id", "pos")
 
 
+def window_hashes(t: str | None, seen: dict) -> np.ndarray:
+    """Hashes of every window of MIN_RUN words of a text, by its first word."""
+    hs = []
+    for w in words(t):
+        h = seen.get(w)
+        if h is None:
+            if len(seen) > 500_000:
+                seen.clear()
+            h = seen[w] = xxhash.xxh3_64_intdigest(w)
+        hs.append(h)
+    n = len(hs) - MIN_RUN + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hs) - 1, _BASE)]))
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hs, np.uint64) * up)])
+        return mix((sums[MIN_RUN:] - sums[:-MIN_RUN]) * down)
+
+
+def chosen(hs: np.ndarray) -> np.ndarray:
+    """Positions of the least hash of every SPACING neighbouring windows; equal passages choose equal ones."""
+    if len(hs) <= SPACING:
+        return np.array([hs.argmin()]) if len(hs) else np.zeros(0, np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hs, SPACING).argmin(axis=1) + np.arange(len(hs) - SPACING + 1))
+
+
+def _windows(docs: DataFrame, near: bool) -> DataFrame:
+    """h, doc_id, th, pos: chosen windows, or (``near``) all windows fewer than SPACING words from ``_at`` (th, pos)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for b in batches:
+            for s0 in range(0, len(b), 200):
+                part = b.iloc[s0:s0 + 200]
+                out = [np.zeros((4, 0), np.int64)]
+                for i, th, t, *at in zip(*(part[c] for c in part.columns)):
+                    hs = window_hashes(t, seen)
+                    if near:
+                        use = np.zeros(len(hs), bool)
+                        for p in (r["pos"] for r in at[0] if r["th"] == th):
+                            use[max(0, p - SPACING + 1):p + SPACING] = True
+                        pos = np.flatnonzero(use)
+                    else:
+                        pos = chosen(hs)
+                    out.append(np.stack([hs[pos].view(np.int64), np.full(len(pos), i), np.full(len(pos), th), pos]))
+                yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=["h", "doc_id", "th", "pos"])
+
+    cols = ["doc_id", "th", "text"] + (["_at"] if near else [])
+    return docs.where("doc_id is not null and text is not null").select(*cols).mapInPandas(run, "h long, doc_id long, th long, pos int")
+
+
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, pos) of windows that occur earlier, and (doc_id, th) of whole texts that do; th is a text's hash.
+
+    Equal passages of MIN_RUN + SPACING - 1 words choose an equal window at least every SPACING words, so all their
+    windows are near a chosen one that repeats; only these are compared one by one. Whole copies need no windows.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    ids = stored(docs.where("text is not null").select("doc_id", "th").distinct())
+    firsts = ids.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("th", "first")
+    copies = stored(spread_join(ids, firsts, "th").where("doc_id > first").select("doc_id", "th"))
+    seeds = stored(_windows(docs, False).join(copies, ["doc_id", "th"], "left_anti").distinct())
+    twice = seeds.groupBy("h").count().where("count > 1").select("h")
+    hits = spread_join(seeds, twice, "h").groupBy("doc_id").agg(F.collect_set(F.struct("th", "pos")).alias("_at"))  # bounded by one text
+    dense = stored(_windows(docs.join(hits, "doc_id"), True).distinct())
+    place = F.struct("doc_id", "th", "pos")
+    tops = dense.groupBy("h").agg(F.min(place).alias("top"), F.count("*").alias("n")).where("n > 1").select("h", "top")
+    later = spread_join(dense, tops, "h").where(place != F.col("top")).select("doc_id", "th", "pos")
+    return later, copies
+
+
+def cuts(t: str, bad: set[int], windows: list[int], whole: bool) -> list[tuple[int, int, int]]:
+    """(start, end, words) to cut: runs of MIN_RUN words or more of repeated paragraphs and windows together."""
+    runs: list[list[int]] = [[0, len(t)]] if whole else []
+    run_: list[int] | None = None
+    for p, (s, e, n) in enumerate(paragraphs(t) if bad else []):
+        if p in bad:
+            run_ = [run_[0] if run_ else s, e]
+        elif run_ and n >= MIN_PARAGRAPH:
+            runs.append(run_)
+            run_ = None
+    runs += [run_] if run_ else []
+    if windows:
+        at = [m.span() for m in _WORD.finditer(t)]
+        runs += [[at[p][0], _AFTER.match(t, at[p + MIN_RUN - 1][1]).end()] for p in windows]
+    joined: list[list[int]] = []
+    for s, e in sorted(runs):
+        if joined and (s <= joined[-1][1] or not t[joined[-1][1]:s].strip(_SPACES)):
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
+    counted = [(s, e, len(words(t[s:e]))) for s, e in joined]
+    return [c for c in counted if c[2] >= MIN_RUN]
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and ``removed`` (words), ``spans`` (start, end)."""
-    gone = stored(repeated(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("_pos")))  # bounded by one text
-    rows = docs.join(gone, "doc_id", "left")
+    later, copies = repeated_windows(docs)
+    # No nulls, which would make floats of the longs: of a paragraph th is 0, of a whole copy pos.
+    kind = lambda k: F.lit(k).alias("kind")
+    gone = repeated(docs).select("doc_id", kind(0), F.lit(0).cast("long").alias("th"), F.col("pos").cast("int").alias("pos"))
+    gone = gone.unionByName(later.select("doc_id", kind(1), "th", "pos")).unionByName(copies.select("doc_id", kind(2), "th", F.lit(0).alias("pos")))
+    gone = stored(gone.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "th", "pos")).alias("_gone")))  # bounded by one text
+    rows = docs.join(gone, "doc_id", "left").withColumn("_th", F.xxhash64("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, removed, spans = [], [], []
-            for t, pos in zip(b["text"], b["_pos"]):
-                cut: list[list[int]] = []
-                if pos is not None and isinstance(t, str):
-                    bad = set(int(p) for p in pos)
-                    run_: list[int] | None = None
-                    for p, (s, e, n) in enumerate(paragraphs(t)):
-                        if p in bad:
-                            run_ = [run_[0], e, run_[2] + n + run_[3], 0] if run_ else [s, e, n, 0]
-                        elif run_ and n < MIN_PARAGRAPH:
-                            run_[3] += n
-                        elif run_:
-                            cut.append(run_)
-                            run_ = None
-                    cut += [run_] if run_ else []
-                    cut = [c for c in cut if c[2] >= MIN_RUN]
+            for t, th, gone_ in zip(b["text"], b["_th"], b["_gone"]):
+                cut: list[tuple[int, int, int]] = []
+                if gone_ is not None and isinstance(t, str):
+                    bad = {r["pos"] for r in gone_ if r["kind"] == 0}
+                    own = [(r["kind"], r["pos"]) for r in gone_ if r["kind"] and r["th"] == th]
+                    cut = cuts(t, bad, [p for k, p in own if k == 1], (2, 0) in own)
                 out, at = [], 0
-                for s, e, *_ in cut:
+                for s, e, _ in cut:
                     out.append(t[at:s])
                     at = e
                 texts.append("".join(out) + t[at:] if isinstance(t, str) else None)
                 removed.append(sum(c[2] for c in cut))
                 spans.append([[c[0], c[1]] for c in cut])
-            yield b.drop(columns="_pos").assign(text=texts, removed=removed, spans=spans)
+            yield b.drop(columns=["_gone", "_th"]).assign(text=texts, removed=removed, spans=spans)
 
     schema = StructType([*[StructField(f.name, f.dataType, True) for f in docs.schema.fields], StructField("removed", LongType()), StructField("spans", ArrayType(ArrayType(LongType())))])
-    return rows.select(*docs.columns, "_pos").mapInPandas(run, schema)
+    return rows.select(*docs.columns, "_gone", "_th").mapInPandas(run, schema)
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,19 @@ def test_members_of_a_bucket_with_a_far_centre_are_compared(spark):
                 root[max(x, y)] = min(x, y)
     gone = {r.doc_id for r in substring.repeated(docs).collect()}
     assert gone == {i for i in sets if find(i) != i}
+
+
+def test_passages_cut_mid_sentence_and_of_short_sentences(spark):
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    long = " ".join(word() + ("." if i % 20 == 19 else "") for i in range(300)).split(" ")
+    short = " ".join(word() + ("." if i % 4 == 3 else "") for i in range(60))
+    other = [" ".join(word() for _ in range(30)) for _ in range(8)]
+    rows = [(1, " ".join(long) + "\n" + short)]
+    rows += [(i, f"{other[2 * i - 4]} {' '.join(long[37 * i:37 * i + 51])} {other[2 * i - 3]}") for i in (2, 3, 4)]
+    rows += [(9, f"{other[6]} {short} {other[7]}"), (10, rows[0][1]), (11, None)]
+    got = {r.doc_id: (r.text, r.removed) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[10] == ("", 360) and got[11] == (None, 0)
+    for i, n in ((2, 51), (3, 51), (4, 51), (9, 60)):
+        k = 6 if i == 9 else 2 * i - 4
+        assert got[i] == (f"{other[k]} {other[k + 1]}", n)
