@@ -7,11 +7,12 @@ fingerprints. Extra columns are ignored; rows that repeat a doc_id are kept as t
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebill.llm.common import read, stored
+from rebill.llm.common import read, spread_join, stored
 
 _PAIR = 4294967297  # bits i and i + 32 of a hash, counted in the halves of one long
 
@@ -39,21 +40,49 @@ def likeness(a: str, b: str):
     return 1.0 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(64.0)
 
 
-def near_pairs(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """All pairs (fp_a < fp_b) of distinct fingerprints within ``radius`` bits, through radius + 1 block tables.
+def _bits(low: int, high: int):
+    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
 
-    Two fingerprints within the radius agree on a whole block; equal ones are one row, so copies make no pairs.
+
+def near_pairs(fps: DataFrame, radius: int = 3, hot: int = 256) -> DataFrame:
+    """All pairs (fp_a < fp_b) of distinct fingerprints within ``radius`` bits, through permuted block tables.
+
+    Of 2 * radius blocks two fingerprints within the radius agree on ``radius`` at least, so every choice of these is a
+    table. Keys of more than ``hot`` fingerprints are split by one more of radius + 1 blocks of the whole, on one of which
+    the pair agrees, too. Equal fingerprints are one row, so copies make no pairs.
     """
-    n = radius + 1
+    n = max(2 * radius, 1)
     edges = [64 * i // n for i in range(n + 1)]
-    blocks = F.array(*[
-        F.struct(F.lit(i).alias("no"), F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1) if edges[i + 1] - edges[i] < 64 else F.lit(-1)).alias("bits"))
-        for i in range(n)
-    ])
-    t = fps.select("fp").where("fp is not null").distinct().select("fp", F.explode(blocks).alias("k"))
-    a, b = t.select(F.col("fp").alias("fp_a"), "k"), t.select(F.col("fp").alias("fp_b"), "k")
+    tables = list(combinations(range(n), radius))
+    keys = F.array(*[F.struct(F.lit(i).alias("no"), F.xxhash64(F.lit(i), *[_bits(edges[j], edges[j + 1]) for j in t]).alias("bits")) for i, t in enumerate(tables)])
+    t = stored(fps.select("fp").where("fp is not null").distinct().select("fp", F.explode(keys).alias("k")).select("fp", "k.no", "k.bits"))
+    sizes = t.groupBy("no", "bits").count().where("count > 1")
+    t = stored(t.join(sizes, ["no", "bits"]))
+    # The bits outside of a table's blocks differ in radius places at most: one of radius + 1 parts of them agrees.
+    out = []
+    for i, chosen in enumerate(tables):
+        free = [b for j in range(n) if j not in chosen for b in range(edges[j], edges[j + 1])]
+        parts = [free[len(free) * r // (radius + 1):len(free) * (r + 1) // (radius + 1)] for r in range(radius + 1)]
+        masks = [sum(1 << b for b in x) for x in parts]
+        masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+        out.append(F.array(*[F.struct(F.lit(r).alias("r"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("more")) for r, m in enumerate(masks)]))
+    split = F.element_at(F.array(*out), F.col("no") + 1)
+    whole = F.array(F.struct(F.lit(-1).alias("r"), F.lit(0).cast("long").alias("more")))
+    t = stored(t.select("fp", "no", "bits", F.explode(F.when(F.col("count") > hot, split).otherwise(whole)).alias("x")).select("fp", "no", "bits", "x.*"))
+    on = ["no", "bits", "r", "more"]
+    a, b = t.withColumnRenamed("fp", "fp_a"), t.withColumnRenamed("fp", "fp_b")
     near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    return a.join(b, "k").where((F.col("fp_a") < F.col("fp_b")) & (near <= radius)).select("fp_a", "fp_b", near.alias("distance")).distinct()
+    return a.join(b, on).where((F.col("fp_a") < F.col("fp_b")) & (near <= radius)).select("fp_a", "fp_b", near.alias("distance")).distinct()
+
+
+def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """fp, near_fingerprints (other fingerprints within ``radius``) and near_rows (other rows with these or the same)."""
+    classes = stored(fps.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n")))
+    pairs = stored(near_pairs(classes, radius).select("fp_a", "fp_b"))
+    both = pairs.unionByName(pairs.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b")))
+    sums = both.join(classes.withColumnRenamed("fp", "fp_b"), "fp_b").groupBy(F.col("fp_a").alias("fp")).agg(F.count("*").alias("c"), F.sum("n").alias("r"))
+    zero = F.lit(0).cast("long")
+    return classes.join(sums, "fp", "left").select("fp", F.coalesce("c", zero).alias("near_fingerprints"), (F.coalesce("r", zero) + F.col("n") - 1).alias("near_rows"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -100,6 +129,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("efp")))
     nxt = one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("nfp"))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return one.join(nxt, "next_id").select(
+    counted = stored(near_counts(one.select("fp")))
+    return spread_join(one.join(nxt, "next_id"), counted, "fp").select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("efp").alias("edited_fingerprint"),
-        likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"))
+        likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"), "near_fingerprints", "near_rows")
