@@ -3,6 +3,7 @@
 A document is taken floor(target / source size) times, and once more with the fractional rest as inclusion
 probability. Flights move these through the null space of (document count, word count) in blocks of a source;
 what a block leaves open (two documents at most) flies on in the next round, until one small landing a source.
+Single draws are turned over where that brings a source nearer its target, whatever its size.
 Null texts have no words; a source without words has target 0. Repeated rows are drawn apart from each other.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rebill.llm.common import read, spread_join, stored
@@ -55,33 +56,80 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return p
 
 
-def _fly(df: DataFrame, landing: bool) -> DataFrame:
+def turned(p: np.ndarray, size: np.ndarray, off: float) -> np.ndarray:
+    """p with single draws turned over, each time the best one, while that brings ``off`` (words wanting) nearer 0.
+
+    Where words are still wanting, the same is tried after turning over each of the largest documents for good.
+    """
+    best, start = (abs(off), p), [None, *np.argsort(-size, kind="stable")[:12]]
+    for at in start:
+        q, left = p.copy(), off
+        if at is not None:
+            left -= -size[at] if q[at] > 0.5 else size[at]
+            q[at] = 1 - q[at]
+        while len(q):
+            change = np.where(q > 0.5, -size, size)
+            if at is not None:
+                change[np.abs(change) > abs(left)] = 0  # nothing overshoots
+                change[at] = 0
+            i = int(np.argmin(np.abs(left - change)))
+            if abs(left - change[i]) >= abs(left):
+                break
+            left -= change[i]
+            q[i] = 1 - q[i]
+        if abs(left) < best[0]:
+            best = (abs(left), q)
+        if best[0] < 1:
+            break
+    return best[1]
+
+
+def _fly(df: DataFrame) -> DataFrame:
+    """One flight a block; sources of one block land."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["h", "doc_id"], kind="stable").reset_index(drop=True)
         p, size = g["p"].to_numpy(float).copy(), g["size"].to_numpy(float)
         x = np.column_stack([np.ones(len(p)), size / max(size.mean(), 1)])
         rng = np.random.default_rng(xxhash.xxh3_64_intdigest(f"{g['source'][0]}|{g['block'][0]}|{len(g)}"))
         p = flight(p, x, rng)
-        if landing:
+        if g["blocks"][0] <= 1:
             # The few open units take the rounding nearest to their words.
             at = np.flatnonzero((p > 0) & (p < 1))
             aim = (p[at] * size[at]).sum()
             best = min(range(1 << len(at)), key=lambda b: abs(sum(size[i] for j, i in enumerate(at) if b >> j & 1) - aim))
             p[at] = [best >> j & 1 for j in range(len(at))]
             # Turning single draws over brings a lumpy small source nearer, each time by the best one.
-            off = aim - (p[at] * size[at]).sum()
-            for _ in range(50):
-                change = np.where(p > 0.5, -size, size)
-                i = int(np.argmin(np.abs(off - change)))
-                if abs(off - change[i]) >= abs(off):
-                    break
-                off -= change[i]
-                p[i] = 1 - p[i]
+            p = turned(p, size, aim - (p[at] * size[at]).sum())
         g["p"] = p
         return g
 
-    cols = ["doc_id", "source", "size", "h", "block", "p"]
-    return df.select(*cols).groupBy("source", "block").applyInPandas(run, "doc_id long, source string, size long, h long, block long, p double")
+    cols = ["doc_id", "source", "size", "h", "block", "blocks", "p"]
+    return df.select(*cols).groupBy("source", "block").applyInPandas(run, "doc_id long, source string, size long, h long, block long, blocks long, p double")
+
+
+def _turn_over(live: DataFrame, drawn: DataFrame) -> DataFrame:
+    """doc_id, h, p (1 or -1): draws to turn over in sources of several blocks, whose landing saw only open documents.
+
+    The candidates are some drawn and undrawn documents of each size class of a source (sizes below 64, then 16 an
+    octave), which bounds a source's group by its size classes.
+    """
+    want = live.where("blocks > 1").groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("want"))
+    have = drawn.groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("have"))
+    same = want["source"].eqNullSafe(have["source"])
+    off = want.join(have, same).select(want["source"].alias("s"), (F.col("want") - F.col("have")).alias("off"))  # a row a source
+    group = F.when(F.col("size") < 64, F.col("size")).otherwise(64 + F.floor(F.log2("size") * 16))
+    rows = drawn.where("size > 0").withColumn("class", group)
+    nth = F.row_number().over(Window.partitionBy("source", "p", "class").orderBy("h", "doc_id"))
+    rows = rows.withColumn("nth", nth).where("nth <= 8")
+    rows = rows.join(F.broadcast(off), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "h", "p", "off")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["h", "doc_id"], kind="stable").reset_index(drop=True)
+        p = g["p"].to_numpy(float)
+        g["p"] = turned(p, g["size"].to_numpy(float), float(g["off"][0])) - p
+        return g.loc[g["p"] != 0, ["doc_id", "h", "p"]]
+
+    return rows.groupBy("source").applyInPandas(run, "doc_id long, h long, p double")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -100,21 +148,22 @@ def mix(docs: DataFrame) -> DataFrame:
     live = rows.where("p > 1e-9")
     many = max([c for *_, c in sums] or [0])
     done, blocks = [], -(-many // BLOCK)
+    first = live = stored(live)
     while True:
-        last = blocks <= 1
-        live = stored(_fly(live, last))
+        live = stored(_fly(live))
         done.append(live.where("p = 0 or p = 1"))
-        if last:
+        if blocks <= 1:
             break
-        live = live.where("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / (BLOCK // 2)))
+        up = [F.floor(F.col("block") / (BLOCK // 2)).alias("block"), F.ceil(F.col("blocks") / (BLOCK // 2)).alias("blocks")]
+        live = live.where("p > 0 and p < 1").select("doc_id", "source", "size", "h", *up, "p")
         blocks = -(-blocks // (BLOCK // 2))
     drawn = done[0]
     for d in done[1:]:
         drawn = drawn.unionByName(d)
+    drawn = drawn.select("doc_id", "h", "source", "size", "p")
+    drawn = drawn.select("doc_id", "h", "p").unionByName(_turn_over(first, drawn))
     # Twins (equal id, text and source) are told apart by nothing, so their draws are added up and shared out.
     drawn = drawn.groupBy("doc_id", "h").agg(F.sum("p").cast("long").alias("extra"))
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("size"))
     out = rows.join(drawn, ["doc_id", "h"], "left").withColumn("nth", nth)
     times = F.col("whole") + F.when(F.col("nth") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)
