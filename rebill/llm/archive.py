@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebill.llm.common import read, shared_dir, spread_join
+from rebill.llm.common import read, shared_dir
 
 REVISIT_BYTES = 1000
 
@@ -23,7 +23,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     meta = keyed.select("page_id", "url", "key", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("n"))
     large = F.col("n") >= revisit_bytes
     heads = meta.where(large).groupBy("key").agg(F.max("page_id").alias("origin"))
-    big = spread_join(meta.where(large), heads, "key")
+    big = meta.where(large).join(heads, "key")
     every = big.unionByName(meta.where(~large).withColumn("origin", F.col("page_id")))
     response = F.col("origin") == F.col("page_id")
     header = F.concat(
@@ -41,7 +41,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, header, payload (null for revisits), sound: each record rebuilt and held against its digests."""
     headers = spark.read.parquet(f"{path}/headers").withColumn("type", F.regexp_extract("header", r"WARC-Type: (\w+)", 1))
     payloads = spark.read.parquet(f"{path}/payloads")
-    full = spread_join(headers.where("type = 'response'"), payloads, "key", "left")
+    full = headers.where("type = 'response'").join(payloads, "key", "left")
     full = full.withColumn("sound", F.coalesce((F.sha2("payload", 256) == F.col("key")) & (F.sha1("payload") == F.regexp_extract("header", "Payload-Digest: sha1:([0-9a-f]+)", 1)), F.lit(False)))
     rest = headers.where("type <> 'response'").withColumn("payload", F.lit(None).cast("binary")).withColumn("sound", F.lit(True))
     return full.unionByName(rest)

@@ -1,8 +1,9 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, exact verification and union-find grouping.
 
 Null, empty and blank texts have no shingles and link with nothing. Texts with fewer words than a shingle have their
-whole sequence as one shingle. Rows that repeat a doc_id count once. Any document reaches its component's
-smallest doc_id; equal sets are one class, so copies are never expanded into pairs.
+whole sequence as one shingle. Equal sets are one class, so copies are never expanded into pairs. Every row is
+returned; rows that repeat a doc_id are one document with several texts, which links wherever one of them does.
+Rows with a null doc_id stand alone: component_id is null and kept is true.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebill.llm.common import components, mix, read, spread_join, stored, words
+from rebill.llm.common import components, dropped, mix, read, rolled, runs, sliced, stored, word_table
+from rebill.llm.linking import link
 
-BANDS, ROWS = 32, 4
-CHUNK = 200_000  # shingles handled at once
+BANDS, ROWS = 40, 6  # a pair at 0.8 misses every band with a chance of 5e-6
+CHUNK = 50_000  # shingles handled at once
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
-    """Signatures [n, m] of n sets given as flat uint64 elements and their owners (ascending).
+    """Signatures [n, m] of n sets given as flat uint64 elements and their owners (ascending); m is at most 256.
 
     Each element draws a random permutation (a swap a round) and a fresh fraction a round; a slot keeps its least
     round + fraction. A set stops when every slot holds less than the next round.
@@ -31,45 +32,38 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.
     for s in range(0, len(elements), CHUNK):
         el, own = elements[s:s + CHUNK], owner[s:s + CHUNK].astype(np.int64)
         perm = np.tile(np.arange(m, dtype=np.uint8), (len(el), 1))
+        rows = np.arange(len(el))
         for j in range(m):
             u = mix(el ^ mix(np.full(1, j + 1, np.uint64)))
-            rows = np.arange(len(el))
             k = j + (u % np.uint64(m - j)).astype(np.int64)
             slot = perm[rows, k].copy()
-            perm[rows, k] = perm[:, j]
+            perm[rows, k] = perm[rows, j]
             value = (np.uint64(j) << np.uint64(40)) | (mix(u) >> np.uint64(24))
             np.minimum.at(best, own * m + slot, value)
             # Sets whose slots are all below the next round need no more of it.
-            ids = np.unique(own)
+            ids = own[np.concatenate([[True], own[1:] != own[:-1]])]
             full = best.reshape(n, m)[ids].max(axis=1) < (np.uint64(j + 1) << np.uint64(40))
             if full.all():
                 break
             if full.any():
-                keep = ~np.isin(own, ids[full])
-                el, own, perm = el[keep], own[keep], perm[keep]
+                done = np.zeros(n, bool)
+                done[ids[full]] = True
+                keep = ~done[own]
+                el, own, rows = el[keep], own[keep], rows[keep]
     return best.reshape(n, m)
 
 
-def shingles(text: str | None, width: int, seen: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; ``seen`` is a bounded table of words."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.uint64)
-    hs = []
-    for w in ws:
-        h = seen.get(w)
-        if h is None:
-            if len(seen) > 500_000:
-                seen.clear()
-            h = seen[w] = xxhash.xxh3_64_intdigest(w)
-        hs.append(h)
-    h = np.array(hs, np.uint64)
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, len(h) if len(h) < width else width, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i: len(h) - k + 1 + i])
-    return np.unique(out)
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text."""
+    w = word_table(texts)
+    every = rolled(w.hash, width)
+    out = []
+    for i, j in zip(w.first[:-1], w.first[1:]):
+        if j - i >= width:
+            out.append(np.unique(every[i:j - width + 1]))
+        else:
+            out.append(runs(w.hash, np.array([i]), np.array([j - i])) if j > i else np.zeros(0, np.uint64))
+    return out
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -81,96 +75,78 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit digests [2, set] of sets; 0 for empty ones."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat, some = np.concatenate([np.zeros(0, np.uint64), *sets]), np.flatnonzero(sizes)
+    out = np.zeros((2, len(sets)), np.int64)
+    if len(some):
+        at = (np.cumsum(sizes) - sizes)[some]
+        with np.errstate(over="ignore"):
+            for k in (0, 1):
+                out[k, some] = mix(np.add.reduceat(mix(flat ^ np.uint64(k + 1)), at) + sizes[some].astype(np.uint64)).view(np.int64)
+    return out
+
+
 def sign(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), keys (a band), sig (a byte a slot)."""
-    schema = "doc_id long, n_shingles long, digest string, keys array<long>, sig binary"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for b in batches:
-            ids, sets = b["doc_id"].to_numpy(), [shingles(t, width, seen) for t in b["text"]]
-            if not len(ids):
-                continue
-            sizes = np.array([len(x) for x in sets])
-            sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), bands * rows)
-            keys = band_keys(sig, bands, rows).view(np.int64)
-            low = (mix(sig) & np.uint64(255)).astype(np.uint8)
-            yield pd.DataFrame({
-                "doc_id": ids, "n_shingles": sizes,
-                "digest": [xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in sets],
-                "keys": [k if n else None for k, n in zip(keys, sizes)], "sig": [x.tobytes() for x in low]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "set": [shingles(t, width, seen).view(np.int64) for t in b["text"]]})
-
-    needed = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(needed.mapInPandas(run, "doc_id long, set array<long>"))
-    left = spread_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    both = spread_join(left.select("a", "b", "sa"), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
+    """doc_id, n_shingles, node (digest of the set, null if empty), keys (a band)."""
+    schema = "doc_id long, n_shingles long, node long, keys array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = shingle_sets(b["text"], width)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            some = np.flatnonzero(sizes)
+            keys = np.zeros((len(sets), bands), np.int64)
+            if len(some):
+                sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(some)), sizes[some]), len(some), bands * rows)
+                keys[some] = band_keys(sig, bands, rows).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, (len(sets) + 1) * bands, bands, dtype=np.int32), keys.ravel())
+            node = pa.array(_digests(sets)[0], mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes), node, lists], names=["doc_id", "n_shingles", "node", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """node and its set, of ``rows`` (node, text) whose text has the set that node is a digest of."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = shingle_sets(b["text"], width)
+            node = b["node"].to_numpy()
+            keep = np.flatnonzero(_digests(sets)[0] == node)
+            ends = np.cumsum([0] + [len(sets[i]) for i in keep]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in keep]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.ListArray.from_arrays(ends, flat)], names=["node", "set"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(sign(docs, width))
-    heads = stored(signed.where("digest is not null").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "n_shingles", "keys", "sig")).alias("r")).select("digest", "r.*"))
-    # Members of buckets that hold two classes or more; every bucket's centre is its first class by a fixed order.
-    order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("c"), F.col("n_shingles").alias("cn"))
-    member = heads.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    buckets = member.groupBy("key").agg(F.min(order).alias("m"), F.count("*").alias("size")).where("size > 1").select("key", "m.*")
-    inside = stored(spread_join(member, buckets, "key"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures allow a link (six deviations below the wanted share are left in)."""
-        a = heads.select(F.col("doc_id").alias("a"), F.col("sig").alias("ga"))
-        b = heads.select(F.col("doc_id").alias("b"), F.col("sig").alias("gb"))
-        both = spread_join(spread_join(pairs, a, "a"), b, "b")
-
-        def run(batches):
-            for x in batches:
-                if len(x):
-                    ga, gb = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(len(x), -1) for c in ("ga", "gb"))
-                    x = x.assign(est=(ga == gb).mean(axis=1))
-                yield x.reindex(columns=["a", "b", "est"])
-
-        low = percent / 100 - 6 * (0.25 * 0.64 / (BANDS * ROWS)) ** 0.5
-        return both.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long, est double").where(F.col("est") >= low)
-
-    close = F.least("n_shingles", "cn") * 100 >= F.greatest("n_shingles", "cn") * percent
-    star = stored(likely(inside.where((F.col("c") != F.col("doc_id")) & close).select(F.col("doc_id").alias("a"), F.col("c").alias("b")).distinct()))
-    # First the likeliest centre of each class (the earliest by the order among likely ones) ...
-    first = star.where(F.col("est") >= percent / 100 - 0.08).groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("o"), "b")).alias("m")).select("a", "m.b")
-    linked = stored(verified(stored(first), docs, width, percent))
-    roots = components(linked)
-    # ... then every pair of a bucket that the first links left in different components.
-    tagged = spread_join(inside.withColumnRenamed("doc_id", "node"), roots, "node", "left").select("key", "node", "n_shingles", "c", F.coalesce("root", "node").alias("root"))
-    mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = stored(spread_join(tagged, mixed, "key"))
-    sizes = rest.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("major"))
-    rest = stored(spread_join(rest, sizes, "key"))
-    minor = rest.where("root <> major").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-    every = rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"), "major")
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    cross = minor.join(every, "key").where((F.col("ra") != F.col("rb")) & fits & ((F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))))
-    cross = stored(likely(cross.select("a", "b").distinct()).select("a", "b"))
-    links = linked.unionByName(verified(cross, docs, width, percent))
-    roots = stored(components(stored(links)))
-    final = heads.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("rep"))
-    out = spread_join(signed.select("doc_id", "n_shingles", "digest"), final, "digest", "left")
-    comp = F.coalesce("rep", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"))
+    # A class of equal sets is named by its digest; its head is its smallest doc_id.
+    one = signed.where("node is not null and doc_id is not null")
+    heads = stored(one.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
+    member = heads.select("node", F.posexplode("keys").alias("no", "key")).select("node", F.xxhash64("no", "key").alias("bucket"))
+    twice = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    inside = stored(member.join(twice, "bucket"))
+    wanted = stored(inside.select("node").distinct().join(heads.select("node", "doc_id"), "node"))
+    sets = stored(_sets(docs.join(wanted, "doc_id"), width))
+    roots = link(inside, sets, percent)
+    dropped(inside, wanted, sets)
+    # Texts of one doc_id are one document, so their classes are one.
+    several = one.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    same = stored(one.select("doc_id", "node").join(several, "doc_id").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct())
+    if not same.isEmpty():
+        roots = components(same.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    classes = stored(heads.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
+    final = stored(classes.join(least, "root").select("node", "least"))
+    out = signed.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rebill.llm.common import read, spread_join, stored
+from rebill.llm.common import read, stored
 
 BLOCK = 2000  # documents of a flight, about
 CAP = 3
@@ -142,7 +142,7 @@ def mix(docs: DataFrame) -> DataFrame:
         [(s, n, aim[s], aim[s] / n if n else 0.0, max(1, -(-c // BLOCK))) for s, n, c in sums],
         "source string, source_size long, target double, ratio double, blocks long")
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
-    rows = spread_join(rows.withColumn("k", key("source")), table.withColumn("k", key("source")).drop("source"), "k").drop("k")
+    rows = rows.withColumn("k", key("source")).join(table.withColumn("k", key("source")).drop("source"), "k").drop("k")
     rows = rows.withColumn("whole", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
     rows = stored(rows.withColumn("block", F.pmod(F.col("h"), F.col("blocks"))))
     live = rows.where("p > 1e-9")

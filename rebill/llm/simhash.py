@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebill.llm.common import read, spread_join, stored
+from rebill.llm.common import read, stored
 
 _PAIR = 4294967297  # bits i and i + 32 of a hash, counted in the halves of one long
 
@@ -130,6 +130,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("nfp"))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     counted = stored(near_counts(one.select("fp")))
-    return spread_join(one.join(nxt, "next_id"), counted, "fp").select(
+    return one.join(nxt, "next_id").join(counted, "fp").select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("efp").alias("edited_fingerprint"),
         likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"), "near_fingerprints", "near_rows")

@@ -1,287 +1,256 @@
 """Substring dedup: MinHash banding of paragraphs, exact verification, removals by components.
 
-A paragraph is a line, or a sentence of it. Paragraphs of MIN_PARAGRAPH words or more that agree on a band are verified
-by exact Jaccard of their word shingles, first with a centre of each band, then with all that are still apart, and each component keeps its first occurrence by (doc_id, position). Of a
-document, runs of repeated paragraphs (with the short ones between them) of MIN_RUN words or more are removed.
-Besides, windows of MIN_RUN words that occur earlier are removed wherever they begin, so of equal passages of
-MIN_RUN + SPACING - 1 words or more only the first stays, be they cut in mid-sentence or made of short sentences.
-Null texts stay null and empty ones empty; paragraphs shorter than the least length match in windows only. Rows that
-repeat a doc_id lose the paragraphs at the positions that repeat in any of them.
+A paragraph is a sentence or a line of a text. Paragraphs of MIN_PARAGRAPH words or more that share a band are linked where
+the exact Jaccard of their word shingles reaches PERCENT; each component keeps its first occurrence by (doc_id,
+position), every other one is repeated. A verified passage need not begin or end with a paragraph: windows of MIN_RUN
+words that occur earlier are repeated wherever they begin, so of equal passages of MIN_RUN + SPACING - 1 words or more
+only the first stays, be they cut in mid-sentence or made of short sentences. Runs of MIN_RUN repeated words or more are
+cut, with shorter paragraphs that lie between repeated words.
+
+Null texts stay null and empty ones empty. Places are (doc_id, word), so rows that repeat a doc_id do not repeat each
+other, and of several texts each loses what it holds at its place. Rows with a null doc_id are left as they are.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from rebill.llm.common import components, mix, read, spread_join, stored, words
-from rebill.llm.minhash import band_keys, shingles
+from rebill.llm.common import Words, dropped, mix, read, rolled, runs, sliced, stored, word_table
+from rebill.llm.linking import link
+from rebill.llm.minhash import band_keys
 
 WIDTH, PERCENT = 5, 80
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 6, 2  # tuned for recall: a pair at 0.8 shares a band with a chance of 0.998
 MIN_PARAGRAPH, MIN_RUN = 8, 25
 SPACING = 16  # words between the chosen windows of a passage, at most
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = " \t\n\v\f\r"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_AFTER = re.compile(r"[ \t]*")
-_PART = re.compile(r"[^\n.!?]*(?:[.!?](?![\s])[^\n.!?]*)*(?:[.!?]+[^\S\n]*)?\n?")
-
-
-def paragraphs(text: str | None) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the lines and sentences of a text; together they are the whole text."""
-    out = []
-    for m in _PART.finditer(text or ""):
-        if m.end() > m.start():
-            out.append((m.start(), m.end(), len(m.group().encode("utf-8", "surrogatepass").split())))
-    return out
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
+
+
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of the paragraphs of all texts: they end with a line, a text or a word that ends in . ! or ?"""
+    n = len(w.hash)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = _ENDS[w.data[w.end - 1]]
+    lines = np.flatnonzero(w.data == 10)
+    last[:-1] |= np.searchsorted(lines, w.start[1:]) > np.searchsorted(lines, w.end[:-1])
+    last[w.first[1:][w.first[1:] > 0] - 1] = True
+    start = np.concatenate([[0], np.flatnonzero(last[:-1]) + 1])
+    return start, np.diff(np.append(start, n))
+
 
+def _kept_paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, key) of the paragraphs of the least length; the key is a hash of their words."""
+    start, size = paragraphs(w)
+    long = size >= MIN_PARAGRAPH
+    return start[long], size[long], runs(w.hash, start[long], size[long]).view(np.int64)
 
-def _digest(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(s.encode("utf-8", "surrogatepass").lower().split())) - (1 << 63)
+
+def signature(shingle: np.ndarray, at: np.ndarray, slots: int) -> np.ndarray:
+    """MinHash signatures [set, slot] of the sets shingle[at[i] : at[i + 1]], by one hash function a slot."""
+    out = np.empty((len(at), slots), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, (a, b) in enumerate(mix(np.arange(2, 2 * slots + 2, dtype=np.uint64)).reshape(slots, 2)):
+            x = (shingle ^ b) * (a | np.uint64(1))
+            out[:, i] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), at)
+    return out
 
 
-def _long_parts(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, key (hash of its words) of paragraphs of the least length."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, p, _digest(t[s:e])) for i, t in zip(b["doc_id"], b["text"]) for p, (s, e, n) in enumerate(paragraphs(t)) if n >= MIN_PARAGRAPH]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "key"])
+def _shingles(w: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat shingles of paragraphs and where those of each begin."""
+    n = size - WIDTH + 1
+    at = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(at, n) + np.repeat(start, n)
+    return rolled(w.hash, WIDTH)[place], at
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pos long, key long")
 
+def _places(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (its first word), n (words), key of every paragraph of the least length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            w = word_table(b["text"])
+            start, size, key = _kept_paragraphs(w)
+            doc = np.searchsorted(w.first, start, "right") - 1
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key)], names=["doc_id", "pos", "n", "key"])
 
-def signature(sets: list[np.ndarray], slots: int) -> np.ndarray:
-    """MinHash signatures [set, slot] of non-empty sets, by one hash function a slot."""
-    at = np.cumsum([0] + [len(x) for x in sets[:-1]])
-    every = np.concatenate(sets)
-    salts = mix(np.arange(1, slots + 1, dtype=np.uint64))
-    return np.column_stack([np.minimum.reduceat(mix(every ^ salt), at) for salt in salts])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, n int, key long")
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """key, n (shingles), band: of the paragraphs of each task, every distinct one of a batch once."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for b in batches:
-            for s0 in range(0, len(b), 200):
-                found: dict[int, str] = {}
-                for t in b["text"].iloc[s0:s0 + 200]:
-                    for s, e, n in paragraphs(t):
-                        if n >= MIN_PARAGRAPH:
-                            found.setdefault(_digest(t[s:e]), t[s:e])
-                if found:
-                    sets = [shingles(x, WIDTH, seen) for x in found.values()]
-                    bands = band_keys(signature(sets, BANDS * ROWS), BANDS, ROWS).view(np.int64)
-                    sizes = [len(x) for x in sets]
-                    yield pd.DataFrame({"key": np.repeat(np.array(list(found), np.int64), BANDS), "n": np.repeat(sizes, BANDS), "band": bands.ravel()})
-
-    return docs.select("text").mapInPandas(run, "key long, n int, band long")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, set of the paragraphs with a wanted key."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = {}
-            for t in b["text"]:
-                for s, e, n in paragraphs(t):
-                    if n >= MIN_PARAGRAPH:
-                        rows.setdefault(_digest(t[s:e]), t[s:e])
-            yield pd.DataFrame({"key": list(rows), "part": list(rows.values())}).astype({"key": "int64"})
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for b in batches:
-            yield pd.DataFrame({"key": b["key"], "set": [shingles(t, WIDTH, seen).view(np.int64) for t in b["part"]]})
-
-    parts = docs.select("text").mapInPandas(run, "key long, part string")
-    return parts.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("part").alias("part")).mapInPandas(hashed, "key long, set array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard of PERCENT or more."""
-    both = spread_join(pairs, sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a")
-    both = spread_join(both, sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
-
-
-def _fits(a: str, b: str):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
-def _roots(docs: DataFrame) -> DataFrame:
-    """node, root: components of the paragraphs (keys) that share a band and reach PERCENT."""
-    member = stored(_banded(docs).distinct())
-    buckets = member.groupBy("band").agg(F.min(F.struct("key", "n")).alias("m"), F.max("key").alias("hi"))
-    buckets = buckets.where("m.key <> hi").select("band", F.col("m.key").alias("c"), F.col("m.n").alias("cn"))
-    inside = stored(spread_join(member, buckets, "band"))
-    star = stored(inside.where((F.col("key") != F.col("c")) & _fits("n", "cn")).select(F.col("key").alias("a"), F.col("c").alias("b")).distinct())
-    sets = stored(_sets(docs, inside.select("key").distinct()))
-    linked = stored(_verified(star, sets))
-    roots = components(linked)
-    # Then every pair of a bucket that the links to its centre left in different components.
-    tagged = spread_join(inside.select(F.col("key").alias("node"), "n", "band", "c"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tagged = stored(tagged)
-    sizes = tagged.groupBy("band", "root").count().groupBy("band").agg(
-        F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    parts = F.least(F.lit(64), F.ceil(F.col("all") / 500)).cast("int")  # tasks of a large bucket
-    rest = stored(spread_join(tagged, sizes.select("band", F.col("m.root").alias("major"), parts.alias("parts")), "band"))
-    minor = rest.where("root <> major and node <> c").select(
-        "band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    every = rest.where("node <> c").select(
-        "band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "major", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    once = (F.col("rb") == F.col("major")) | (F.col("a") < F.col("b"))
-    cross = minor.join(every, ["band", "part"]).where((F.col("ra") != F.col("rb")) & _fits("na", "nb") & once)
-    cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = stored(_verified(cross, sets))
-    return roots if more.isEmpty() else components(linked.unionByName(more))
+    """node (key of a paragraph), bucket: those of a slice of texts once each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            w = word_table(b["text"])
+            start, size, key = _kept_paragraphs(w)
+            key, one = np.unique(key, return_index=True)
+            if len(key):
+                flat, at = _shingles(w, start[one], size[one])
+                bucket = band_keys(signature(flat, at, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, BANDS)), pa.array(bucket.ravel())], names=["node", "bucket"])
+
+    return docs.select("text").mapInArrow(run, "node long, bucket long")
+
+
+def _wanted_sets(rows: DataFrame) -> DataFrame:
+    """node, set of the paragraphs that ``rows`` (text, wanted: their first words) want."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            w = word_table(b["text"])
+            start, size, key = _kept_paragraphs(w)
+            want = np.concatenate([np.zeros(0, np.int64), *[w.first[i] + np.array(p, np.int64) for i, p in enumerate(b["wanted"].to_pylist())]])
+            one = np.flatnonzero(np.isin(start, want))
+            sets = []
+            if len(one):
+                flat, at = _shingles(w, start[one], size[one])
+                sets = [np.unique(x) for x in np.split(flat, at[1:])]
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.ListArray.from_arrays(ends, flat)], names=["node", "set"])
+
+    return rows.select("text", "wanted").mapInArrow(run, "node long, set array<long>")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, pos: the paragraphs that are not the first of their component."""
-    parts = stored(_long_parts(docs))
-    roots = stored(_roots(docs))
-    counts = parts.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
-    classes = counts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    tops = classes.groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("n")).where("n > 1")
-    keyed = stored(spread_join(classes.select("key", "root"), tops, "root").select("key", "top"))
-    return spread_join(parts, keyed, "key").where(F.struct("doc_id", "pos") != F.col("top")).select("doc_id", "pos")
-
-
-def window_hashes(t: str | None, seen: dict) -> np.ndarray:
-    """Hashes of every window of MIN_RUN words of a text, by its first word."""
-    hs = []
-    for w in words(t):
-        h = seen.get(w)
-        if h is None:
-            if len(seen) > 500_000:
-                seen.clear()
-            h = seen[w] = xxhash.xxh3_64_intdigest(w)
-        hs.append(h)
-    n = len(hs) - MIN_RUN + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hs) - 1, _BASE)]))
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hs, np.uint64) * up)])
-        return mix((sums[MIN_RUN:] - sums[:-MIN_RUN]) * down)
+    """doc_id, pos, n: the paragraphs that are not the first of their component."""
+    docs = docs.where("doc_id is not null and text is not null")
+    places = stored(_places(docs))
+    # Banding is done twice, as its rows are many and those that share a bucket are few.
+    mixed = stored(_banded(docs).groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"))
+    inside = stored(_banded(docs).join(mixed, "bucket").select("bucket", "node").distinct())
+    counts = stored(places.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "pos")).alias("top"), F.count("*").alias("n")))
+    wanted = inside.select("node").distinct().join(counts, "node").groupBy("top.doc_id").agg(F.collect_set("top.pos").alias("wanted"))  # of one text
+    sets = stored(_wanted_sets(docs.join(wanted, "doc_id")).dropDuplicates(["node"]))
+    roots = link(inside, sets, PERCENT)
+    classes = counts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tops = classes.groupBy("root").agg(F.min("top").alias("first"), F.sum("n").alias("all")).where("all > 1").select("root", "first")
+    keyed = stored(classes.join(tops, "root").select(F.col("node").alias("key"), "first"))
+    out = stored(places.join(keyed, "key").where(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "n"))
+    dropped(places, mixed, inside, counts, sets, keyed)
+    return out
 
 
-def chosen(hs: np.ndarray) -> np.ndarray:
-    """Positions of the least hash of every SPACING neighbouring windows; equal passages choose equal ones."""
-    if len(hs) <= SPACING:
-        return np.array([hs.argmin()]) if len(hs) else np.zeros(0, np.int64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hs, SPACING).argmin(axis=1) + np.arange(len(hs) - SPACING + 1))
+def chosen(hs: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of the least hash of every SPACING neighbouring windows of each text; equal passages choose equal ones.
+
+    first, last: of each text the first window and the place after its last; a text of fewer windows chooses one.
+    """
+    use = np.zeros(len(hs), bool)
+    if len(hs) >= SPACING:
+        low = np.lib.stride_tricks.sliding_window_view(hs, SPACING).argmin(axis=1) + np.arange(len(hs) - SPACING + 1)
+    for i, j in zip(first, last):
+        if j - i >= SPACING:
+            use[low[i:j - SPACING + 1]] = True
+        elif j > i:
+            use[i + hs[i:j].argmin()] = True
+    return np.flatnonzero(use)
 
 
 def _windows(docs: DataFrame, near: bool) -> DataFrame:
-    """h, doc_id, th, pos: chosen windows, or (``near``) all windows fewer than SPACING words from ``_at`` (th, pos)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        for b in batches:
-            for s0 in range(0, len(b), 200):
-                part = b.iloc[s0:s0 + 200]
-                out = [np.zeros((4, 0), np.int64)]
-                for i, th, t, *at in zip(*(part[c] for c in part.columns)):
-                    hs = window_hashes(t, seen)
-                    if near:
-                        use = np.zeros(len(hs), bool)
-                        for p in (r["pos"] for r in at[0] if r["th"] == th):
-                            use[max(0, p - SPACING + 1):p + SPACING] = True
-                        pos = np.flatnonzero(use)
-                    else:
-                        pos = chosen(hs)
-                    out.append(np.stack([hs[pos].view(np.int64), np.full(len(pos), i), np.full(len(pos), th), pos]))
-                yield pd.DataFrame(np.concatenate(out, axis=1).T, columns=["h", "doc_id", "th", "pos"])
-
-    cols = ["doc_id", "th", "text"] + (["_at"] if near else [])
-    return docs.where("doc_id is not null and text is not null").select(*cols).mapInPandas(run, "h long, doc_id long, th long, pos int")
-
-
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, pos) of windows that occur earlier, and (doc_id, th) of whole texts that do; th is a text's hash.
+    """h, doc_id, pos: chosen windows, or (``near``) all windows fewer than SPACING words from those in ``hits``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            w = word_table(b["text"])
+            hs = rolled(w.hash, MIN_RUN)
+            first, last = w.first[:-1], np.maximum(w.first[1:] - MIN_RUN + 1, w.first[:-1])
+            if near:
+                use = np.zeros(len(hs), bool)
+                for i, j, hits in zip(first, last, b["hits"].to_pylist()):
+                    for p in hits:
+                        use[max(i, i + p - SPACING + 1):min(j, i + p + SPACING)] = True
+                at = np.flatnonzero(use)
+            else:
+                at = chosen(hs, first, last)
+            doc = np.searchsorted(w.first, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(hs[at].view(np.int64)), b["doc_id"].take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32))], names=["h", "doc_id", "pos"])
+
+    return docs.select("doc_id", "text", *(["hits"] if near else [])).mapInArrow(run, "h long, doc_id long, pos int")
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, n of windows that occur earlier, and of whole texts that do.
 
     Equal passages of MIN_RUN + SPACING - 1 words choose an equal window at least every SPACING words, so all their
     windows are near a chosen one that repeats; only these are compared one by one. Whole copies need no windows.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    ids = stored(docs.where("text is not null").select("doc_id", "th").distinct())
-    firsts = ids.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("th", "first")
-    copies = stored(spread_join(ids, firsts, "th").where("doc_id > first").select("doc_id", "th"))
-    seeds = stored(_windows(docs, False).join(copies, ["doc_id", "th"], "left_anti").distinct())
-    twice = seeds.groupBy("h").count().where("count > 1").select("h")
-    hits = spread_join(seeds, twice, "h").groupBy("doc_id").agg(F.collect_set(F.struct("th", "pos")).alias("_at"))  # bounded by one text
-    dense = stored(_windows(docs.join(hits, "doc_id"), True).distinct())
-    place = F.struct("doc_id", "th", "pos")
-    tops = dense.groupBy("h").agg(F.min(place).alias("top"), F.count("*").alias("n")).where("n > 1").select("h", "top")
-    later = spread_join(dense, tops, "h").where(place != F.col("top")).select("doc_id", "th", "pos")
-    return later, copies
-
-
-def cuts(t: str, bad: set[int], windows: list[int], whole: bool) -> list[tuple[int, int, int]]:
-    """(start, end, words) to cut: runs of MIN_RUN words or more of repeated paragraphs and windows together."""
-    runs: list[list[int]] = [[0, len(t)]] if whole else []
-    run_: list[int] | None = None
-    for p, (s, e, n) in enumerate(paragraphs(t) if bad else []):
-        if p in bad:
-            run_ = [run_[0] if run_ else s, e]
-        elif run_ and n >= MIN_PARAGRAPH:
-            runs.append(run_)
-            run_ = None
-    runs += [run_] if run_ else []
-    if windows:
-        at = [m.span() for m in _WORD.finditer(t)]
-        runs += [[at[p][0], _AFTER.match(t, at[p + MIN_RUN - 1][1]).end()] for p in windows]
+    docs = docs.where("doc_id is not null and text is not null")
+    ids = docs.select("doc_id", F.xxhash64("text").alias("th"))
+    firsts = ids.groupBy("th").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("th", "first")
+    copies = stored(ids.join(firsts, "th").where("doc_id > first").select("doc_id").distinct())
+    seeds = stored(_windows(docs, False).join(copies, "doc_id", "left_anti"))
+    place = F.struct("doc_id", "pos")
+    twice = seeds.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
+    hits = stored(seeds.join(twice, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("hits")))  # bounded by one text
+    dropped(seeds)
+    dense = stored(_windows(docs.join(hits, "doc_id"), True))
+    tops = dense.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h", "lo")
+    later = stored(dense.join(tops, "h").where(place != F.col("lo")).select("doc_id", "pos", F.lit(MIN_RUN).alias("n")))
+    dropped(hits, dense)
+    return later.unionByName(copies.select("doc_id", F.lit(0).alias("pos"), F.lit(2147483647).alias("n")))
+
+
+def cuts(w: Words, i: int, start: np.ndarray, size: np.ndarray, gone: list[dict]) -> list[tuple[int, int]]:
+    """(first word, end) in text ``i`` of the runs to cut; start, size: all paragraphs; gone: its repeated parts."""
+    lo, n = int(w.first[i]), int(w.first[i + 1] - w.first[i])
+    bad = np.zeros(n + 1, np.int8)
+    for g in gone:
+        bad[min(g["pos"], n):min(g["pos"] + g["n"], n)] = 1
+    bad[n] = 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], bad])))
+    pairs = edge.reshape(-1, 2)
     joined: list[list[int]] = []
-    for s, e in sorted(runs):
-        if joined and (s <= joined[-1][1] or not t[joined[-1][1]:s].strip(_SPACES)):
-            joined[-1][1] = max(joined[-1][1], e)
-        else:
-            joined.append([s, e])
-    counted = [(s, e, len(words(t[s:e]))) for s, e in joined]
-    return [c for c in counted if c[2] >= MIN_RUN]
+    for s, e in pairs.tolist():
+        if joined and s - joined[-1][1] < MIN_PARAGRAPH:
+            a, b = np.searchsorted(start, [joined[-1][1] + lo, s + lo])
+            # Whole short paragraphs between repeated words go with them.
+            if a < len(start) and start[a] == joined[-1][1] + lo and (b == len(start) or start[b] == s + lo):
+                joined[-1][1] = e
+                continue
+        joined.append([s, e])
+    return [(s, e) for s, e in joined if e - s >= MIN_RUN]
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut from ``text``, and ``removed`` (words), ``spans`` (start, end)."""
-    later, copies = repeated_windows(docs)
-    # No nulls, which would make floats of the longs: of a paragraph th is 0, of a whole copy pos.
-    kind = lambda k: F.lit(k).alias("kind")
-    gone = repeated(docs).select("doc_id", kind(0), F.lit(0).cast("long").alias("th"), F.col("pos").cast("int").alias("pos"))
-    gone = gone.unionByName(later.select("doc_id", kind(1), "th", "pos")).unionByName(copies.select("doc_id", kind(2), "th", F.lit(0).alias("pos")))
-    gone = stored(gone.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "th", "pos")).alias("_gone")))  # bounded by one text
-    rows = docs.join(gone, "doc_id", "left").withColumn("_th", F.xxhash64("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts, removed, spans = [], [], []
-            for t, th, gone_ in zip(b["text"], b["_th"], b["_gone"]):
-                cut: list[tuple[int, int, int]] = []
-                if gone_ is not None and isinstance(t, str):
-                    bad = {r["pos"] for r in gone_ if r["kind"] == 0}
-                    own = [(r["kind"], r["pos"]) for r in gone_ if r["kind"] and r["th"] == th]
-                    cut = cuts(t, bad, [p for k, p in own if k == 1], (2, 0) in own)
+    """``docs`` with repeated passages cut from ``text``, and ``removed`` (words), ``spans`` (start, end in the text).
+
+    Further columns are kept; columns of the names removed and spans are replaced.
+    """
+    rest = [c for c in docs.columns if c not in ("text", "removed", "spans")]
+    docs = docs.select("text", *rest).withColumn("doc_id", F.col("doc_id").cast("long"))
+    gone = repeated(docs).unionByName(repeated_windows(docs))
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("_gone"))  # bounded by one text
+    rows = docs.join(gone, "doc_id", "left").select("text", "_gone", *rest)
+    schema = StructType([StructField("text", StringType()), *[StructField(c, docs.schema[c].dataType) for c in rest], StructField("removed", LongType()), StructField("spans", ArrayType(ArrayType(IntegerType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            gone_, texts, removed, spans = b["_gone"].to_pylist(), b["text"].to_pylist(), [], []
+            some = [i for i, g in enumerate(gone_) if g and texts[i]]
+            w = word_table(b["text"].take(pa.array(some, pa.int64())))
+            start, size = paragraphs(w)
+            found = {i: cuts(w, k, start, size, gone_[i]) for k, i in enumerate(some)}
+            for k, i in enumerate(some):
+                lo, hi, base, raw = w.first[k], w.first[k + 1], int(w.text[k]), w.data[w.text[k]:w.text[k + 1]].tobytes()
+                # A cut takes the space after it, up to the next word or the end of the text.
+                found[i] = [(int(w.start[lo + s]) - base if s else 0, int(w.start[lo + e]) - base if lo + e < hi else len(raw), e - s) for s, e in found[i]]
                 out, at = [], 0
-                for s, e, _ in cut:
-                    out.append(t[at:s])
+                for s, e, _ in found[i]:
+                    out.append(raw[at:s])
                     at = e
-                texts.append("".join(out) + t[at:] if isinstance(t, str) else None)
-                removed.append(sum(c[2] for c in cut))
-                spans.append([[c[0], c[1]] for c in cut])
-            yield b.drop(columns=["_gone", "_th"]).assign(text=texts, removed=removed, spans=spans)
-
-    schema = StructType([*[StructField(f.name, f.dataType, True) for f in docs.schema.fields], StructField("removed", LongType()), StructField("spans", ArrayType(ArrayType(LongType())))])
-    return rows.select(*docs.columns, "_gone", "_th").mapInPandas(run, schema)
+                texts[i] = (b"".join(out) + raw[at:]).decode("utf-8")
+                found[i] = [(len(raw[:s].decode("utf-8")), len(raw[:e].decode("utf-8")), n) for s, e, n in found[i]]
+            for i in range(len(texts)):
+                removed.append(sum(c[2] for c in found.get(i, [])))
+                spans.append([[c[0], c[1]] for c in found.get(i, [])])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[b[c] for c in rest], pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["text", *rest, "removed", "spans"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
