@@ -1,8 +1,13 @@
 """Interpolated modified Kneser-Ney trigram model, counted in Spark and memory-mapped by workers.
 
-Words are those of ``common.words``; each text ends with one end token. Null texts count as empty (the end token
-only). N-grams are keyed by 64-bit hashes. The tables are sorted by key in Spark, written as numpy files to the
-shared folder in key ranges, and looked up by binary search. With no training text every token gets 1/(V+1).
+Words are those of ``common.word_table``; each text ends with one end token. Null texts count as empty (the end token
+only); every row is scored, repeated ones too. With no training text every token gets 1/(V+1).
+
+An n-gram is a 64-bit key. Those of a trigram (a, b, c) start with 40 bits of a hash of (a, b) and end with 24 bits of c, so
+the trigrams of a context lie side by side in the sorted array and its totals are read off their counts. Bigrams are
+keyed alike, by 33 bits of b and 31 of c, and hold continuation counts. A context shares its 40 bits with one of n others
+with a chance of n / 10^12, a word its 31 with one of n others with n / 2 * 10^9. Tables are sorted by key ranges in Spark and
+written as plain arrays to the shared folder; each range is one task's rows.
 """
 
 from __future__ import annotations
@@ -10,175 +15,269 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebill.llm.common import mix, read, shared_dir, stored, words
+from rebill.llm.common import mix, read, shared_dir, sliced, stored, word_table
 
 END, BEGIN = np.uint64(0x1357), np.uint64(0x2468)
-CHUNK = 1_000_000  # tokens handled at once in a task
+CHUNK = 4_000_000  # tokens whose counts are added up in a task before the shuffle
+RANGE = 4_000_000  # n-grams of a file, about
+TURN_BITS = 2  # bigrams and trigrams are counted in four ranges of keys, one after the other, so that shuffles stay small
+TRI, BI = 24, 31  # bits of a key that the last word of a trigram, a bigram takes
+WIDE = 16  # contexts of as many words or more keep their totals
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of words and ends of all texts, tokens of each text)."""
+    w = word_table(texts)
+    size = np.diff(w.first)
+    out = np.full(len(w.hash) + len(size), END, np.uint64)
+    out[np.arange(len(w.hash)) + np.repeat(np.arange(len(size)), size)] = w.hash
+    return out, size + 1
+
+
+def contexts(t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word two before, word before) of each token; BEGIN before a text."""
+    b = np.concatenate([[BEGIN], t[:-1]]) if len(t) else t
+    first = np.cumsum(size) - size
+    b[first] = BEGIN
+    a = np.concatenate([[BEGIN], b[:-1]]) if len(t) else t
+    a[first] = BEGIN
+    return a, b
 
 
-def token_hashes(text: str | None, seen: dict) -> np.ndarray:
-    """uint64 hashes of the words and the end token; ``seen`` is a bounded table of words."""
-    out = []
-    for w in words(text):
-        h = seen.get(w)
-        if h is None:
-            if len(seen) > 500_000:
-                seen.clear()
-            h = seen[w] = xxhash.xxh3_64_intdigest(w) | 1 << 63
-        out.append(h)
-    out.append(int(END))
-    return np.array(out, dtype=np.uint64)
+def keyed(context: np.ndarray, c: np.ndarray, tail: int) -> np.ndarray:
+    """Key of a word after a context: the last ``tail`` bits are of the word, those before of the context."""
+    low = np.uint64((1 << tail) - 1)
+    return (context & ~low) | (mix(c) & low)
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b))
 
 
-def _contexts(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    b = np.concatenate([[BEGIN], t[:-1]]).astype(np.uint64)
-    a = np.concatenate([[BEGIN], b[:-1]]).astype(np.uint64)
-    return a, b
+def _signed(k: np.ndarray) -> np.ndarray:
+    """As longs in the same order."""
+    return (k ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """ab, bc, abc (hash keys), b, c, n: counts, added up within each task before the shuffle."""
+def _unsigned(k: np.ndarray) -> np.ndarray:
+    return k.view(np.uint64) ^ np.uint64(1 << 63)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
-        held, size = [], 0
 
-        def flush():
-            parts = [np.stack([*_contexts(t), t]) for t in held]
-            tri = np.concatenate(parts, axis=1)
-            key = pair_key(pair_key(tri[0], tri[1]), tri[2])
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            a, b, c = tri[:, first]
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "c": c.view(np.int64), "n": n})
-
-        for batch in batches:
-            for text in batch["text"]:
-                t = token_hashes(text, seen)
-                held.append(t)
-                size += len(t)
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+def counted(docs: DataFrame, order: int, turn: int = 0) -> DataFrame:
+    """k, x of the n-grams of all texts whose key falls into a turn's range, added up in each task.
 
-    raw = docs.select("text").mapInPandas(run, "a long, b long, c long, n long")
-    return raw.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    Of order 1 and 3, x is a count; of order 2, k is a bigram (b, c) and x a hash of a word before it, each pair once.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
 
+        def flush():
+            rows = np.concatenate(held, axis=1)
+            if order == 2:
+                _, at = np.unique(pair(rows[0], rows[1]), return_index=True)
+                k, x = rows[0, at], rows[1, at].astype(np.int64)
+            else:
+                k, x = np.unique(rows[0], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(k)), pa.array(x.astype(np.int64))], names=["k", "x"])
+
+        for batch in sliced(batches):
+            t, size = tokens(batch["text"])
+            rows = t[None]
+            if order > 1:
+                a, b = contexts(t, size)
+                rows = keyed(pair(a, b), t, TRI)[None] if order == 3 else np.stack([keyed(mix(b), t, BI), mix(a) >> np.uint64(33)])
+                rows = rows[:, rows[0] >> np.uint64(64 - TURN_BITS) == np.uint64(turn)]
+            held.append(rows)
+            many += rows.shape[1]
+            if many >= CHUNK:
+                yield flush()
+                held, many = [], 0
+        if many:
+            yield flush()
 
-def _stats(df: DataFrame, ctx: list[str], n: str) -> DataFrame:
-    one = lambda k: F.sum((F.col(n) == k).cast("long"))
-    return df.groupBy(*ctx).agg(F.sum(n).cast("double").alias("total"), one(1).alias("n1"), one(2).alias("n2"), F.sum((F.col(n) >= 3).cast("long")).alias("n3"))
+    return docs.select("text").mapInArrow(run, "k long, x long")
 
 
-def _save(df: DataFrame, folder: str, keys: list[str], values: list[str], base: str | None = None) -> list[tuple]:
-    """Sort by hash key over all tasks and write each range as one .npy; (first key, path) of each range.
+def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: bool = False) -> DataFrame:
+    """Sort (k, x) by key and write each range of keys as arrays; rows of what was written.
 
-    Keys are hashed within tasks; the files are written beside their name and renamed, so repeated tasks agree.
+    A range has the keys that agree on their first bits, so a context lies in one file. Of a file: keys, counts (a byte,
+    larger ones apart) and the totals of contexts of WIDE words or more. ``distinct``: a count is that of different x.
     """
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            k = b[keys[0]].to_numpy(np.int64).view(np.uint64)
-            for x in keys[1:]:
-                k = pair_key(k, b[x].to_numpy(np.int64).view(np.uint64))
-            # Shifted so that signed order in Spark is unsigned order here.
-            out = {"k": (k ^ np.uint64(1 << 63)).view(np.int64)} | {v: b[v].to_numpy(np.float64) for v in values}
-            yield pd.DataFrame(out)
-
-    schema = "k long, " + ", ".join(f"{v} double" for v in values)
-    ordered = df.select(*keys, *values).mapInPandas(hashed, schema).repartitionByRange("k").sortWithinPartitions("k")
-
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ks, vs = [], []
-        for b in batches:
-            ks.append(b["k"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63))
-            vs.append(b[values].to_numpy(np.float64))
-        if ks:
-            name = f"{folder}/{uuid.uuid4().hex}"
-            fs, path = _fs(name)
-            fs.create_dir(os.path.dirname(path), recursive=True)
-            k = np.concatenate(ks)
-            for suffix, x in ((".k", k), (".v", np.concatenate(vs))):
-                with fs.open_output_stream(path + suffix) as out:
-                    out.write(memoryview(np.ascontiguousarray(x)).cast("B"))
-            yield pd.DataFrame({"k": [np.uint64(k[0] ^ np.uint64(1 << 63)).view(np.int64)], "rows": [len(k)], "path": [name]})
-
-    made = ordered.mapInPandas(save, "k long, rows long, path string")
-    return sorted((int(r.k) + (1 << 63), r.rows, r.path) for r in stored(made).collect())
+    k, sign = F.col("k"), F.lit(1 << (parts_bits - 1))
+    part = (F.shiftright(k, 64 - parts_bits) + sign).cast("int")
+    ordered = df.repartitionById(1 << parts_bits, part).sortWithinPartitions("k", "x")
+    shift = np.uint64(tail)
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, first = f"{folder}/{uuid.uuid4().hex}", None
+        files, path = _fs(name)
+        files.create_dir(os.path.dirname(path), recursive=True)
+        sums = np.zeros(7, np.int64)  # n-grams, their sum, how many of 1, 2, 3, 4, and 3 or more
+        wide: list[np.ndarray] = []
+        over: list[np.ndarray] = []
+        carry = None  # the context that the rows so far end with: key, words, total, ones, twos, more
+
+        def put(k: np.ndarray, n: np.ndarray) -> None:
+            nonlocal carry, sums
+            keys.write(k.tobytes())
+            counts.write(np.minimum(n, 255).astype(np.uint8).tobytes())
+            big = n >= 255
+            over.append(np.stack([k[big], n[big].astype(np.uint64)]))
+            flags = [(n == 1), (n == 2), (n >= 3)]
+            sums += [len(n), n.sum(), flags[0].sum(), flags[1].sum(), (n == 3).sum(), (n == 4).sum(), flags[2].sum()]
+            c = k >> shift
+            at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            rows = np.stack([c[at], np.diff(np.append(at, len(c))).astype(np.uint64), *[np.add.reduceat(x.astype(np.int64), at).astype(np.uint64) for x in (n, *flags)]])
+            if carry is not None:
+                if carry[0] == rows[0, 0]:
+                    rows[1:, 0] += carry[1:]
+                elif carry[1] >= WIDE:
+                    wide.append(carry[:, None])
+            carry = rows[:, -1].copy()
+            rows = rows[:, :-1]
+            wide.append(rows[:, rows[1] >= WIDE])
+
+        held_k, held_x = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last key, which the next batch may go on with
+        with files.open_output_stream(path + ".k") as keys, files.open_output_stream(path + ".n") as counts:
+            for b in batches:
+                k, x = np.concatenate([held_k, b["k"].to_numpy()]), np.concatenate([held_x, b["x"].to_numpy()])
+                if not len(k):
+                    continue
+                if distinct:
+                    new = np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
+                    k, x = k[new], x[new]
+                tail_at = int(np.searchsorted(k, k[-1]))
+                if tail_at == 0 and not distinct:
+                    held_k, held_x = k[:1], np.array([x.sum()])
+                    continue
+                held_k, held_x = (k[tail_at:], x[tail_at:]) if distinct else (k[-1:], x[tail_at:].sum(keepdims=True))
+                if tail_at:
+                    k, x = k[:tail_at], x[:tail_at]
+                    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                    first = k[0] if first is None else first
+                    put(_unsigned(k[at]), np.diff(np.append(at, len(k))) if distinct else np.add.reduceat(x, at))
+                    if distinct:
+                        yield from listed(_unsigned(k[at]))
+            if len(held_k):
+                first = held_k[0] if first is None else first
+                put(_unsigned(held_k[:1]), np.array([len(np.unique(held_x)) if distinct else held_x.sum()]))
+                if distinct:
+                    yield from listed(_unsigned(held_k[:1]))
+        if first is None:
+            files.delete_file(path + ".k"), files.delete_file(path + ".n")
+            return
+        if carry is not None and carry[1] >= WIDE:
+            wide.append(carry[:, None])
+        for kind, x in ((".w", np.concatenate(wide, axis=1)), (".o", np.concatenate(over, axis=1))):
+            with files.open_output_stream(path + kind) as out:
+                out.write(np.ascontiguousarray(x).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([int(first)]), pa.array([name]), pa.array([sums.tolist()])], names=["file", "k", "path", "sums"])
+
+    def listed(k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The last words of distinct bigrams, counted within a batch."""
+        c, n = np.unique(k & np.uint64((1 << tail) - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(c), bool)), pa.array(c.astype(np.int64)), pa.array([None] * len(c), pa.string()), pa.array(n.astype(np.int64).reshape(-1, 1).tolist())], names=["file", "k", "path", "sums"])
+
+    # A task that is run again writes files of other names; only those of the task that counts are listed.
+    return stored(ordered.mapInArrow(save, "file boolean, k long, path string, sums array<long>"))
 
 
 def _fs(uri: str):
-    from pyarrow import fs
-
     if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
+
+
+def _file(uri: str, kind: str, dtype) -> np.ndarray:
+    """A file as an array: memory-mapped where the shared folder is mounted, else read (the caller holds one at a time)."""
+    files, path = _fs(uri + kind)
+    if os.path.exists(path):
+        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    return np.frombuffer(files.open_input_file(path).read(), dtype)
 
 
 class Table:
-    """One sorted table: memory-mapped where the shared folder is mounted, else read once by each worker."""
-
-    def __init__(self, parts: list[tuple], width: int):
-        self.starts = np.array([p[0] for p in parts], dtype=np.uint64)
-        self.parts = []
-        for _, rows, uri in parts:
-            fs, path = _fs(uri)
-            if os.path.exists(path + ".k"):
-                k, v = np.memmap(path + ".k", np.uint64, "r"), np.memmap(path + ".v", np.float64, "r")
-            else:
-                k, v = (np.frombuffer(fs.open_input_file(path + s).read(), t) for s, t in ((".k", np.uint64), (".v", np.float64)))
-            self.parts.append((k, v.reshape(rows, width)))
-        self.width = width
+    """Sorted keys and counts in files by key range; a key's context is what is left of its last ``tail`` bits."""
+
+    def __init__(self, written: DataFrame, tail: int):
+        rows = written.where("file").select("k", "path", "sums").collect()  # a row a file
+        rows = sorted((int(r["k"]) + (1 << 63), r["path"], r["sums"]) for r in rows)
+        self.starts, self.paths, self.tail = np.array([r[0] for r in rows], np.uint64), [r[1] for r in rows], tail
+        self.sums = np.array([r[2] for r in rows], np.int64).reshape(-1, 7).sum(0)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of the keys, zeros where a key is missing."""
+    def discounts(self) -> list[float]:
+        """Modified Kneser-Ney discounts from the counts of counts."""
+        n1, n2, n3, n4 = (x + 0.5 for x in self.sums[2:6])
+        y = n1 / (n1 + 2 * n2)
+        return [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of keys, 0 where there is none, and [key, 4] of their contexts: the sum of counts, ones, twos, more."""
         uniq, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(uniq), self.width), np.float64)
-        at = np.searchsorted(self.starts, uniq, "right") - 1
-        for p in np.unique(at[at >= 0]):
-            k, v = self.parts[p]
-            sel = np.flatnonzero(at == p)
-            i = np.minimum(np.searchsorted(k, uniq[sel]), len(k) - 1)
-            hit = k[i] == uniq[sel]
-            out[sel[hit]] = v[i[hit]]
-        return out[back]
+        out, ctx = np.zeros(len(uniq), np.int64), np.zeros((len(uniq), 4), np.int64)
+        shift = np.uint64(self.tail)
+        # A context lies in one file: keys before a file's first one may still share the context of it.
+        of = np.searchsorted(self.starts >> shift, uniq >> shift, "right") - 1
+        for f in np.unique(of[of >= 0]):
+            sel, path = np.flatnonzero(of == f), self.paths[f]
+            k, n = _file(path, ".k", np.uint64), _file(path, ".n", np.uint8)
+            big, wide = _file(path, ".o", np.uint64).reshape(2, -1), _file(path, ".w", np.uint64).reshape(6, -1)
+            u = uniq[sel]
+            i = np.minimum(np.searchsorted(k, u), len(k) - 1)
+            hit = k[i] == u
+            c = np.where(hit, n[i], 0).astype(np.int64)
+            large = np.flatnonzero(c == 255)
+            c[large] = big[1][np.searchsorted(big[0], u[large])].astype(np.int64)
+            out[sel] = c
+            cu, cb = np.unique(u >> shift, return_inverse=True)
+            got = np.zeros((len(cu), 4), np.int64)
+            at = np.minimum(np.searchsorted(wide[0], cu), max(wide.shape[1] - 1, 0))
+            found = wide[0][at] == cu if wide.shape[1] else np.zeros(len(cu), bool)
+            got[found] = wide[2:, at[found]].T.astype(np.int64)
+            # Other contexts have fewer than WIDE words, side by side.
+            rest = np.flatnonzero(~found)
+            s = np.searchsorted(k, cu[rest] << shift)
+            e = np.searchsorted(k, (cu[rest] << shift) | np.uint64((1 << self.tail) - 1), "right")
+            for j in range(int((e - s).max(initial=0))):
+                on = np.flatnonzero(s + j < e)
+                c = n[s[on] + j].astype(np.int64)
+                large = np.flatnonzero(c == 255)
+                c[large] = big[1][np.searchsorted(big[0], k[s[on[large]] + j])].astype(np.int64)
+                got[rest[on]] += np.stack([c, c == 1, c == 2, c >= 3], axis=1)
+            ctx[sel] = got[cb]
+        return out[back], ctx[back]
+
+
+def _bits(rows: float) -> int:
+    return int(np.clip(np.ceil(np.log2(max(rows / RANGE, 1))), 1, 20))
 
 
 def train(docs: DataFrame) -> dict:
-    """Count the model over all of ``docs`` (text) and write its tables; the returned places are small."""
+    """Count the model over all of ``docs`` (text) and write its tables; what is returned is small."""
     folder = shared_dir(docs.sparkSession)
-    tri = stored(count_trigrams(docs))
-    bi = stored(tri.groupBy("b", "c").agg(F.count("*").alias("n"), F.sum("n").alias("raw")))
-    uni = stored(bi.groupBy("c").agg(F.count("*").alias("n"), F.sum("raw").alias("raw")))
-    model: dict = {"discounts": []}
-    for df in (uni, bi, tri):
-        r = df.agg(*[F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]).first()
-        n1, n2, n3, n4 = ((x or 0) + 0.5 for x in r)
-        y = n1 / (n1 + 2 * n2)
-        model["discounts"].append([min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))])
-    u = uni.agg(F.sum("raw"), F.count("*"), F.sum("n"), *[F.sum((F.col("n") == k).cast("long")) for k in (1, 2)], F.sum((F.col("n") >= 3).cast("long"))).first()
-    model["N"], model["V"], model["uni"] = int(u[0] or 0), int(u[1] or 0), [float(x or 0) for x in u[2:]]
-    stats = ["total", "n1", "n2", "n3"]
-    model["tables"] = [
-        (_save(uni, f"{folder}/uni", ["c"], ["n", "raw"]), 2),
-        (_save(bi, f"{folder}/bi", ["b", "c"], ["n"]), 1),
-        (_save(tri, f"{folder}/tri", ["a", "b", "c"], ["n"]), 1),
-        (_save(_stats(bi, ["b"], "n"), f"{folder}/ctx1", ["b"], stats), 4),
-        (_save(_stats(tri, ["a", "b"], "n"), f"{folder}/ctx2", ["a", "b"], stats), 4),
-    ]
-    return model
+    # Words are known by 31 bits in bigrams and as their last words, by 64 bits where they are counted.
+    turns = range(1 << TURN_BITS)
+    raw = _write(counted(docs, 1), f"{folder}/raw", 4, 0)
+    raw_table = Table(raw, 0)
+    big_n = int(raw_table.sums[1])
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    bits = max(TURN_BITS + 1, _bits(big_n))
+    bi = union([_write(counted(docs, 2, i), f"{folder}/bi", bits, BI, True) for i in turns])
+    tri = union([_write(counted(docs, 3, i), f"{folder}/tri", bits, TRI) for i in turns])
+    last = bi.where("not file").groupBy("k").agg(F.sum(F.col("sums")[0]).alias("x"))
+    # Last words are placed at the top of the key, so that they spread over the files.
+    uni = _write(last.select((F.shiftleft("k", 64 - BI)).bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("k"), "x"), f"{folder}/uni", 4, 0)
+    return {"raw": raw_table, "uni": Table(uni, 0), "bi": Table(bi, BI), "tri": Table(tri, TRI)}
 
 
 def _level(n: np.ndarray, ctx: np.ndarray, d: list[float], lower: np.ndarray) -> np.ndarray:
@@ -192,40 +291,34 @@ def _level(n: np.ndarray, ctx: np.ndarray, d: list[float], lower: np.ndarray) ->
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every whole text."""
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uni, bi, tri, ctx1, ctx2 = (Table(*t) for t in model["tables"])
-        d, big_n, v = model["discounts"], model["N"], model["V"]
-        seen: dict = {}
-
-        def parts(t):
-            """(known, base, logs) of one or more texts' tokens with their contexts."""
-            a, b, c = t
-            u = uni.get(c)
-            base = np.log10((u[:, 1] + 1) / (big_n + v + 1))
-            p = _level(u[:, 0], np.broadcast_to(np.array(model["uni"]), (len(c), 4)), d[0], np.full(len(c), 1 / (v + 1)))
-            p = _level(bi.get(pair_key(b, c))[:, 0], ctx1.get(b), d[1], p)
-            p = _level(tri.get(pair_key(pair_key(a, b), c))[:, 0], ctx2.get(pair_key(a, b)), d[2], p)
-            return u[:, 1] > 0, base, np.log10(p)
-
-        for batch in batches:
-            ids, ts = batch["doc_id"].tolist(), [token_hashes(x, seen) for x in batch["text"]]
-            if not ids:
-                continue
-            flat = np.concatenate([np.stack([*_contexts(t), t]) for t in ts], axis=1)
-            sums = np.zeros((3, len(ts)))
-            doc = np.repeat(np.arange(len(ts)), [len(t) for t in ts])
-            for s in range(0, len(doc), CHUNK):
-                for i, x in enumerate(parts(flat[:, s:s + CHUNK])):
-                    sums[i] += np.bincount(doc[s:s + CHUNK], x, len(ts))
-            yield pd.DataFrame({"doc_id": ids, "n_tokens": [len(t) for t in ts], "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": sums[2]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    raw, uni, bi, tri = (model[x] for x in ("raw", "uni", "bi", "tri"))
+    big_n, v = int(raw.sums[1]), int(raw.sums[0])
+    whole = np.array([[uni.sums[1], uni.sums[2], uni.sums[3], uni.sums[6]]])
+    d1, d2, d3 = uni.discounts(), bi.discounts(), tri.discounts()
+
+    def logs(t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, base, logs) of tokens."""
+        a, b = contexts(t, size)
+        count = raw(t)[0]
+        base = np.log10((count + 1) / (big_n + v + 1))
+        p = _level(uni(keyed(np.zeros(1, np.uint64), t, BI) << np.uint64(64 - BI))[0], np.broadcast_to(whole, (len(t), 4)), d1, np.full(len(t), 1 / (v + 1)))
+        p = _level(*bi(keyed(mix(b), t, BI)), d2, p)
+        p = _level(*tri(keyed(pair(a, b), t, TRI)), d3, p)
+        return count > 0, base, np.log10(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            t, size = tokens(b["text"])
+            at = np.cumsum(size) - size
+            known, base, log = (np.add.reduceat(x.astype(float), at) for x in logs(t, size))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(log)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     model = train(docs.where(~held))
-    rows = score(docs, model)
-    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+    n = F.lit(int(model["raw"].sums[1])).cast("long").alias("train_tokens")
+    return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", n, "base_score", "score")

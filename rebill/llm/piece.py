@@ -2,8 +2,9 @@
 
 For each prefix the table holds its unique last token: the piece ending there (found by an Aho-Corasick
 automaton) that is compatible with the last token of the prefix before it. Ids are then recovered backwards.
-Texts fall into chunks where a space starts, since no piece crosses from a letter into a space; chunks
-are encoded once and kept in a bounded table. Null and empty texts have no ids and decode to the empty text.
+Texts fall into chunks where a space starts, since no piece crosses from a letter into a space; what a chunk
+encodes to and decodes to is kept in a bounded table. Null and empty texts have no ids and decode to the empty
+text. Every row is returned, repeated ones too; columns but doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from rebill.llm.common import read
 
 MODEL = "piece_bpe_32k.model"
-KEEP = 300_000  # chunks kept by a worker; longer chunks than LONG are not kept
+KEEP = 300_000  # chunks, and pairs of pieces, kept by a worker; longer chunks than LONG are not kept
 LONG = 64
 SPACE = "▁"
+_CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class PrefixTable:
@@ -33,34 +35,59 @@ class PrefixTable:
         self.ids = {sp.id_to_piece(i): i for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.raw = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.auto = ahocorasick.Automaton()
+        self.halves: dict[str, tuple[str, str] | None] = {}  # what the last merge of a piece joins; None for a letter
         for p in self.ids:
-            self.auto.add_word(p, p)
+            # Pieces that merging never makes are no last tokens.
+            if len(p) == 1:
+                self.halves[p] = None
+                self.auto.add_word(p, p)
+            elif halves := self._halves(p):
+                self.halves[p] = halves
+                self.auto.add_word(p, p)
         self.auto.make_automaton()
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces cross from letters into spaces")
-        self.compatible = lru_cache(500_000)(self._compatible)
-        self.reachable = lru_cache(100_000)(lambda p: self.merge(p) == [p])
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
-    def merge(self, s: str) -> list[str]:
-        """Plain merging, for the few letters of one or two pieces."""
-        parts = list(s)
-        while True:
+    def _halves(self, s: str) -> tuple[str, str] | None:
+        """The last two parts that plain merging of a piece joins; None where it doesn't make the piece."""
+        parts, score = list(s), self.score
+        while len(parts) > 2:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                v = self.score.get(parts[i] + parts[i + 1])
+                v = score.get(parts[i] + parts[i + 1])
                 if v is not None and (best is None or v > best):
                     best, at = v, i
             if at < 0:
-                return parts
+                return None
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return parts[0], parts[1]
 
-    def _compatible(self, a: str, b: str) -> bool:
-        return self.merge(a + b) == [a, b]
+    def compatible(self, a: str, b: str) -> bool:
+        """Whether merging a + b leaves a and b: their merges are undone, latest first, and none may cross before."""
+        score, halves = self.score, self.halves
+        after, equal = -float("inf"), False  # merges across count if they score over ``after``, or as much if ``equal``
+        x, y = score.get(a, 0.0), score.get(b, 0.0)
+        while True:
+            v = score.get(a + b)
+            if v is not None and (v > after or equal and v == after):
+                return False
+            p, q = halves.get(a), halves.get(b)
+            if p is None and q is None:
+                return True
+            # Of equal merges the left one is made first, so the right one is undone first.
+            if q is None or p is not None and x < y:
+                after, equal, a = x, False, p[1]
+                x = score.get(a, 0.0)
+            else:
+                after, equal, b = y, True, q[0]
+                y = score.get(b, 0.0)
 
     def chunk(self, s: str) -> list[int]:
-        n = len(s)
+        n, pairs = len(s), self.pairs
         last: list[str | None] = [None] * n
         todo = -1
         for end, piece in self.auto.iter(s):
@@ -68,13 +95,18 @@ class PrefixTable:
                 todo += 1
                 if last[todo] is None:
                     last[todo] = s[todo]
-            if last[end] is not None:
-                continue
-            start = end - len(piece)
-            if not self.reachable(piece):
-                continue
-            if start < 0 or self.compatible(last[start], piece):
-                last[end] = piece
+            if last[end] is None:
+                start = end - len(piece)
+                if start < 0:
+                    last[end] = piece
+                    continue
+                fits = pairs.get(pair := (last[start], piece))
+                if fits is None:
+                    if len(pairs) >= KEEP:
+                        pairs.clear()
+                    fits = pairs[pair] = self.compatible(*pair)
+                if fits:
+                    last[end] = piece
         out: list[int] = []
         at = n - 1
         while at >= 0:
@@ -85,23 +117,28 @@ class PrefixTable:
         out.reverse()
         return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def coded(self, c: str) -> tuple[int, str, bytes]:
+        """How many ids a chunk has, the ids joined by commas and what they decode to."""
+        ids = self.chunk(c)
+        out = len(ids), ",".join(map(str, ids)), b"".join([self.raw[i] for i in ids])
+        if len(c) <= LONG:
+            if len(self.kept) >= KEEP:
+                self.kept.clear()
+            self.kept[c] = out
+        return out
+
+    def parts(self, text: str | None) -> list[tuple[int, str, bytes]]:
         if not text:
             return []
-        kept, out = self.kept, []
-        for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE)):
-            ids = kept.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) <= LONG:
-                    if len(kept) >= KEEP:
-                        kept.clear()
-                    kept[c] = ids
-            out.extend(ids)
-        return out
+        get, coded = self.kept.get, self.coded
+        return [get(c) or coded(c) for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
 
+    def encode(self, text: str | None) -> list[int]:
+        return [int(i) for p in self.parts(text) for i in p[1].split(",")]
 
-_CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    def decode(self, parts: list[tuple[int, str, bytes]]) -> bytes:
+        """UTF-8 of the text that the ids of ``parts`` decode to: the space put before the text is taken away."""
+        return b"".join([p[2] for p in parts])[1:]
 
 
 def model_path() -> str:
@@ -110,7 +147,7 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def table(path: str) -> PrefixTable:
     return PrefixTable(path)
 
@@ -123,13 +160,15 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         t = table(path)
         for b in batches:
             rows = []
-            for i, text in zip(b["doc_id"], b["text"]):
-                ids = t.encode(text)
-                back = t.sp.decode(ids) if ids else ""
-                rows.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for text in b["text"]:
+                parts = t.parts(text)
+                ids = ",".join([p[1] for p in parts])
+                rows.append((sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(t.decode(parts)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].to_numpy())
+        t.kept.clear()  # workers live on; what was kept goes with the task
+        t.pairs.clear()
+
+    return docs.select("doc_id", "text").mapInPandas(run, "n_tokens long, ids_sha256 string, decoded_sha256 string, doc_id long").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

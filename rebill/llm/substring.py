@@ -2,7 +2,7 @@
 
 A paragraph is a sentence or a line of a text. Paragraphs of MIN_PARAGRAPH words or more that share a band are linked where
 the exact Jaccard of their word shingles reaches PERCENT; each component keeps its first occurrence by (doc_id,
-position), every other one is repeated. A verified passage need not begin or end with a paragraph: windows of MIN_RUN
+position), others are repeated (in one document, only equal ones). A verified passage need not begin or end with a paragraph: windows of MIN_RUN
 words that occur earlier are repeated wherever they begin, so of equal passages of MIN_RUN + SPACING - 1 words or more
 only the first stays, be they cut in mid-sentence or made of short sentences. Runs of MIN_RUN repeated words or more are
 cut, with shorter paragraphs that lie between repeated words.
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -71,16 +72,25 @@ def _shingles(w: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     return rolled(w.hash, WIDTH)[place], at
 
 
+def _again(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a key stands at an earlier place of the same text."""
+    order = np.lexsort((np.arange(len(key)), key, doc))
+    same = (doc[order][1:] == doc[order][:-1]) & (key[order][1:] == key[order][:-1])
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = True
+    return out
+
+
 def _places(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (its first word), n (words), key of every paragraph of the least length."""
+    """doc_id, pos (its first word), n (words), key, own (whether the text has it before) of every paragraph of the least length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             w = word_table(b["text"])
             start, size, key = _kept_paragraphs(w)
             doc = np.searchsorted(w.first, start, "right") - 1
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key)], names=["doc_id", "pos", "n", "key"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key), pa.array(_again(doc, key))], names=["doc_id", "pos", "n", "key", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, n int, key long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, n int, key long, own boolean")
 
 
 def _banded(docs: DataFrame) -> DataFrame:
@@ -99,13 +109,13 @@ def _banded(docs: DataFrame) -> DataFrame:
 
 
 def _wanted_sets(rows: DataFrame) -> DataFrame:
-    """node, set of the paragraphs that ``rows`` (text, wanted: their first words) want."""
+    """node, set of the paragraphs that ``rows`` (text, wanted: their keys) want."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             w = word_table(b["text"])
             start, size, key = _kept_paragraphs(w)
-            want = np.concatenate([np.zeros(0, np.int64), *[w.first[i] + np.array(p, np.int64) for i, p in enumerate(b["wanted"].to_pylist())]])
-            one = np.flatnonzero(np.isin(start, want))
+            one = np.unique(key, return_index=True)[1]
+            one = np.sort(one[np.isin(key[one], b["wanted"].flatten().to_numpy())])
             sets = []
             if len(one):
                 flat, at = _shingles(w, start[one], size[one])
@@ -124,14 +134,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     # Banding is done twice, as its rows are many and those that share a bucket are few.
     mixed = stored(_banded(docs).groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"))
     inside = stored(_banded(docs).join(mixed, "bucket").select("bucket", "node").distinct())
-    counts = stored(places.groupBy(F.col("key").alias("node")).agg(F.min(F.struct("doc_id", "pos")).alias("top"), F.count("*").alias("n")))
-    wanted = inside.select("node").distinct().join(counts, "node").groupBy("top.doc_id").agg(F.collect_set("top.pos").alias("wanted"))  # of one text
+    counts = stored(places.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    wanted = inside.select("node").distinct().join(counts, "node").groupBy("doc_id").agg(F.collect_set("node").alias("wanted"))  # of one text
     sets = stored(_wanted_sets(docs.join(wanted, "doc_id")).dropDuplicates(["node"]))
     roots = link(inside, sets, PERCENT)
     classes = counts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tops = classes.groupBy("root").agg(F.min("top").alias("first"), F.sum("n").alias("all")).where("all > 1").select("root", "first")
+    tops = classes.groupBy("root").agg(F.min("doc_id").alias("first"), F.sum("n").alias("all")).where("all > 1").select("root", "first")
     keyed = stored(classes.join(tops, "root").select(F.col("node").alias("key"), "first"))
-    out = stored(places.join(keyed, "key").where(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "n"))
+    out = stored(places.join(keyed, "key").where("own or doc_id > first").select("doc_id", "pos", "n"))
     dropped(places, mixed, inside, counts, sets, keyed)
     return out
 
@@ -152,25 +162,41 @@ def chosen(hs: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.flatnonzero(use)
 
 
-def _windows(docs: DataFrame, near: bool) -> DataFrame:
-    """h, doc_id, pos: chosen windows, or (``near``) all windows fewer than SPACING words from those in ``hits``."""
+def _seeds(docs: DataFrame) -> DataFrame:
+    """doc_id, hs, ps: hashes and places of the chosen windows of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            w = word_table(b["text"])
+            hs = rolled(w.hash, MIN_RUN)
+            last = np.maximum(w.first[1:] - MIN_RUN + 1, w.first[:-1])
+            at = chosen(hs, w.first[:-1], last)
+            ends = np.searchsorted(at, w.first).astype(np.int32)
+            doc = np.searchsorted(w.first, at, "right") - 1
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (hs[at].view(np.int64), (at - w.first[doc]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *lists], names=["doc_id", "hs", "ps"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hs array<long>, ps array<int>")
+
+
+def _near_windows(rows: DataFrame) -> DataFrame:
+    """h, doc_id, pos, own of all windows fewer than SPACING words from those in ``hits`` of ``rows`` (doc_id, text, hits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             w = word_table(b["text"])
             hs = rolled(w.hash, MIN_RUN)
-            first, last = w.first[:-1], np.maximum(w.first[1:] - MIN_RUN + 1, w.first[:-1])
-            if near:
-                use = np.zeros(len(hs), bool)
-                for i, j, hits in zip(first, last, b["hits"].to_pylist()):
-                    for p in hits:
-                        use[max(i, i + p - SPACING + 1):min(j, i + p + SPACING)] = True
-                at = np.flatnonzero(use)
-            else:
-                at = chosen(hs, first, last)
+            last = np.maximum(w.first[1:] - MIN_RUN + 1, w.first[:-1])
+            of = np.repeat(np.arange(len(b)), pc.list_value_length(b["hits"]).to_numpy())
+            at = b["hits"].flatten().to_numpy() + w.first[of]
+            lo, hi = np.maximum(w.first[of], at - SPACING + 1), np.minimum(last[of], at + SPACING)
+            edge = np.zeros(len(w.hash) + 1, np.int32)
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, np.maximum(lo, hi), -1)
+            at = np.flatnonzero(np.cumsum(edge)[:len(hs)] > 0)
             doc = np.searchsorted(w.first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(hs[at].view(np.int64)), b["doc_id"].take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32))], names=["h", "doc_id", "pos"])
+            h = hs[at].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b["doc_id"].take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(_again(doc, h))], names=["h", "doc_id", "pos", "own"])
 
-    return docs.select("doc_id", "text", *(["hits"] if near else [])).mapInArrow(run, "h long, doc_id long, pos int")
+    return rows.select("doc_id", "text", "hits").mapInArrow(run, "h long, doc_id long, pos int, own boolean")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -183,27 +209,29 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id", F.xxhash64("text").alias("th"))
     firsts = ids.groupBy("th").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("th", "first")
     copies = stored(ids.join(firsts, "th").where("doc_id > first").select("doc_id").distinct())
-    seeds = stored(_windows(docs, False).join(copies, "doc_id", "left_anti"))
-    place = F.struct("doc_id", "pos")
-    twice = seeds.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    hits = stored(seeds.join(twice, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("hits")))  # bounded by one text
-    dropped(seeds)
-    dense = stored(_windows(docs.join(hits, "doc_id"), True))
-    tops = dense.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h", "lo")
-    later = stored(dense.join(tops, "h").where(place != F.col("lo")).select("doc_id", "pos", F.lit(MIN_RUN).alias("n")))
+    lists = stored(_seeds(docs).join(copies, "doc_id", "left_anti"))
+    twice = stored(lists.select(F.explode("hs").alias("h")).groupBy("h").count().where("count > 1").select("h"))
+    seeds = lists.select("doc_id", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("doc_id", F.col("x.hs").alias("h"), F.col("x.ps").alias("pos"))
+    hits = stored(seeds.join(twice, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("hits")))  # bounded by one text
+    dropped(lists, twice)
+    dense = stored(_near_windows(docs.join(hits, "doc_id")))
+    tops = dense.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h", "lo")
+    n = F.lit(MIN_RUN).alias("n")
+    later = stored(dense.join(tops, "h").where("doc_id > lo and not own").select("doc_id", "pos", n).unionByName(dense.where("own").select("doc_id", "pos", n)))
     dropped(hits, dense)
     return later.unionByName(copies.select("doc_id", F.lit(0).alias("pos"), F.lit(2147483647).alias("n")))
 
 
-def cuts(w: Words, i: int, start: np.ndarray, size: np.ndarray, gone: list[dict]) -> list[tuple[int, int]]:
-    """(first word, end) in text ``i`` of the runs to cut; start, size: all paragraphs; gone: its repeated parts."""
+def cuts(w: Words, i: int, start: np.ndarray, gone: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, end) in text ``i`` of the runs to cut; start: of all paragraphs; gone: its repeated parts, place and words in one long."""
     lo, n = int(w.first[i]), int(w.first[i + 1] - w.first[i])
-    bad = np.zeros(n + 1, np.int8)
-    for g in gone:
-        bad[min(g["pos"], n):min(g["pos"] + g["n"], n)] = 1
-    bad[n] = 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], bad])))
-    pairs = edge.reshape(-1, 2)
+    edge = np.zeros(n + 1, np.int64)
+    pos = np.minimum(gone >> 32, n)
+    np.add.at(edge, pos, 1)
+    np.add.at(edge, np.minimum(pos + (gone & 0xFFFFFFFF), n), -1)
+    bad = np.cumsum(edge) > 0
+    bad[n] = False
+    pairs = np.flatnonzero(np.diff(bad.astype(np.int8), prepend=0)).reshape(-1, 2)
     joined: list[list[int]] = []
     for s, e in pairs.tolist():
         if joined and s - joined[-1][1] < MIN_PARAGRAPH:
@@ -224,17 +252,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "removed", "spans")]
     docs = docs.select("text", *rest).withColumn("doc_id", F.col("doc_id").cast("long"))
     gone = repeated(docs).unionByName(repeated_windows(docs))
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("_gone"))  # bounded by one text
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("_gone"))  # bounded by one text
     rows = docs.join(gone, "doc_id", "left").select("text", "_gone", *rest)
     schema = StructType([StructField("text", StringType()), *[StructField(c, docs.schema[c].dataType) for c in rest], StructField("removed", LongType()), StructField("spans", ArrayType(ArrayType(IntegerType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            gone_, texts, removed, spans = b["_gone"].to_pylist(), b["text"].to_pylist(), [], []
-            some = [i for i, g in enumerate(gone_) if g and texts[i]]
+            texts, removed, spans = b["text"].to_pylist(), [], []
+            some = [i for i, g in enumerate(b["_gone"].is_valid().to_pylist()) if g and texts[i]]
             w = word_table(b["text"].take(pa.array(some, pa.int64())))
-            start, size = paragraphs(w)
-            found = {i: cuts(w, k, start, size, gone_[i]) for k, i in enumerate(some)}
+            start, _ = paragraphs(w)
+            found = {i: cuts(w, k, start, b["_gone"][i].values.to_numpy()) for k, i in enumerate(some)}
             for k, i in enumerate(some):
                 lo, hi, base, raw = w.first[k], w.first[k + 1], int(w.text[k]), w.data[w.text[k]:w.text[k + 1]].tobytes()
                 # A cut takes the space after it, up to the next word or the end of the text.
