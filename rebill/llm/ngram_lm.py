@@ -28,7 +28,7 @@ from rebill.llm.common import mix, read, shared_dir, sliced, stored, word_table
 END, BEGIN = np.uint64(0x1357), np.uint64(0x2468)
 CHUNK = 4_000_000  # tokens whose counts are added up in a task before the shuffle
 RANGE = 4_000_000  # n-grams of a file, about
-TURN_BITS = 2  # bigrams and trigrams are counted in four ranges of keys, one after the other, so that shuffles stay small
+TURN_BITS = 1  # bigrams and trigrams are counted in two ranges of keys, one after the other, so that shuffles stay small
 TRI, BI = 24, 31  # bits of a key that the last word of a trigram, a bigram takes
 WIDE = 16  # contexts of as many words or more keep their totals
 
@@ -181,15 +181,17 @@ def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: boo
         for kind, x in ((".w", np.concatenate(wide, axis=1)), (".o", np.concatenate(over, axis=1))):
             with files.open_output_stream(path + kind) as out:
                 out.write(np.ascontiguousarray(x).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([int(first)]), pa.array([name]), pa.array([sums.tolist()])], names=["file", "k", "path", "sums"])
+        none = pa.nulls(1, pa.int32())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([int(first)]), pa.array([name]), pa.array([sums.tolist()])], names=["word", "n", "k", "path", "sums"])
 
     def listed(k: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The last words of distinct bigrams, counted within a batch."""
         c, n = np.unique(k & np.uint64((1 << tail) - 1), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(c), bool)), pa.array(c.astype(np.int64)), pa.array([None] * len(c), pa.string()), pa.array(n.astype(np.int64).reshape(-1, 1).tolist())], names=["file", "k", "path", "sums"])
+        none = pa.nulls(len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(n.astype(np.int32)), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.list_(pa.int64()))], names=["word", "n", "k", "path", "sums"])
 
     # A task that is run again writes files of other names; only those of the task that counts are listed.
-    return stored(ordered.mapInArrow(save, "file boolean, k long, path string, sums array<long>"))
+    return stored(ordered.mapInArrow(save, "word int, n int, k long, path string, sums array<long>"))
 
 
 def _fs(uri: str):
@@ -210,7 +212,7 @@ class Table:
     """Sorted keys and counts in files by key range; a key's context is what is left of its last ``tail`` bits."""
 
     def __init__(self, written: DataFrame, tail: int):
-        rows = written.where("file").select("k", "path", "sums").collect()  # a row a file
+        rows = written.where("path is not null").select("k", "path", "sums").collect()  # a row a file
         rows = sorted((int(r["k"]) + (1 << 63), r["path"], r["sums"]) for r in rows)
         self.starts, self.paths, self.tail = np.array([r[0] for r in rows], np.uint64), [r[1] for r in rows], tail
         self.sums = np.array([r[2] for r in rows], np.int64).reshape(-1, 7).sum(0)
@@ -239,7 +241,9 @@ class Table:
             large = np.flatnonzero(c == 255)
             c[large] = big[1][np.searchsorted(big[0], u[large])].astype(np.int64)
             out[sel] = c
-            cu, cb = np.unique(u >> shift, return_inverse=True)
+            c = u >> shift
+            new = np.concatenate([[True], c[1:] != c[:-1]])
+            cu, cb = c[new], np.cumsum(new) - 1
             got = np.zeros((len(cu), 4), np.int64)
             at = np.minimum(np.searchsorted(wide[0], cu), max(wide.shape[1] - 1, 0))
             found = wide[0][at] == cu if wide.shape[1] else np.zeros(len(cu), bool)
@@ -248,12 +252,15 @@ class Table:
             rest = np.flatnonzero(~found)
             s = np.searchsorted(k, cu[rest] << shift)
             e = np.searchsorted(k, (cu[rest] << shift) | np.uint64((1 << self.tail) - 1), "right")
-            for j in range(int((e - s).max(initial=0))):
-                on = np.flatnonzero(s + j < e)
-                c = n[s[on] + j].astype(np.int64)
+            some = e > s
+            if some.any():
+                rest, s, size = rest[some], s[some], (e - s)[some]
+                begin = np.cumsum(size) - size
+                place = np.arange(int(size.sum())) + np.repeat(s - begin, size)
+                c = n[place].astype(np.int64)
                 large = np.flatnonzero(c == 255)
-                c[large] = big[1][np.searchsorted(big[0], k[s[on[large]] + j])].astype(np.int64)
-                got[rest[on]] += np.stack([c, c == 1, c == 2, c >= 3], axis=1)
+                c[large] = big[1][np.searchsorted(big[0], k[place[large]])].astype(np.int64)
+                got[rest] = np.stack([np.add.reduceat(x, begin, dtype=np.int64) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
             ctx[sel] = got[cb]
         return out[back], ctx[back]
 
@@ -274,7 +281,7 @@ def train(docs: DataFrame) -> dict:
     bits = max(TURN_BITS + 1, _bits(big_n))
     bi = union([_write(counted(docs, 2, i), f"{folder}/bi", bits, BI, True) for i in turns])
     tri = union([_write(counted(docs, 3, i), f"{folder}/tri", bits, TRI) for i in turns])
-    last = bi.where("not file").groupBy("k").agg(F.sum(F.col("sums")[0]).alias("x"))
+    last = bi.where("word is not null").groupBy(F.col("word").cast("long").alias("k")).agg(F.sum("n").alias("x"))
     # Last words are placed at the top of the key, so that they spread over the files.
     uni = _write(last.select((F.shiftleft("k", 64 - BI)).bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("k"), "x"), f"{folder}/uni", 4, 0)
     return {"raw": raw_table, "uni": Table(uni, 0), "bi": Table(bi, BI), "tri": Table(tri, TRI)}

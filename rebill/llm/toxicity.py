@@ -1,13 +1,20 @@
-"""Toxicity by class-conditional Kneser-Ney models over words.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Both classes discount their document counts and back off to shared continuation counts, so an expression that
-neither class knows weighs nothing. The length-normalised log-likelihood ratios of the whole text and of its
-strongest window feed a logistic score. Null and empty texts have ratio 0; without labels of both classes scores are 0.
+Each class (toxic, ordinary) has an interpolated modified Kneser-Ney model of word pairs, each counted once a document:
+its pair counts are discounted and back off to its continuation counts (how many different words stand before a
+word), which are discounted and back off to those that both classes share, so a rare expression weighs what both know
+of it. The log-likelihood ratio, toxic against ordinary, is normalised by length over the whole text; besides, the
+strongest runs of words are taken by the ratio of the backed-off models, which copies of one text can't raise. A logistic
+gives the score. It is fitted on folds that the models have not seen, within the learning rows only.
+
+Null and empty texts have ratio 0 and the score of a text without evidence; without labels of both classes scores are 0.
+Every row is scored, repeated ones too. A doc_id labelled both ways counts in both classes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,88 +24,157 @@ from pyspark.sql import functions as F
 
 from rebill.llm.common import read
 
-ROWS = 4000  # labelled rows a class, about, chosen by a hash of the text; the bound of what is learnt from
-WORDS = 2_000_000  # words of a class's sample, at most
-WINDOW = 1
-DISCOUNT, DEVIATIONS, BACKOFF = 1.0, 1.0, 0.4  # a count n is discounted by DISCOUNT + DEVIATIONS * sqrt(n)
+ROWS = 3000  # labelled documents a class, chosen by a hash of the doc_id: the bound of what is learnt from
+WORDS = 1_500_000  # words of a class's sample, at most; further sampled documents are left out whole
+SPANS = (1, 2, 4, 8)  # lengths of the strongest run; the folds choose one
+FOLDS = 3
 THRESHOLD = 0.7
+SOME = 500  # texts scored side by side
 _WORD = re.compile(r"[^\W\d_]+")
+BEGIN = ""
 
 
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _ratios(rows: list[tuple[list[str], int]]) -> dict:
-    """Log ratios of words, each class counted by documents."""
-    uni: dict = {}
-    for ws, y in rows:
-        for w in set(ws):
-            uni.setdefault(w, [0, 0])[y] += 1
-    # The class is the context of a word: its continuation count is the number of classes that it occurs in.
-    less = lambda c: max(c - DISCOUNT - DEVIATIONS * c**0.5, 0)
-    total = [max(1, sum(less(c[y]) for c in uni.values())) for y in (0, 1)]
-    spread = sum((c[0] > 0) + (c[1] > 0) for c in uni.values()) + 1
-    prob = {w: [(1 - BACKOFF) * less(c[y]) / total[y] + BACKOFF * ((c[0] > 0) + (c[1] > 0)) / spread for y in (0, 1)] for w, c in uni.items()}
-    logs = {w: float(np.log(p[1] / p[0])) for w, p in prob.items() if sum(uni[w]) > 1}
-    return logs
-
-
-def features(ws: list[str], logs: dict) -> tuple[float, float]:
-    """Mean ratio of the whole text and of its strongest window of WINDOW words."""
-    if not ws:
+def discounts(counts: Counter) -> list[float]:
+    """Modified Kneser-Ney discounts of counts 1, 2, and 3 or more."""
+    of = Counter(counts.values())
+    n1, n2, n3, n4 = (of[i] + 0.5 for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+
+class Model:
+    """Kneser-Ney models of both classes from (words, class) rows, sharing the lowest order."""
+
+    def __init__(self, rows: list[tuple[list[str], int]]):
+        self.pairs = Counter(), Counter()
+        for ws, y in rows:
+            self.pairs[y].update(set(zip([BEGIN, *ws], ws)))
+        self.words = tuple(Counter(c for _, c in x) for x in self.pairs)
+        self.shared = Counter(c for _, c in set(self.pairs[0]) | set(self.pairs[1]))
+        self.kinds, self.total = len(self.shared) + 1, sum(self.shared.values())
+        self.d2, self.d1 = [discounts(x) for x in self.pairs], [discounts(x) for x in self.words]
+        self.n1 = [sum(x.values()) for x in self.words]
+        self.gamma1 = [sum(d[min(n, 3) - 1] for n in x.values()) for x, d in zip(self.words, self.d1)]
+        self.after: tuple[Counter, Counter] = (Counter(), Counter())  # of a word: pairs that it begins
+        self.gamma2: tuple[Counter, Counter] = (Counter(), Counter())
+        for y in (0, 1):
+            for (a, _), n in self.pairs[y].items():
+                self.after[y][a] += n
+                self.gamma2[y][a] += self.d2[y][min(n, 3) - 1]
+
+    def word(self, y: int, c: str) -> float:
+        """Probability of a word by the continuation counts of a class and the shared ones."""
+        low = (self.shared.get(c, 0) + 1) / (self.total + self.kinds)
+        n = self.words[y].get(c, 0)
+        p = (max(n - self.d1[y][min(n, 3) - 1], 0) if n else 0) + self.gamma1[y] * low
+        return p / self.n1[y] if self.n1[y] else low
+
+    def pair(self, y: int, a: str, c: str) -> float:
+        """Probability of a word after another."""
+        p, m = self.word(y, c), self.after[y].get(a, 0)
+        if not m:
+            return p
+        n = self.pairs[y].get((a, c), 0)
+        return ((max(n - self.d2[y][min(n, 3) - 1], 0) if n else 0) + self.gamma2[y][a] * p) / m
+
+
+
+class Ratios:
+    """Log-likelihood ratios of a model as arrays: of words, of contexts (for pairs that no class has) and of known pairs."""
+
+    def __init__(self, model: Model):
+        log = lambda f, *x: float(np.log(f(1, *x) / f(0, *x)))
+        self.ids = {w: i for i, w in enumerate(sorted({BEGIN, *model.words[0], *model.words[1]}))}
+        names = list(self.ids)
+        self.word = np.array([log(model.word, w) for w in names] + [log(model.word, None)])  # the last: all other words
+        left = lambda y, a: model.gamma2[y][a] / model.after[y][a] if model.after[y].get(a) else 1.0
+        self.context = np.array([log(left, w) for w in names] + [0.0])
+        known = sorted((self.ids[a] << 32 | self.ids[c], log(model.pair, a, c)) for a, c in set(model.pairs[0]) | set(model.pairs[1]))
+        self.pairs, self.of = np.array([k for k, _ in known], np.int64), np.array([r for _, r in known])
+
+    def __call__(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """[2, word] for each text: ratios of words after the word before, and by themselves."""
+        get, none = self.ids.get, len(self.ids)
+        c = np.array([get(w, none) for ws in texts for w in ws], np.int64)
+        size = np.array([len(ws) for ws in texts], np.int64)
+        a = np.concatenate([[0], c[:-1]]) if len(c) else c
+        a[(np.cumsum(size) - size)[size > 0]] = self.ids[BEGIN]
+        word = self.word[c]
+        pair = self.context[a] + word
+        key = a << 32 | c
+        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        hit = self.pairs[at] == key
+        pair[hit] = self.of[at[hit]]
+        return np.split(np.stack([pair, word]), np.cumsum(size)[:-1], axis=1)
+
+
+def features(r: np.ndarray, span: int) -> tuple[float, float]:
+    """Mean ratio of the whole text and of its strongest run of ``span`` words (of a shorter text: over ``span``)."""
+    if not r.shape[1]:
         return 0.0, 0.0
-    r = np.array([logs.get(w, 0.0) for w in ws])
-    s = np.concatenate([[0.0], np.cumsum(r)])
-    k = min(WINDOW, len(r))
-    return float(r.mean()), float((s[k:] - s[:-k]).max()) / WINDOW
-
-
-def _design(x: np.ndarray, split: float) -> np.ndarray:
-    """Both ratios and a soft step of the strongest window's at ``split``."""
-    return np.column_stack([x, 1 / (1 + np.exp(-np.clip(8 * (x[:, 1] - split), -30, 30))), np.ones(len(x))])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """The step of greatest likelihood, by a grid of splits, and its weights."""
-    best = (-np.inf, 0.0, np.zeros(4))
-    for split in np.linspace(x[:, 1].min(), x[:, 1].max(), 25):
-        d, w = _design(x, split), np.zeros(4)
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-            h = (d * (p * (1 - p))[:, None]).T @ d + 5e-2 * np.eye(4)
-            w = w + np.linalg.solve(h, d.T @ (y - p) - 5e-2 * w)
-        p = np.clip(1 / (1 + np.exp(-np.clip(d @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        best = max(best, (float(np.log(np.where(y == 1, p, 1 - p)).sum()), float(split), w), key=lambda t: t[0])
-    return best[1:]
-
-
-def fit(rows: DataFrame) -> dict | None:
-    """Learn from ``rows`` (text, toxic), a bounded sample of each class; None without both classes."""
-    rows = rows.where("toxic in (0, 1) and text is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if set(counts) != {0, 1}:
+    s = np.concatenate([[0.0], np.cumsum(r[1])])
+    k = min(span, len(s) - 1)
+    return float(r[0].mean()), float((s[k:] - s[:-k]).max()) / span
+
+
+def _design(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([x, np.ones(len(x))])
+
+
+def _odds(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d, w = _design(x), np.zeros(x.shape[1] + 1)
+    for _ in range(30):
+        p = _odds(d @ w)
+        w = w + np.linalg.solve((d.T * (p * (1 - p))) @ d + 0.05 * np.eye(len(w)), d.T @ (y - p) - 0.05 * w)
+    return w
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[list[str], int]]:
+    """(words, toxic) of at most ROWS labelled documents a class; the ids are picked first, so texts are read once."""
+    rows = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
+    order = F.xxhash64("doc_id")
+    ids = rows.where("y = 1").orderBy(order, "doc_id").limit(ROWS).unionByName(rows.where("y = 0").orderBy(order, "doc_id").limit(ROWS))
+    # 2 * ROWS ids at most, so the broadcast is bounded.
+    picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").distinct()
+    out, used = [], [0, 0]
+    for r in sorted(picked.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFF, r["doc_id"], r["text"])):
+        ws = tokens(r["text"])
+        if used[r["y"]] + len(ws) <= WORDS:
+            used[r["y"]] += len(ws)
+            out.append((ws, r["y"]))
+    return out
+
+
+def fit(rows: list[tuple[list[str], int]]) -> dict | None:
+    """Learn from (words, toxic) rows; None without both classes."""
+    if {y for _, y in rows} != {0, 1}:
         return None
-    share = F.when(F.col("toxic") == 1, min(1.0, ROWS / counts[1])).otherwise(min(1.0, ROWS / counts[0]))
-    h = F.xxhash64("text")
-    picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).distinct().withColumn("h", h)
-    got: list[tuple[list[str], int]] = []
-    for y in (0, 1):
-        used = 0
-        for r in picked.where(F.col("toxic") == y).orderBy("h", "text").limit(2 * ROWS).toLocalIterator():
-            ws = tokens(r["text"])
-            if used + len(ws) <= WORDS:
-                used += len(ws)
-                got.append((ws, y))
-    # The logistic is fitted on halves that the ratios have not seen.
-    x, ys = [], []
-    for half in (0, 1):
-        logs = _ratios([r for i, r in enumerate(got) if i % 2 != half])
-        for ws, y in (r for i, r in enumerate(got) if i % 2 == half):
-            x.append(features(ws, logs))
-            ys.append(y)
-    logs = _ratios(got)
-    return {"logs": logs, "w": _logistic(np.array(x), np.array(ys, float))}
+    folds: list[tuple[np.ndarray, int]] = []
+    for f in range(FOLDS):
+        seen = [r for i, r in enumerate(rows) if i % FOLDS != f]
+        rest = rows[f::FOLDS]
+        if len({y for _, y in seen}) == 2 and rest:
+            folds += zip(Ratios(Model(seen))([ws for ws, _ in rest]), [y for _, y in rest])
+    if len({y for _, y in folds}) < 2:  # too few rows for folds
+        folds = [*zip(Ratios(Model(rows))([ws for ws, _ in rows]), [y for _, y in rows])]
+    ys = np.array([y for _, y in folds], float)
+    best = None
+    for span in SPANS:
+        x = np.array([features(r, span) for r, _ in folds])
+        w = _logistic(x, ys)
+        p = np.clip(_odds(_design(x) @ w), 1e-6, 1 - 1e-6)
+        loss = -float(np.log(np.where(ys == 1, p, 1 - p)).sum())
+        if best is None or loss < best[0]:
+            best = (loss, span, w)
+    return {"ratios": Ratios(Model(rows)), "span": best[1], "w": best[2]}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -109,9 +185,9 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         m = shared.value
         for b in batches:
             out = np.zeros(len(b))
-            if m:
-                x = np.array([features(tokens(t), m["logs"]) for t in b["text"]]).reshape(-1, 2)
-                out = 1 / (1 + np.exp(-np.clip(_design(x, m["w"][0]) @ m["w"][1], -30, 30)))
+            for i in range(0, len(b) if m else 0, SOME):
+                x = np.array([features(r, m["span"]) for r in m["ratios"]([tokens(t) for t in b["text"].iloc[i:i + SOME]])])
+                out[i:i + SOME] = _odds(_design(x) @ m["w"])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": out})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
@@ -120,5 +196,5 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    rows = docs.where(~held).join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return score(docs, fit(rows)).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held)
+    return score(docs, fit(sample(docs, labels))).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
