@@ -1,7 +1,9 @@
 """Content-addressed WARC archive: payload bytes once by SHA-256, exact headers apart, records by joins.
 
 A null html is an empty payload. Equal payloads of 1000 bytes or more have one response (the largest page_id)
-and revisits; smaller ones are all responses that share the stored bytes. Null urls are written as ``urn:none``.
+and revisits; smaller ones are all responses that share the stored bytes. Null urls are written as ``urn:none``, line
+breaks in urls as %0D and %0A, null page_ids as ``none``; without a page_id every record is a response. Every record,
+revisits too, is rebuilt from its header and the payload it names, and ``sound`` says whether both digests hold.
 """
 
 from __future__ import annotations
@@ -12,9 +14,17 @@ from pyspark.sql import functions as F
 from rebill.llm.common import read, shared_dir
 
 REVISIT_BYTES = 1000
+DATE = "1970-01-01T00:00:00Z"  # of records; pages have no date of their own
 
 
-def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES) -> None:
+def field(name: str, value: str = r".*"):
+    """The value of a header line, null without one; urls can't hold a line break, so none begins a line."""
+    found = F.regexp_extract("header", rf"(?m)^{name}: ({value})$", 1)
+    return F.when(found != "", found)
+
+
+
+def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, date: str = DATE) -> None:
     """Write ``path``/payloads (key, payload) and ``path``/headers (page_id, key, header)."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", body.alias("payload"))
@@ -25,38 +35,37 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     heads = meta.where(large).groupBy("key").agg(F.max("page_id").alias("origin"))
     big = meta.where(large).join(heads, "key")
     every = big.unionByName(meta.where(~large).withColumn("origin", F.col("page_id")))
-    response = F.col("origin") == F.col("page_id")
+    response = F.col("origin").eqNullSafe(F.col("page_id")) | F.col("page_id").isNull()
+    url = F.replace(F.replace(F.coalesce("url", F.lit("urn:none")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(response, "response").otherwise("revisit"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"),
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("urn:none")),
+        F.lit("\r\nWARC-Record-ID: "), name("page_id"), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(response, "").otherwise(F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("origin").cast("string"), F.lit(">"))),
-        F.lit("\r\nX-Payload-Length: "), F.col("n").cast("string"),
+        F.when(response, "").otherwise(F.concat(F.lit("\r\nWARC-Refers-To: "), name("origin"))),
         F.lit("\r\nContent-Length: "), F.when(response, F.col("n")).otherwise(F.lit(0)).cast("string"), F.lit("\r\n\r\n"))
     every.select("page_id", "key", header.alias("header")).write.parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, header, payload (null for revisits), sound: each record rebuilt and held against its digests."""
-    headers = spark.read.parquet(f"{path}/headers").withColumn("type", F.regexp_extract("header", r"WARC-Type: (\w+)", 1))
+    """page_id, header, type, payload (in full, of revisits too), record (its bytes in the archive), sound."""
+    headers = spark.read.parquet(f"{path}/headers").withColumn("type", field("WARC-Type"))
     payloads = spark.read.parquet(f"{path}/payloads")
-    full = headers.where("type = 'response'").join(payloads, "key", "left")
-    full = full.withColumn("sound", F.coalesce((F.sha2("payload", 256) == F.col("key")) & (F.sha1("payload") == F.regexp_extract("header", "Payload-Digest: sha1:([0-9a-f]+)", 1)), F.lit(False)))
-    rest = headers.where("type <> 'response'").withColumn("payload", F.lit(None).cast("binary")).withColumn("sound", F.lit(True))
-    return full.unionByName(rest)
+    full = headers.join(payloads, "key", "left")
+    body = F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    sound = (F.sha2("payload", 256) == F.col("key")) & (F.sha1("payload") == field("WARC-Payload-Digest", "sha1:[0-9a-f]+").substr(6, 40))
+    return full.select("page_id", "header", "type", "payload", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"), F.coalesce(sound, F.lit(False)).alias("sound"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_archive(read(spark, sf_dir, "pages"), path)
     back = read_archive(spark, path)
-    stated = F.regexp_extract("header", r"X-Payload-Length: (\d+)", 1).cast("long")
-    refers = F.regexp_extract("header", r"Refers-To: <urn:page:(-?\d+)>", 1)
+    checked = lambda c: F.when(F.col("sound"), c).otherwise(F.raise_error(F.lit("a stored payload does not have its digest")))
     return back.select(
-        "page_id", F.when(F.col("type") == "response", F.length("payload").cast("long")).otherwise(stated).alias("payload_bytes"),
-        F.when(F.col("type") == "response", F.sha1("payload")).otherwise(F.regexp_extract("header", "Payload-Digest: sha1:([0-9a-f]+)", 1)).alias("payload_digest"),
-        F.col("type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"))
+        "page_id", F.length("payload").cast("long").alias("payload_bytes"), checked(F.sha1("payload")).alias("payload_digest"),
+        F.col("type").alias("record_type"), field("WARC-Refers-To", r"<urn:page:-?\d+>").substr(F.lit(11), F.lit(20)).alias("r")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.expr("cast(rtrim('>', r) as bigint)").alias("refers_to"))
 
 
 ORACLE = """

@@ -1,8 +1,12 @@
 """Language ID by cross-parsing entropy.
 
 A suffix automaton of labelled text is built for each language; a text is parsed into longest matches against
-each, and the language that needs the fewest phrases a letter wins (ties: the first by name). Null texts and texts
-without a letter are ``und`` with score 0. With nothing to learn from, every text is ``und``.
+each, and the language that needs the fewest phrases a symbol wins (ties: the first by name). Any symbol counts, with a
+place of its own in a sparse table of transitions. Null texts and texts without a letter are ``und`` with score 0. With
+nothing to learn from, every text is ``und``. Every row is labelled, repeated ones too.
+
+What is learnt from is a bounded sample: of the LANGS most frequent languages about ROWS different texts each,
+chosen by a hash of the text, the first PART characters of each and SYMBOLS in all.
 """
 
 from __future__ import annotations
@@ -12,21 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rebill.llm.common import read
 
-ROWS = 200  # labelled rows a language, about; chosen by a hash of the text
-SYMBOLS = 40_000  # symbols of a language's training text, at most
-LANGS = 64
-ALPHABET = 126
-WINDOW = 256  # symbols of a text parsed side by side; every window of a text is parsed
+ROWS, PART = 200, 2000
+SYMBOLS = 40_000
+LANGS = 256
+LONGEST = 1 << 17  # symbols parsed in one go; a phrase of a longer text ends there
+TOGETHER = 2000  # texts of about a length that are parsed side by side
 _GAP = re.compile(r"[\W\d_]+")
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)  # keys times this spread over the table
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Dense transitions [state, symbol] of the suffix automaton; 0 where there is none (the root is no target)."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions {symbol: state} of each state of the suffix automaton; no state leads back to the root, 0."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         cur = len(nxt)
@@ -51,11 +56,62 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.zeros((len(nxt), width), np.int32)
-    for i, row in enumerate(nxt):
-        for c, j in row.items():
-            out[i, c] = j
-    return out
+    return nxt
+
+
+class Transitions:
+    """All automata as one sparse table: state and symbol are hashed to a slot, taken slots pass on to the next.
+
+    A slot holds (state, symbol, next state) in one long; symbols are numbered from 1, 0 is any that was not learnt.
+    """
+
+    def __init__(self, automata: list[list[dict[int, int]]]):
+        found = np.unique(np.array([c for states in automata for c in states[0]], np.int64))
+        self.symbols = np.zeros(0x110000, np.uint32)
+        self.symbols[found] = np.arange(1, len(found) + 1)
+        rows, roots, base = [], [], 1
+        for states in automata:
+            roots.append(base)
+            rows += [(base + i, int(self.symbols[c]), base + j) for i, row in enumerate(states) for c, j in row.items()]
+            base += len(states)
+        self.roots = np.array(roots, np.uint64)
+        states, width = base.bit_length(), len(found).bit_length()
+        if 2 * states + width > 64:
+            raise ValueError("too many languages for the table")
+        self.width, self.states = np.uint64(width), np.uint64(states)
+        self.shift = np.uint64(64 - max(4, (2 * len(rows)).bit_length()))
+        state, symbol, to = np.array(rows, np.uint64).reshape(-1, 3).T
+        self.first = np.zeros((len(roots), len(found) + 1), np.uint64)  # from the roots, the roots where there is none
+        self.first[:] = self.roots[:, None]
+        for i, r in enumerate(self.roots):
+            self.first[i, symbol[state == r].astype(np.int64)] = to[state == r]
+        key = state << self.width | symbol
+        entry, slot = key << self.states | to, key * _SPREAD >> self.shift
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.uint64)
+        while len(entry):
+            # Of the entries that want a free slot the first takes it; the others try the next one.
+            _, take = np.unique(slot, return_index=True)
+            take = take[self.table[slot[take]] == 0]
+            self.table[slot[take]] = entry[take]
+            rest = np.ones(len(entry), bool)
+            rest[take] = False
+            entry, slot = entry[rest], (slot[rest] + np.uint64(1)) & np.uint64(len(self.table) - 1)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states, 0 where there is none."""
+        key = state << self.width | symbol
+        slot = key * _SPREAD >> self.shift
+        entry = self.table[slot]
+        hit = entry >> self.states == key
+        out = (entry & np.uint64((1 << int(self.states)) - 1)) * hit
+        open_ = np.flatnonzero((entry != 0) & ~hit)
+        while len(open_):
+            slot[open_] = (slot[open_] + np.uint64(1)) & np.uint64(len(self.table) - 1)
+            entry = self.table[slot[open_]]
+            hit = entry >> self.states == key[open_]
+            out[open_[hit]] = entry[hit] & np.uint64((1 << int(self.states)) - 1)
+            open_ = open_[~hit & (entry != 0)]
+        return out
 
 
 def plain(text: str) -> str:
@@ -63,73 +119,69 @@ def plain(text: str) -> str:
 
 
 def fit(rows: DataFrame) -> dict:
-    """Learn from ``rows`` (text, lang) with non-null values; a bounded sample (ROWS, SYMBOLS a language)."""
+    """Learn from ``rows`` (text, lang) with non-null values; a bounded sample."""
     rows = rows.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    h = F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGS).collect()}
     texts: dict[str, list[str]] = {k: [] for k in counts}
     if counts:
-        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, ROWS / n))])[F.col("lang")]
-        pick = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30)
-        part = F.substring("text", 1, SYMBOLS).alias("text")
-        sample = rows.where(pick).select("lang", part, F.xxhash64("text").alias("h")).orderBy("h", "text").limit(4 * ROWS * len(counts)).collect()
-        for r in sample:
+        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, ROWS / max(n, 1)))])[F.col("lang")]
+        picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).select("lang", F.substring("text", 1, PART).alias("text"), h.alias("h"))
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        sample = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("nth", nth).where(F.col("nth") <= 2 * ROWS)
+        for r in sample.orderBy("lang", "h").collect():
             texts[r["lang"]].append(plain(r["text"]))
     # Each text gives the same share, so that one long text does not fill the sample.
     joined = {k: " ".join(x[: max(200, SYMBOLS // max(1, len(v)))] for x in v)[:SYMBOLS] for k, v in texts.items()}
-    found = pd.Series(list("".join(joined.values()))).value_counts() if any(joined.values()) else pd.Series(dtype=int)
-    letters = sorted(sorted(found.index, key=lambda c: (-found[c], c))[:ALPHABET])
-    code = {ord(c): i + 1 for i, c in enumerate(letters)}
-    tables = {k: automaton([code.get(ord(c), 0) for c in v], len(letters) + 1) for k, v in sorted(joined.items()) if v}
-    for t in tables.values():
-        t[:, 0] = 0  # symbols outside the alphabet match nothing
-    return {"code": code, "tables": tables}
+    names = sorted(k for k, v in joined.items() if v)
+    return {"names": names, "table": Transitions([automaton([ord(c) for c in joined[k]]) for k in names])}
 
 
 def phrases(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases [text, language] and symbols [text] of whole texts, window by window."""
-    lut = np.zeros(0x110001, np.uint8)
-    lut[list(model["code"])] = list(model["code"].values())
-    n = len(texts)
-    size = np.zeros(n, np.int64)
-    flat, owner = [], []
+    """Phrases [text, language] and symbols [text] of whole texts, parsed side by side."""
+    table, roots = model["table"], model["table"].roots
+    parts, owner = [], []
+    size = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        if not t:
-            continue
-        x = np.frombuffer(plain(t).encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = np.frombuffer(plain(t).encode("utf-32-le", "surrogatepass"), np.uint32) if t else np.zeros(0, np.uint32)
         size[i] = len(x)
-        k = -(-len(x) // WINDOW)
-        pad = np.full(k * WINDOW, 255, np.uint8)
-        pad[: len(x)] = lut[x]
-        flat.append(pad.reshape(k, WINDOW))
-        owner.append(np.full(k, i))
-    out = np.zeros((n, len(model["tables"])), np.int64)
-    if flat:
-        own = np.concatenate(owner)
-        every = np.concatenate(flat)
-        for j, t in enumerate(model["tables"].values()):
-            ft, width = t.ravel(), t.shape[1]
-            for s in range(0, len(own), 16384):
-                cols = np.ascontiguousarray(every[s:s + 16384].T)
-                state = np.zeros(cols.shape[1], np.int64)
-                made = np.zeros(cols.shape[1], np.int64)
-                for c in cols:
-                    live = c != 255
-                    sym = np.where(live, c, 0)
-                    to = ft[state * width + sym]
-                    miss = (to == 0) & live
-                    made += miss
-                    state = np.where(live, np.where(miss, ft[sym], to), state)
-                out[:, j] += np.bincount(own[s:s + 16384], made + 1, n).astype(np.int64)
+        for s in range(0, len(x), LONGEST):
+            parts.append(x[s:s + LONGEST])
+            owner.append(i)
+    out = np.zeros((len(texts), len(roots)), np.int64)
+    if not parts:
+        return out, size
+    length = np.array([len(x) for x in parts])
+    order = np.argsort(-length, kind="stable")
+    length, flat = length[order], table.symbols[np.concatenate([parts[i] for i in order])].astype(np.uint64)
+    start, n = np.cumsum(length) - length, len(length)
+    made = np.zeros((len(roots), n), np.int64)
+    state = np.repeat(roots[:, None], n, axis=1)
+    for g in range(0, n, TOGETHER):
+        live = g + min(TOGETHER, n - g)
+        for step in range(int(length[g])):
+            while length[live - 1] <= step:
+                live -= 1
+            now = state[:, g:live]
+            symbol = np.tile(flat[start[g:live] + step], len(roots))
+            to = table(now.ravel(), symbol)
+            none = to == 0
+            # A phrase begins at a root, and with a symbol that the one before can't take in.
+            made[:, g:live] += none.reshape(now.shape) | (now == roots[:, None])
+            miss = np.flatnonzero(none)
+            to[miss] = table.first[miss // (live - g), symbol[miss].astype(np.int64)]
+            state[:, g:live] = to.reshape(now.shape)
+    np.add.at(out, np.array(owner)[order], made.T)
     return out, size
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), rate (phrases a symbol) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(model["tables"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        names = m["names"]
         for b in batches:
             texts = [t if isinstance(t, str) else None for t in b["text"]]
             lang, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)

@@ -98,8 +98,6 @@ def _fly(df: DataFrame) -> DataFrame:
             aim = (p[at] * size[at]).sum()
             best = min(range(1 << len(at)), key=lambda b: abs(sum(size[i] for j, i in enumerate(at) if b >> j & 1) - aim))
             p[at] = [best >> j & 1 for j in range(len(at))]
-            # Turning single draws over brings a lumpy small source nearer, each time by the best one.
-            p = turned(p, size, aim - (p[at] * size[at]).sum())
         g["p"] = p
         return g
 
@@ -108,12 +106,12 @@ def _fly(df: DataFrame) -> DataFrame:
 
 
 def _turn_over(live: DataFrame, drawn: DataFrame) -> DataFrame:
-    """doc_id, h, p (1 or -1): draws to turn over in sources of several blocks, whose landing saw only open documents.
+    """doc_id, h, p (1 or -1): draws to turn over, alike in every source, as a landing saw only open documents.
 
     The candidates are some drawn and undrawn documents of each size class of a source (sizes below 64, then 16 an
     octave), which bounds a source's group by its size classes.
     """
-    want = live.where("blocks > 1").groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("want"))
+    want = live.groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("want"))
     have = drawn.groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("have"))
     same = want["source"].eqNullSafe(have["source"])
     off = want.join(have, same).select(want["source"].alias("s"), (F.col("want") - F.col("have")).alias("off"))  # a row a source
@@ -165,7 +163,8 @@ def mix(docs: DataFrame) -> DataFrame:
     # Twins (equal id, text and source) are told apart by nothing, so their draws are added up and shared out.
     drawn = drawn.groupBy("doc_id", "h").agg(F.sum("p").cast("long").alias("extra"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("size"))
-    out = rows.join(drawn, ["doc_id", "h"], "left").withColumn("nth", nth)
+    drawn = drawn.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), "extra")
+    out = rows.join(drawn, (F.col("h") == F.col("dh")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d", "dh").withColumn("nth", nth)
     times = F.col("whole") + F.when(F.col("nth") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", "h", times.cast("long").alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 

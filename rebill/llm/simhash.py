@@ -1,7 +1,8 @@
 """Document fingerprints (native): 64-bit SimHash with permuted block tables.
 
 Null texts count as empty; an empty text has the fingerprint of no terms (all bits 0). Equal texts get equal
-fingerprints. Extra columns are ignored; rows that repeat a doc_id are kept as they are.
+fingerprints. Extra columns are ignored; rows that repeat a doc_id are rows of their own, next to each other in no fixed
+order. Rows with a null doc_id come last, before the first again.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with ``next_id`` and ``next_text`` in descending doc_id order, the last with the first.
+    """docs (doc_id, text) with ``next_id`` and ``next_text`` in descending doc_id order, the last with the first, and (p, nth) of each row.
 
     doc_ids are dealt into ranges by percentiles; the first row of each range is copied into the range before
     it, so that each lead() stays in its range and texts are shuffled once. One document is its own next.
@@ -100,7 +101,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("part", part)
     firsts = [tuple(r) for r in docs.groupBy("part").agg(F.max("doc_id").alias("m")).orderBy(F.desc("part")).collect()]
     if not firsts:
-        return docs.select("doc_id", "text", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
+        return docs.select("doc_id", "text", "part", F.lit(1).alias("nth"), F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")).withColumnRenamed("part", "p")
     # The highest row of each range also ends the range above it; the very first also ends the lowest range.
     ends = {m: (firsts[i - 1][0]) for i, (_, m) in enumerate(firsts)}
     to = F.create_map(*[F.lit(x) for m, p in ends.items() for x in (m, p)])[F.col("doc_id")]
@@ -112,7 +113,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("p").orderBy(F.col("x"), F.desc("doc_id"))
-    return rows.select("doc_id", "text", "x", F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text")).where("x = 0").drop("x")
+    return rows.select("doc_id", "text", "x", "p", F.row_number().over(w).alias("nth"), F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text")).where("x = 0").drop("x")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,16 +121,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     head = F.col("text").substr(F.lit(1), F.length("text") - half)
     rows = with_next(docs).withColumn("edited", F.concat(head, F.col("next_text").substr(F.lit(1), half)))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("e")
-    meta = rows.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), both)
-    meta = meta.select("doc_id", "next_id", "n_chars", "edited_sha256", "e.v", F.col("e.t").alias("text"))
-    fps = fingerprints(meta, ["doc_id", "next_id", "n_chars", "edited_sha256", "v"])
-    one = stored(fps.groupBy("doc_id", "next_id", "n_chars").agg(
-        F.max(F.when(F.col("v") == 1, F.col("edited_sha256"))).alias("edited_sha256"),
-        F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("efp")))
-    nxt = one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("nfp"))
+    kinds = [F.struct(F.lit(v).alias("v"), F.col(c).alias("t")) for v, c in enumerate(("text", "edited", "next_text"))]
+    row = ["doc_id", "p", "nth", "n_chars", "edited_sha256"]
+    meta = rows.select("doc_id", "p", "nth", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(*kinds)).alias("e"))
+    fps = fingerprints(meta.select(*row, "e.v", F.col("e.t").alias("text")), [*row, "v"])
+    one = stored(fps.groupBy(*row).agg(*[F.max(F.when(F.col("v") == v, F.col("fp"))).alias(c) for v, c in enumerate(("fp", "efp", "nfp"))]))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     counted = stored(near_counts(one.select("fp")))
-    return one.join(nxt, "next_id").join(counted, "fp").select(
+    return one.join(counted, "fp").select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("efp").alias("edited_fingerprint"),
         likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"), "near_fingerprints", "near_rows")
