@@ -147,9 +147,10 @@ def next_charge(last: Column, months: Column, as_of: Column) -> Column:
 def detect_subscriptions(tx: DataFrame, as_of: str) -> DataFrame:
     """One row per subscription of an account, ranked by monthly cost."""
     day = F.lit(as_of).cast("date")
-    it = items(tx)
+    # Keyed once: filters, prices, changes and ranks all read these rows, which stay cached until the caller clears the cache.
+    it = items(tx).persist()
     fine = verdicts(it).where("rejected IS NULL").select(*GROUP)
-    it = it.join(fine, GROUP, "left_semi")
+    it = it.join(fine, GROUP, "left_semi").persist()
     place = F.struct("date", (~F.col("main")).alias("side"), "cluster", "amount", "glue", "row_no")
     s = stable_charges(it).groupBy(*GROUP).agg(
         F.count("*").alias("charges"), F.round(F.sum(F.abs("amount")), 2).alias("total_paid"), F.first("price").alias("price"), F.min("date").alias("first_charge"),

@@ -6,7 +6,7 @@ The walk over an account's names depends on their order, so it runs over the dis
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rebill.functions import dims, text
@@ -64,3 +64,21 @@ def final_keys(tx: DataFrame) -> DataFrame:
 def group_items(tx: DataFrame) -> DataFrame:
     """Transactions with kind, key and glue; items of a group are ordered by glue, date, row_no."""
     return tx.withColumn("description", F.coalesce("description", F.lit(""))).join(final_keys(tx), ["account_id", "description"])
+
+
+def similar_merchants(names: DataFrame, least: float = 0.8) -> DataFrame:
+    """a, b, likeness of all pairs of different names whose bigrams have a Dice of ``least`` or more.
+
+    With bigrams in order of frequency such names share one of their rarest, so only these are joined.
+    """
+    x = names.select("name", text.bigrams("name").alias("g")).where(F.size("g") > 0).distinct()
+    each = x.select("name", F.size("g").alias("n"), F.explode("g").alias("w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("df", "w"))
+    # Dice >= t with any partner needs n * t / (2 - t) common bigrams at least.
+    rare = each.join(counts, "w").withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least / (2 - least) - 1e-9) + 1)
+    a, b = rare.select("w", F.col("name").alias("a"), F.col("n").alias("na")), rare.select("w", F.col("name").alias("b"), F.col("n").alias("nb"))
+    close = F.least("na", "nb") * (2 - least) + 1e-9 >= F.greatest("na", "nb") * least
+    pairs = a.join(b, "w").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    both = pairs.join(x.select(F.col("name").alias("a"), F.col("g").alias("ga")), "a").join(x.select(F.col("name").alias("b"), F.col("g").alias("gb")), "b")
+    return both.select("a", "b", text.dice(F.col("ga"), F.col("gb")).alias("likeness")).where(F.col("likeness") >= least)

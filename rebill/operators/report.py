@@ -73,3 +73,53 @@ def cancel_url(name: Column | str) -> Column:
 
 def enrich_links(subs: DataFrame) -> DataFrame:
     return subs.withColumn("cancel_url", cancel_url("name")).withColumn("included_in", _looked_up(F.col("name"), dims.INCLUDED))
+
+
+def savings(subs: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """What an account saves a month, a year and in five years without its subscriptions, or without ``cancelled`` (account_id, id) ones."""
+    x = subs if cancelled is None else subs.join(cancelled, ["account_id", "id"], "left_semi")
+    m = F.sum(F.abs("monthly_cost"))
+    return x.groupBy("account_id").agg(F.round(m, 2).alias("monthly"), F.round(m * 12, 2).alias("yearly"), F.round(m * 60, 2).alias("five_years"))
+
+
+def days_left(subs: DataFrame, as_of: str, urgent: int = 3) -> DataFrame:
+    left = F.datediff("next_charge", F.lit(as_of).cast("date"))
+    return subs.select("account_id", "rank", "name", left.alias("days_left"), (left <= urgent).alias("urgent"))
+
+
+def monthly_all(tx: DataFrame, as_of: str, months: int = 6) -> DataFrame:
+    """Signed sum of all rows of an account in each of the last months; 0 where there is none."""
+    first = F.add_months(F.trunc(F.lit(as_of).cast("date"), "month"), 1 - months)
+    sums = tx.where(F.col("date") >= first).groupBy("account_id", F.trunc("date", "month").alias("start")).agg(F.sum("amount").alias("s"))
+    grid = _months(tx.select("account_id").distinct(), as_of, months)
+    return grid.join(sums, ["account_id", "start"], "left").select("account_id", F.date_format("start", "MM.yyyy").alias("month"), F.round(F.coalesce("s", F.lit(0.0)), 2).alias("spent"))
+
+
+def flat_series(monthly: DataFrame) -> DataFrame:
+    """Whether an account spent the same in every month of a series of more than one."""
+    return monthly.groupBy("account_id").agg(((F.count("*") > 1) & (F.max("spent") == F.min("spent"))).alias("flat"))
+
+
+def report(tx: DataFrame, subs: DataFrame, as_of: str) -> DataFrame:
+    """One row an account: its subscriptions by rank, its months in order, totals and a message.
+
+    Accounts without a subscription get the sums of all rows as months. ``subs`` is read several times: pass a stored one.
+    """
+    listed = enrich_links(subs).groupBy("account_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "id", "name", "category", "amount", "period", "monthly_cost", "yearly_cost", "active", "next_charge", "cancel_url", "included_in"))).alias("subscriptions"),
+        F.round(F.sum(F.abs("monthly_cost")), 2).alias("total_monthly"), F.round(F.sum(F.abs("yearly_cost")), 2).alias("total_yearly"))
+    spent = monthly_from_txs(tx, subs, as_of).unionByName(monthly_all(tx, as_of).join(subs.select("account_id").distinct(), "account_id", "left_anti"))
+    order = F.concat(F.right("month", F.lit(4)), F.left("month", F.lit(2)))
+    months = spent.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), "month", "spent"))).alias("monthly"))
+    rows = tx.groupBy("account_id").agg(F.count("*").alias("n")).join(months, "account_id", "left").join(listed, "account_id", "left")
+    found = F.size(F.coalesce("subscriptions", F.array().cast(listed.schema["subscriptions"].dataType)))
+    message = F.when(found > 0, F.concat(F.lit("Выписка: "), F.col("n"), F.lit(" транзакций, найдено подписок: "), found)).otherwise(
+        F.concat(F.lit("В выписке ("), F.col("n"), F.lit(" транзакций) не найдено регулярных списаний — показаны общие расходы по выписке")))
+    zero = F.lit(0.0)
+    return rows.select("account_id", F.lit(False).alias("mock"), F.coalesce("subscriptions", F.array().cast(listed.schema["subscriptions"].dataType)).alias("subscriptions"), F.transform("monthly", lambda m: F.struct(m["month"], m["spent"])).alias("monthly"),
+                       F.coalesce("total_monthly", zero).alias("total_monthly"), F.coalesce("total_yearly", zero).alias("total_yearly"), message.alias("message"))
+
+
+def report_json(reports: DataFrame) -> DataFrame:
+    """One JSON document an account."""
+    return reports.select("account_id", F.to_json(F.struct("mock", "subscriptions", "monthly", "total_monthly", "total_yearly", "message")).alias("document"))

@@ -44,6 +44,3 @@ def cadence(tx: DataFrame, min_events: int = 3) -> DataFrame:
     g = g.withColumn("period", period).withColumn("months", months).where(period.isNotNull() & (share >= F.size("gaps") * 0.6))
     return g.select("account_id", "description", "charges", "last_charge", "period", F.add_months("last_charge", F.col("months")).alias("next_charge"))
 
-
-def monthly_all(tx: DataFrame) -> DataFrame:
-    return tx.groupBy("account_id", F.date_format("date", "MM.yyyy").alias("month")).agg(F.round(F.sum("amount"), 2).alias("spent"))
