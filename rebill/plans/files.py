@@ -14,11 +14,11 @@ from rebill.sources.statements import AS_OF, BANK_SQL, bank_rows
 
 
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Lines, header, delimiter, cells of the derived files; lines and cells are read several times and so cached."""
-    x = csv_lines(s, d).persist()
-    head = ingest.find_header_line(x).persist()
+    """Lines, header, delimiter, cells of the derived files."""
+    x = csv_lines(s, d)
+    head = ingest.find_header_line(x)
     delim = ingest.detect_delimiter(x, head)
-    return x, head, delim, ingest.statement_cells(x, head, delim).persist()
+    return x, head, delim, ingest.statement_cells(x, head, delim)
 
 
 def _parsed(s: SparkSession, d: str) -> DataFrame:
@@ -204,7 +204,7 @@ ORACLES = {
     "pick_amount": _TEXT + "z AS (SELECT 1) SELECT account_id, line_no, CASE WHEN one OR p = 1 THEN a END AS amount FROM mn UNION ALL SELECT account_id, line_no, 10000.0::DOUBLE FROM foot",
     "line_text": _TEXT + "z AS (SELECT 1) SELECT account_id, line_no, CASE WHEN one OR p = 2 THEN cd ELSE '' END AS rest FROM mn UNION ALL SELECT account_id, line_no, 'Остаток на конец периода' FROM foot",
     "clean_desc": BANK_SQL + f"SELECT DISTINCT description, {_cd('description')} AS cleaned FROM bank",
-    "assemble_lines": _TEXT + "z AS (SELECT 1) SELECT account_id, n AS record, date, abs(amount) AS amount, sg AS sign, CAST(NULL AS DOUBLE) AS balance, CASE WHEN account_id % 2 = 1 THEN cd ELSE '' END AS category, CASE WHEN account_id % 2 = 1 THEN '' ELSE cd END AS desc FROM nb",
+    "assemble_lines": _TEXT + "z AS (SELECT 1) SELECT account_id, n AS record, date, abs(amount) AS amount, sg AS sign, CAST(NULL AS DOUBLE) AS balance, CASE WHEN account_id % 2 = 1 THEN cd ELSE '' END AS category, CASE WHEN account_id % 2 = 1 THEN '' ELSE cd END AS words FROM nb",
     "direction_lines": _TEXT + _LAST + " SELECT * FROM tx WHERE description <> ''",
     "cell_number": BANK_SQL + """SELECT account_id, row_no, CASE row_no % 4 WHEN 0 THEN n WHEN 1 THEN replace(n, '.', ',') || ' ₽' WHEN 2 THEN '−1.234.567,' || right(n, 2) || 'руб.' ELSE 'x' || n END AS cell,
       CASE row_no % 4 WHEN 0 THEN n::DOUBLE WHEN 1 THEN n::DOUBLE WHEN 2 THEN -('1234567.' || right(n, 2))::DOUBLE END AS number FROM (SELECT *, printf('%.2f', abs(amount)) AS n FROM bank)""",

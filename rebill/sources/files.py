@@ -49,6 +49,6 @@ def text_lines(s: SparkSession, d: str) -> DataFrame:
     lines = F.when(F.col("account_id") % 2 == 1, F.array(F.concat_ws("  ", F.date_format("date", "dd.MM.yyyy"), "description", money))).otherwise(
         F.array(F.concat(F.date_format("date", "dd.MM.yy"), F.lit(" 17:04")), money, F.col("description")))
     n = F.row_number().over(Window.partitionBy("account_id").orderBy("date", "row_no"))
-    rows = b.select("account_id", n.alias("n"), F.posexplode(lines).alias("p", "text"))
+    rows = b.withColumn("n", n).select("account_id", "n", F.posexplode(lines).alias("p", "text"))
     foot = b.select("account_id").distinct().select("account_id", F.lit(100_000_000).alias("line_no"), F.lit("Остаток на конец периода 10 000,00 ₽").alias("text"))
     return rows.select("account_id", (F.col("n") * 3 + F.col("p")).alias("line_no"), "text").unionByName(foot)

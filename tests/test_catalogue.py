@@ -18,7 +18,7 @@ def shared_frames(spark):
         setattr(subscriptions, name, build)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("customer", "orders"):
