@@ -59,11 +59,13 @@ def link(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = mixed.groupBy("node", "root").agg(F.max(F.col("root") != F.col("major")).alias("minor"))
     held = nodes.join(sets, "node").withColumn("n", F.size("set"))
     rows = stored(held.select("node", "root", "minor", "n", F.explode("set").alias("token")))
+    dropped(mixed)
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     order = Window.partitionBy("node").orderBy("df", "token")
     # A shingle of one set alone takes its place in the order but can be shared with none.
     placed = rows.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("pos", F.row_number().over(order))
     placed = stored(placed.where((F.col("pos") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("token", "node", "root", "minor", "n", "pos"))
+    dropped(rows)
     a = placed.where("minor").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "pos")])
     b = placed.select("token", "minor", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "pos")])
     most = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -71,7 +73,7 @@ def link(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     once = ~F.col("minor") | (F.col("node_a") < F.col("node_b"))
     pairs = stored(a.join(b, "token").where((F.col("root_a") != F.col("root_b")) & fits & once).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     more = stored(confirmed(pairs, sets, percent))
-    dropped(mixed, rows, placed, pairs)
+    dropped(placed, pairs)
     if not more.isEmpty() or roots is None:
         roots = components(more if links is None else links.unionByName(more))
     return roots

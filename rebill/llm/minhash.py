@@ -130,9 +130,15 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     one = signed.where("node is not null and doc_id is not null")
     heads = stored(one.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")))
     member = heads.select("node", F.posexplode("keys").alias("no", "key")).select("node", F.xxhash64("no", "key").alias("bucket"))
-    twice = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    # A head has a bucket at most once, so a count tells whether others have it.
+    twice = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     inside = stored(member.join(twice, "bucket"))
-    wanted = stored(inside.select("node").distinct().join(heads.select("node", "doc_id"), "node"))
+    # From here on nothing reads the keys, which are most of both tables.
+    wide, keyed = signed, heads
+    signed, heads = stored(wide.drop("keys")), stored(keyed.drop("keys"))
+    one = signed.where("node is not null and doc_id is not null")
+    dropped(wide, keyed)
+    wanted = stored(inside.select("node").distinct().join(heads, "node"))
     sets = stored(_sets(docs.join(wanted, "doc_id"), width))
     roots = link(inside, sets, percent)
     dropped(inside, wanted, sets)
@@ -141,7 +147,7 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     same = stored(one.select("doc_id", "node").join(several, "doc_id").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct())
     if not same.isEmpty():
         roots = components(same.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    classes = stored(heads.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    classes = stored(heads.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("least"))
     final = stored(classes.join(least, "root").select("node", "least"))
     out = signed.select("doc_id", "n_shingles", "node").join(final, "node", "left")
