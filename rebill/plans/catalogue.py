@@ -1,7 +1,7 @@
 """Queries of the statement analysis and their SQL."""
 
 from rebill.operators import rhythm
-from rebill.plans import files, oracles, subscriptions
+from rebill.plans import files, oracles, subscriptions, tables
 from rebill.sources.statements import SQL, statements
 
 QUERIES = {
@@ -23,5 +23,5 @@ ORACLES = {
     SELECT account_id, description, charges, last_charge, period, CAST(last_charge + to_months(CAST(k AS INT)) AS DATE) AS next_charge
     FROM p WHERE len(list_filter(gaps, lambda x: x BETWEEN lo AND hi)) >= len(gaps) * 0.6""",
 }
-QUERIES |= subscriptions.QUERIES | files.QUERIES
-ORACLES |= oracles.ORACLES | files.ORACLES
+QUERIES |= subscriptions.QUERIES | files.QUERIES | tables.QUERIES
+ORACLES |= oracles.ORACLES | files.ORACLES | tables.ORACLES
