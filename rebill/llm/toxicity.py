@@ -54,7 +54,7 @@ class Model:
         for ws, y in rows:
             self.pairs[y].update(set(zip([BEGIN, *ws], ws)))
         self.words = tuple(Counter(c for _, c in x) for x in self.pairs)
-        self.shared = Counter(c for _, c in set(self.pairs[0]) | set(self.pairs[1]))
+        self.shared = Counter(c for _, c in self.every())
         self.kinds, self.total = len(self.shared) + 1, sum(self.shared.values())
         self.d2, self.d1 = [discounts(x) for x in self.pairs], [discounts(x) for x in self.words]
         self.n1 = [sum(x.values()) for x in self.words]
@@ -66,6 +66,11 @@ class Model:
                 self.after[y][a] += n
                 self.gamma2[y][a] += self.d2[y][min(n, 3) - 1]
 
+    def every(self) -> Iterator[tuple[str, str]]:
+        """The pairs of both classes, once each."""
+        yield from self.pairs[0]
+        yield from (p for p in self.pairs[1] if p not in self.pairs[0])
+
     def word(self, y: int, c: str) -> float:
         """Probability of a word by the continuation counts of a class and the shared ones."""
         low = (self.shared.get(c, 0) + 1) / (self.total + self.kinds)
@@ -93,8 +98,10 @@ class Ratios:
         self.word = np.array([log(model.word, w) for w in names] + [log(model.word, None)])  # the last: all other words
         left = lambda y, a: model.gamma2[y][a] / model.after[y][a] if model.after[y].get(a) else 1.0
         self.context = np.array([log(left, w) for w in names] + [0.0])
-        known = sorted((self.ids[a] << 32 | self.ids[c], log(model.pair, a, c)) for a, c in set(model.pairs[0]) | set(model.pairs[1]))
-        self.pairs, self.of = np.array([k for k, _ in known], np.int64), np.array([r for _, r in known])
+        # Arrays from the start: lists of keys and ratios take many times the memory of the driver.
+        keys = np.fromiter((self.ids[a] << 32 | self.ids[c] for a, c in model.every()), np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.of = keys[order], np.fromiter((log(model.pair, a, c) for a, c in model.every()), float)[order]
 
     def __call__(self, texts: list[list[str]]) -> list[np.ndarray]:
         """[2, word] for each text: ratios of words after the word before, and by themselves."""
@@ -144,12 +151,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[list[str], int]]:
     ids = rows.where("y = 1").orderBy(order, "doc_id").limit(ROWS).unionByName(rows.where("y = 0").orderBy(order, "doc_id").limit(ROWS))
     # 2 * ROWS ids at most, so the broadcast is bounded.
     picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").distinct()
-    out, used = [], [0, 0]
+    out, used, one = [], [0, 0], {}  # one: equal words are one object
     for r in sorted(picked.collect(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFF, r["doc_id"], r["text"])):
         ws = tokens(r["text"])
         if used[r["y"]] + len(ws) <= WORDS:
             used[r["y"]] += len(ws)
-            out.append((ws, r["y"]))
+            out.append(([one.setdefault(w, w) for w in ws], r["y"]))
     return out
 
 
