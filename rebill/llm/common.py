@@ -37,16 +37,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))  # of each byte; A-Z count as a-z, spaces as nothing
 _VALUE[65:91] = _VALUE[97:123]
 _VALUE[list(SPACES)] = 0
+# Value of each byte of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ with A-Z taken as a-z, for ``word_table``; 0: between words.
+ALNUM = np.where([chr(i).isalnum() and i < 128 or i > 127 for i in range(256)], _VALUE, 0).astype(np.uint64)
 _LOW, _HIGH = powers(0x9E3779B97F4A7C15, 1 << 16), 0xD1B54A32D192ED03
 
 
 class Words(NamedTuple):
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a run of texts, A-Z taken as a-z: 64-bit hashes and places."""
+    """Words of a run of texts, A-Z taken as a-z: 64-bit hashes and places."""
 
     hash: np.ndarray  # uint64
     start: np.ndarray  # first byte of each word in ``data``
@@ -67,10 +67,10 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def word_table(texts: pa.Array) -> Words:
-    """All words of an array of texts at once."""
+def word_table(texts: pa.Array, value: np.ndarray = _VALUE) -> Words:
+    """All words of an array of texts at once: runs of bytes with a value, ``[^\\x20\\x09-\\x0D]+`` if not told otherwise."""
     data, at = utf8(texts)
-    word = ~_IS_SPACE[data]
+    word = (value != 0)[data]
     left = np.concatenate([[False], word[:-1]])
     left[at[:-1][at[:-1] < len(data)]] = False  # a word never crosses from one text into the next
     start = np.flatnonzero(word & ~left)
@@ -83,7 +83,7 @@ def word_table(texts: pa.Array) -> Words:
         for i, j in zip(cuts[:-1], cuts[1:]):
             s, lo, hi = start[i:j], start[i], end[j - 1]
             place = np.arange(lo, hi) - np.repeat(s, np.diff(np.append(s, hi)))
-            v = _VALUE[data[lo:hi]] * _LOW[place & 0xFFFF]
+            v = value[data[lo:hi]] * _LOW[place & 0xFFFF]
             if len(place) and place.max() >> 16:
                 v *= powers(_HIGH, (int(place.max()) >> 16) + 1)[place >> 16]
             hashes[i:j] = np.add.reduceat(v, s - lo)

@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from rebill.llm import archive, language, minhash, mixing, neighbours, ngram_lm, piece, simhash, substring, toxicity
+from rebill.llm import archive, decontamination, language, minhash, mixing, neighbours, ngram_lm, piece, simhash, substring, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_pieces": piece.op8_pieces,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring": substring.op10_substring,
+    "op11_decontamination": decontamination.op11_decontamination,
 }
-ORACLES = {"op3_warc": archive.ORACLE}
+ORACLES = {"op3_warc": archive.ORACLE, "op11_decontamination": decontamination.ORACLE}
