@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from rebill.llm import archive, decontamination, language, minhash, mixing, neighbours, ngram_lm, piece, simhash, substring, toxicity
+from rebill.llm import archive, decontamination, language, minhash, mixing, neighbours, ngram_lm, piece, prefixes, simhash, substring, toxicity
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_substring": substring.op10_substring,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_prefixes": prefixes.op12_prefixes,
 }
-ORACLES = {"op3_warc": archive.ORACLE, "op11_decontamination": decontamination.ORACLE}
+ORACLES = {"op3_warc": archive.ORACLE, "op11_decontamination": decontamination.ORACLE, "op12_prefixes": prefixes.ORACLE}
