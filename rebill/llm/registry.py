@@ -1,6 +1,6 @@
 """Queries and SQL of the training-data operators."""
 
-from rebill.llm import archive, decontamination, language, minhash, mixing, neighbours, ngram_lm, piece, prefixes, simhash, substring, toxicity
+from rebill.llm import archive, decontamination, language, minhash, mixing, neighbours, ngram_lm, piece, prefixes, simhash, substring, toxicity, whitening
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_substring": substring.op10_substring,
     "op11_decontamination": decontamination.op11_decontamination,
     "op12_prefixes": prefixes.op12_prefixes,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {"op3_warc": archive.ORACLE, "op11_decontamination": decontamination.ORACLE, "op12_prefixes": prefixes.ORACLE}
