@@ -23,6 +23,11 @@ def _cut(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, ANY_CASE + pattern, by)
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(_col(c), "(?U)^\\s+|\\s+$", "")
+
+
 def translit(c: Column | str) -> Column:
     out = F.translate(F.upper(_col(c)), *dims.ONE_TO_ONE)
     for letter, latin in dims.ONE_TO_MANY.items():
@@ -69,7 +74,7 @@ def canonical_brand(c: Column | str) -> Column:
 
 def clean_merchant(c: Column | str) -> Column:
     """struct(name, mcc): the merchant without payment words, codes, phones, cities and bank details."""
-    s = F.trim(_cut(_col(c), dims.BANK_TAIL))
+    s = strip(_cut(_col(c), dims.BANK_TAIL))
     s = _cut(s, dims.PAY_VERB)
     mcc = F.regexp_extract(s, ANY_CASE + dims.STAR_CODE, 2)
     s = _cut(s, dims.STAR_CODE, "$1 $3")
@@ -83,7 +88,7 @@ def clean_merchant(c: Column | str) -> Column:
 def group_key(c: Column | str) -> Column:
     """struct(kind, key): the brand, else the normalised name, else the raw text."""
     brand, norm = canonical_brand(c)["name"], normalize_description(c)
-    own = F.when(norm != "", norm).otherwise(F.concat(F.lit("raw:"), F.lower(F.trim(_col(c)))))
+    own = F.when(norm != "", norm).otherwise(F.concat(F.lit("raw:"), F.lower(strip(c))))
     return F.struct(F.when(brand.isNotNull(), "brand").otherwise("norm").alias("kind"), F.coalesce(brand, own).alias("key"))
 
 

@@ -106,15 +106,22 @@ QUERIES = {
 _K = "account_id % 4"
 _DAY = "CASE WHEN row_no % 17 = 5 THEN '' WHEN k = 1 THEN strftime(date, '%Y-%m-%d') WHEN k = 2 THEN strftime(date, '%d/%m/%Y') ELSE strftime(date, '%d.%m.%Y') END"
 _AMOUNT = "CASE WHEN row_no % 19 = 7 THEN 'нет' WHEN k = 1 THEN printf('%.2f', amount) ELSE replace(printf('%.2f', amount), '.', ',') END"
-_CSV = f"""bb AS (SELECT *, {_K} AS k, row_number() OVER (PARTITION BY account_id ORDER BY date, row_no) AS n FROM bank),
-b AS (SELECT *, {_DAY} AS dd, {_AMOUNT} AS aa FROM bb), heads AS (SELECT DISTINCT account_id, {_K} AS k FROM bank),
-cl AS (SELECT account_id, CAST(n + (account_id % 3 = 1 AND k <> 3)::INT AS INT) AS line_no, CASE WHEN account_id % 5 = 4 THEN '"' || strftime(date, '%d.%m.%Y') || '  ' || description || '  −' || printf('%.2f', abs(amount)) || ' ₽"'
-  WHEN k = 0 THEN dd || ';' || aa || ';' || description WHEN k = 1 THEN dd || ',' || aa || ',' || description WHEN k = 2 THEN dd || chr(9) || description || chr(9) || aa ELSE description || ';' || dd || ';' || aa END AS text FROM b
+_NAMED = "CASE WHEN row_no % 13 = 4 THEN '\"' || description || '; \"\"A\"\", Inc' || chr(9) || '\"' WHEN row_no % 29 = 11 THEN '\"' || description || chr(10) || ', second line\"' ELSE description END"
+_CSV = f"""bb AS (SELECT *, {_K} AS k, row_number() OVER (PARTITION BY account_id ORDER BY date, row_no) * 2 AS n FROM bank),
+b AS (SELECT * REPLACE ({_NAMED} AS description), description AS plain, {_DAY} AS dd, {_AMOUNT} AS aa FROM bb), heads AS (SELECT DISTINCT account_id, {_K} AS k FROM bank),
+br AS (SELECT account_id, n + (account_id % 3 = 1 AND k <> 3)::INT AS n, string_split(CASE WHEN account_id % 5 = 4 THEN '"' || strftime(date, '%d.%m.%Y') || '  ' || plain || '  −' || printf('%.2f', abs(amount)) || ' ₽"'
+  WHEN k = 0 THEN dd || ';' || aa || ';' || description WHEN k = 1 THEN dd || ',' || aa || ',' || description WHEN k = 2 THEN dd || chr(9) || description || chr(9) || aa ELSE description || ';' || dd || ';' || aa END, chr(10)) AS ls FROM b),
+cl AS (SELECT account_id, CAST(n + i - 1 AS INT) AS line_no, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM br)
  UNION ALL SELECT account_id, (account_id % 3 = 1 AND k <> 3)::INT, CASE WHEN account_id % 5 = 4 THEN 'Операции' WHEN k = 0 THEN 'Дата операции;Сумма (руб);Описание' WHEN k = 1 THEN 'date,amount,description'
   WHEN k = 2 THEN 'Дата и время' || chr(9) || 'Назначение платежа' || chr(9) || 'Списание' ELSE 'Col1;Col2;Col3' END FROM heads
  UNION ALL SELECT account_id, 0, 'Выписка по карте' FROM heads WHERE account_id % 3 = 1 AND k <> 3),"""
 
 
+def _cut(d: str) -> str:
+    """Cells of a record, quotes and all; for the well-formed ones above."""
+    return f"CASE WHEN contains(text, '\"') THEN regexp_extract_all(text || {d}, '(\"(?:[^\"]|\"\")*\"|[^\"' || {d} || '][^' || {d} || ']*|)' || {d}, 1) ELSE string_split(text, {d}) END"
+
+
 def _norm(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower({x}), 'ё', 'е'), '\\(.*?\\)', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_ ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -126,7 +133,7 @@ def _kinds(d: str) -> str:
 
 
 _SEPS = ("';'", "chr(9)", "','")
-_EVEN = " ".join(f"WHEN min(len(string_split(text, {d}))) > 1 AND min(len(string_split(text, {d}))) = max(len(string_split(text, {d}))) THEN {d}" for d in _SEPS)
+_EVEN = " ".join(f"WHEN min(len({_cut(d)})) > 1 AND min(len({_cut(d)})) = max(len({_cut(d)})) THEN {d}" for d in _SEPS)
 _KIND_ROWS = ", ".join(f"({_q(k)}, [{', '.join(map(_q, al))}])" for k, al in layout.ALIASES.items())
 
 
@@ -141,10 +148,13 @@ _NUMBER = "TRY_CAST(replace(regexp_replace(value, '[^0-9.,-]', '', 'g'), ',', '.
 _FILES = BANK_SQL + ", " + _CSV + f"""
 hd AS (SELECT account_id, line_no, text, CAST(kinds AS INT) AS kinds FROM (SELECT *, greatest({', '.join(map(_kinds, _SEPS))}) AS kinds FROM cl WHERE line_no < 15)
   QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY least(kinds, 2) DESC, line_no) = 1),
-body AS (SELECT cl.*, h.line_no AS h, sum(length(cl.text) + 1) OVER (PARTITION BY account_id ORDER BY cl.line_no) - length(cl.text) - 1 AS before FROM cl JOIN hd h USING (account_id) WHERE cl.line_no >= h.line_no),
-dl AS (SELECT account_id, CASE {_EVEN} ELSE ',' END AS delimiter FROM body WHERE before < 4096 GROUP BY account_id),
-cut AS (SELECT account_id, line_no - h AS row_no, string_split(text, delimiter) AS vs FROM body JOIN dl USING (account_id)),
-cell AS (SELECT account_id, row_no, CAST(i - 1 AS INT) AS col_no, regexp_replace(trim(vs[i]), '^"|"$', '', 'g') AS value FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM cut)),
+body AS (SELECT cl.*, h.line_no AS h, sum(length(cl.text) + 1) OVER w - length(cl.text) - 1 AS before, coalesce(sum(length(cl.text) - length(replace(cl.text, '"', ''))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS goes_on
+  FROM cl JOIN hd h USING (account_id) WHERE cl.line_no >= h.line_no WINDOW w AS (PARTITION BY account_id ORDER BY cl.line_no)),
+rc AS (SELECT account_id, string_agg(text, chr(10) ORDER BY line_no) AS text, min(before) AS before, string_agg(text, chr(10) ORDER BY line_no) FILTER (before < 4096) AS sniffed, row_number() OVER (PARTITION BY account_id ORDER BY rec) - 1 AS row_no
+  FROM (SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY account_id ORDER BY line_no) AS rec FROM body) GROUP BY account_id, rec),
+dl AS (SELECT account_id, CASE {_EVEN} ELSE ',' END AS delimiter FROM (SELECT account_id, sniffed AS text FROM rc WHERE before < 4096) GROUP BY account_id),
+cut AS (SELECT account_id, row_no, CASE delimiter WHEN ';' THEN {_cut("';'")} WHEN ',' THEN {_cut("','")} ELSE {_cut('chr(9)')} END AS vs FROM rc JOIN dl USING (account_id)),
+cell AS (SELECT account_id, row_no::INT AS row_no, CAST(i - 1 AS INT) AS col_no, CASE WHEN starts_with(vs[i], '"') THEN replace(vs[i][2:-2], '""', '"') ELSE trim(vs[i]) END AS value FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM cut)),
 pick AS (SELECT account_id, kind, col_no FROM (SELECT *, {_norm('value')} AS name FROM cell WHERE row_no = 0), (VALUES {_KIND_ROWS}) v(kind, al)
   WHERE list_contains(al, name) OR (length(name) >= 3 AND len(list_filter(al, lambda a: contains(name, a) OR contains(a, name))) > 0)
   QUALIFY row_number() OVER (PARTITION BY account_id, kind ORDER BY (NOT list_contains(al, name))::INT, col_no) = 1),
@@ -153,7 +163,7 @@ stats AS (SELECT account_id, col_no, count(*) FILTER (regexp_matches(value, '{la
 {_best('date', 0)} {_best('amount', 1)} {_best('description', 2)}
 gp AS (FROM pick UNION ALL FROM g0 UNION ALL FROM g1 UNION ALL FROM g2),
 pr AS (SELECT account_id, row_no, CAST(try_strptime(d, ['%Y-%m-%d', '%d.%m.%Y', '%d/%m/%Y']) AS DATE) AS date, a AS amount, x AS description FROM (
-  SELECT account_id, row_no, max(value) FILTER (kind = 'date') AS d, max({_NUMBER}) FILTER (kind = 'amount') AS a, max(value) FILTER (kind = 'description') AS x
+  SELECT account_id, row_no, max(value) FILTER (kind = 'date') AS d, max({_NUMBER}) FILTER (kind = 'amount') AS a, trim(max(value) FILTER (kind = 'description'), ' ' || chr(9)) AS x
   FROM cell JOIN gp USING (account_id, col_no) WHERE row_no > 0 GROUP BY ALL) WHERE d <> '' AND a <> 0 AND x <> '' AND try_strptime(d, ['%Y-%m-%d', '%d.%m.%Y', '%d/%m/%Y']) IS NOT NULL),
 dump AS (SELECT account_id, row_no AS line_no, string_agg(value, ',' ORDER BY col_no) AS text FROM cell WHERE row_no > 0 AND account_id NOT IN (SELECT account_id FROM cell WHERE row_no = 0 AND col_no > 0) GROUP BY ALL),
 """

@@ -23,7 +23,10 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_lines(s: SparkSession, d: str) -> DataFrame:
-    """Bank rows as files of four layouts, some with a line before the header and broken cells; every fifth is a text dump."""
+    """Bank rows as files of four layouts, some with a line before the header and broken cells; every fifth is a text dump.
+
+    Some descriptions are quoted, with delimiters and doubled quotes in them or over two lines.
+    """
     k, a = F.col("account_id") % 4, F.col("account_id")
     b = bank_rows(s, d)
     banner = (a % 3 == 1) & (k != 3)
@@ -31,12 +34,15 @@ def csv_lines(s: SparkSession, d: str) -> DataFrame:
     plain = F.format_string("%.2f", "amount")
     amount = F.when(F.col("row_no") % 19 == 7, "нет").when(k == 1, plain).otherwise(F.replace(plain, F.lit("."), F.lit(",")))
     dump = F.concat(F.lit('"'), F.date_format("date", "dd.MM.yyyy"), F.lit("  "), "description", F.lit("  −"), F.format_string("%.2f", F.abs("amount")), F.lit(' ₽"'))
-    row = F.when(a % 5 == 4, dump).when(k == 0, F.concat_ws(";", day, amount, "description")).when(k == 1, F.concat_ws(",", day, amount, "description")).when(
-        k == 2, F.concat_ws("\t", day, "description", amount)).otherwise(F.concat_ws(";", "description", day, amount))
+    name = F.when(F.col("row_no") % 13 == 4, F.concat(F.lit('"'), "description", F.lit('; ""A"", Inc\t"'))).when(
+        F.col("row_no") % 29 == 11, F.concat(F.lit('"'), "description", F.lit('\n, second line"'))).otherwise(F.col("description"))
+    row = F.when(a % 5 == 4, dump).when(k == 0, F.concat_ws(";", day, amount, name)).when(k == 1, F.concat_ws(",", day, amount, name)).when(
+        k == 2, F.concat_ws("\t", day, name, amount)).otherwise(F.concat_ws(";", name, day, amount))
     head = F.when(a % 5 == 4, "Операции").when(k == 0, "Дата операции;Сумма (руб);Описание").when(k == 1, "date,amount,description").when(k == 2, "Дата и время\tНазначение платежа\tСписание").otherwise("Col1;Col2;Col3")
-    n = F.row_number().over(Window.partitionBy("account_id").orderBy("date", "row_no")) + banner.cast("int")
+    n = F.row_number().over(Window.partitionBy("account_id").orderBy("date", "row_no")) * 2 + banner.cast("int")
     heads = b.select("account_id").distinct()
-    return b.select("account_id", n.cast("int").alias("line_no"), row.alias("text")).unionByName(
+    rows = b.withColumn("n", n).select("account_id", "n", F.posexplode(F.split(row, "\n")).alias("i", "text"))
+    return rows.select("account_id", (F.col("n") + F.col("i")).cast("int").alias("line_no"), "text").unionByName(
         heads.select("account_id", banner.cast("int").alias("line_no"), head.alias("text"))).unionByName(
         heads.where(banner).select("account_id", F.lit(0).alias("line_no"), F.lit("Выписка по карте").alias("text")))
 

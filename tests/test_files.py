@@ -1,17 +1,29 @@
+import csv
+import io
 from datetime import date
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from rebill.operators import ingest, lines, state
 from rebill.sources.files import read_statements
 
 
-def parsed(spark, folder, name, content):
-    (folder / name).write_bytes(content)
-    x = read_statements(spark, str(folder))
+def parsed(spark, folder, contents):
+    """Rows and missing columns of each of the files, read together."""
+    for i, content in enumerate(contents):
+        (folder / f"{i}.csv").write_bytes(content)
+    x = read_statements(spark, str(folder)).cache()
     head = ingest.find_header_line(x)
-    cell = ingest.statement_cells(x, head, ingest.detect_delimiter(x, head))
-    pick = ingest.guess_columns(cell, ingest.pick_columns(cell))
-    rows = [(r.date, r.amount, r.description) for r in ingest.parse_rows(cell, pick).orderBy("row_no").collect()]
-    return rows, ingest.missing_columns(head, pick).count()
+    cell = ingest.statement_cells(x, head, ingest.detect_delimiter(x, head)).cache()
+    pick = ingest.guess_columns(cell, ingest.pick_columns(cell)).cache()
+    number = {r["account_id"]: int(r["path"].rsplit("/", 1)[1][:-4]) for r in x.select("account_id", "path").distinct().collect()}
+    out = [([], 0) for _ in contents]
+    for r in ingest.parse_rows(cell, pick).orderBy("row_no").collect():
+        out[number[r.account_id]][0].append((r.date, r.amount, r.description))
+    for r in ingest.missing_columns(head, pick).collect():
+        out[number[r.account_id]] = (out[number[r.account_id]][0], 1)
+    return out
 
 
 def test_files(spark, tmp_path):
@@ -21,11 +33,40 @@ def test_files(spark, tmp_path):
         ("Дата и время;Сумма (руб);Назначение платежа\n05.08.2026;-1,50;a\n".encode(), [(date(2026, 8, 5), -1.5, "a")], 0),
         (b"Col1,Col2,Col3\n05.08.2026,long enough text,-7.25\n06.08.2026,long enough text,-7.25\n", [(date(2026, 8, 5), -7.25, "long enough text"), (date(2026, 8, 6), -7.25, "long enough text")], 0),
         (b"foo,bar\n,\n", [], 1),
+        (b'Date,Description,Amount\n2026-01-05,"Amazon, Inc",-599.00\n2026-01-06,"A ""B"" C",-1.50\n2026-01-07,5" disk,-2.00\n',
+         [(date(2026, 1, 5), -599.0, "Amazon, Inc"), (date(2026, 1, 6), -1.5, 'A "B" C'), (date(2026, 1, 7), -2.0, '5" disk')], 0),
+        ('Дата;Сумма;Описание\n05.08.2026;-599,00;"Кино; зал, 2"\n06.08.2026;-10,00;Кино\n'.encode("cp1251"), [(date(2026, 8, 5), -599.0, "Кино; зал, 2"), (date(2026, 8, 6), -10.0, "Кино")], 0),
+        (b'date;amount;memo\n05.08.2026;-7;"two\n\nlines; ""q"" "\n06.08.2026;-8;"x"y\n07.08.2026;-9;"open;\n08.08.2026;-9;rest\n',
+         [(date(2026, 8, 5), -7.0, 'two\n\nlines; "q"'), (date(2026, 8, 6), -8.0, "xy"), (date(2026, 8, 7), -9.0, "open;\n08.08.2026;-9;rest")], 0),
     ]
-    for i, (content, want, missing) in enumerate(cases):
-        folder = tmp_path / str(i)
-        folder.mkdir()
-        assert parsed(spark, folder, "a.csv", content) == (want, missing), i
+    got = parsed(spark, tmp_path, [content for content, _, _ in cases])
+    for i, (_, want, missing) in enumerate(cases):
+        assert got[i] == (want, missing), i
+
+
+TEXT = st.text(st.sampled_from(['"', ";", ",", "\n", "a", "b"]), max_size=40)
+
+
+def test_records_and_cells_as_a_csv_reader(spark):
+    """Any mess of quotes, delimiters and line breaks, against the library's reader."""
+    texts: list[str] = []
+
+    @settings(max_examples=600, deadline=None, database=None, derandomize=True)
+    @given(TEXT)
+    def collect(t):
+        texts.append(t)
+
+    collect()
+    lines_ = [(i, j, x) for i, t in enumerate(texts) for j, x in enumerate(t.split("\n"))]
+    frame = spark.createDataFrame(lines_, "account_id long, line_no int, text string")
+    for d in (";", ","):
+        got = ingest.records(frame, d).select("account_id", "line_no", ingest.cells("text", d).alias("c")).collect()
+        found = {}
+        for r in sorted(got):
+            found.setdefault(r["account_id"], []).append(r["c"])
+        for i, t in enumerate(texts):
+            want = [[c.strip(" ") for c in row] or [""] for row in csv.reader(io.StringIO(t), delimiter=d)]
+            assert [x for x in found[i] if x != [""]] == [x for x in want if x != [""]], (t, d)
 
 
 def test_money():
