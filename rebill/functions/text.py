@@ -23,6 +23,11 @@ def _cut(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, ANY_CASE + pattern, by)
 
 
+def _let(value: Column, of) -> Column:
+    """``of`` the value, which is computed once: the optimiser copies no more than a reference into the result."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind around it."""
     return F.regexp_replace(_col(c), "(?U)^\\s+|\\s+$", "")
@@ -64,12 +69,14 @@ def normalize_description(c: Column | str) -> Column:
 
 def canonical_brand(c: Column | str) -> Column:
     """struct(name, category, icon) of the first brand named in the text; null if there is none."""
-    up = F.upper(_col(c))
-    hits = []
-    for name, category, icon, keys in dims.BRANDS:
-        found = up.rlike("|".join(map(re.escape, keys)))
-        hits.append(F.when(found, F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(icon).alias("icon"))))
-    return F.coalesce(*hits)
+    def first(up: Column) -> Column:
+        hits = []
+        for name, category, icon, keys in dims.BRANDS:
+            found = up.rlike("|".join(map(re.escape, keys)))
+            hits.append(F.when(found, F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(icon).alias("icon"))))
+        return F.coalesce(*hits)
+
+    return _let(F.upper(_col(c)), first)
 
 
 def clean_merchant(c: Column | str) -> Column:
@@ -87,9 +94,11 @@ def clean_merchant(c: Column | str) -> Column:
 
 def group_key(c: Column | str) -> Column:
     """struct(kind, key): the brand, else the normalised name, else the raw text."""
-    brand, norm = canonical_brand(c)["name"], normalize_description(c)
-    own = F.when(norm != "", norm).otherwise(F.concat(F.lit("raw:"), F.lower(strip(c))))
-    return F.struct(F.when(brand.isNotNull(), "brand").otherwise("norm").alias("kind"), F.coalesce(brand, own).alias("key"))
+    def key(t: Column) -> Column:
+        own = F.when(t["norm"] != "", t["norm"]).otherwise(F.concat(F.lit("raw:"), F.lower(strip(t["text"]))))
+        return F.struct(F.when(t["brand"].isNotNull(), "brand").otherwise("norm").alias("kind"), F.coalesce(t["brand"], own).alias("key"))
+
+    return _let(F.struct(canonical_brand(c)["name"].alias("brand"), normalize_description(c).alias("norm"), _col(c).alias("text")), key)
 
 
 def bigrams(c: Column | str) -> Column:

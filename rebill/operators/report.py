@@ -122,4 +122,9 @@ def report(tx: DataFrame, subs: DataFrame, as_of: str) -> DataFrame:
 
 def report_json(reports: DataFrame) -> DataFrame:
     """One JSON document an account."""
-    return reports.select("account_id", F.to_json(F.struct("mock", "subscriptions", "monthly", "total_monthly", "total_yearly", "message")).alias("document"))
+    return reports.select("account_id", F.to_json(F.struct("account_id", "mock", "subscriptions", "monthly", "total_monthly", "total_yearly", "message")).alias("document"))
+
+
+def write_json(reports: DataFrame, path: str) -> None:
+    """One JSON text a line and account, in UTF-8."""
+    report_json(reports).select("document").write.mode("overwrite").text(path)

@@ -1,27 +1,6 @@
 """Queries of the statement analysis and their SQL."""
 
-from rebill.operators import rhythm
 from rebill.plans import files, oracles, subscriptions, tables
-from rebill.sources.statements import SQL, statements
 
-QUERIES = {
-    "drop_micro": lambda s, d: rhythm.drop_micro(statements(s, d)),
-    "charge_gaps": lambda s, d: rhythm.charge_gaps(statements(s, d)),
-    "newest_charge": lambda s, d: rhythm.newest_charge(statements(s, d)),
-    "cadence": lambda s, d: rhythm.cadence(statements(s, d)),
-}
-_GAPS = SQL + ", g AS (SELECT *, CAST(date - lag(date) OVER (PARTITION BY account_id, description ORDER BY date, row_no) AS INT) AS gap FROM t)"
-ORACLES = {
-    "drop_micro": SQL + "SELECT * FROM t WHERE abs(amount) >= 1",
-    "charge_gaps": _GAPS + "SELECT * FROM g",
-    "newest_charge": SQL + "SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY account_id, description ORDER BY date DESC, row_no) = 1",
-    "cadence": _GAPS + """, a AS (SELECT account_id, description, count(*) AS charges, max(date) AS last_charge,
-      list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gaps FROM g GROUP BY ALL),
-    m AS (SELECT *, gaps[len(gaps) // 2 + 1] AS med FROM a WHERE charges >= 3),
-    p AS (SELECT * FROM m JOIN (VALUES ('monthly', 20, 40, 1), ('quarterly', 80, 100, 3), ('semiannual', 170, 200, 6), ('annual', 330, 400, 12)) v(period, lo, hi, k)
-      ON med BETWEEN lo AND hi)
-    SELECT account_id, description, charges, last_charge, period, CAST(last_charge + to_months(CAST(k AS INT)) AS DATE) AS next_charge
-    FROM p WHERE len(list_filter(gaps, lambda x: x BETWEEN lo AND hi)) >= len(gaps) * 0.6""",
-}
-QUERIES |= subscriptions.QUERIES | files.QUERIES | tables.QUERIES
-ORACLES |= oracles.ORACLES | files.ORACLES | tables.ORACLES
+QUERIES = subscriptions.QUERIES | files.QUERIES | tables.QUERIES
+ORACLES = oracles.ORACLES | files.ORACLES | tables.ORACLES

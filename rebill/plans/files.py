@@ -9,8 +9,9 @@ from rebill.functions import layout, letters, text
 from rebill.operators import ingest, lines, merge, report, state
 from rebill.plans import oracles, subscriptions
 from rebill.plans.oracles import _q
-from rebill.sources.files import csv_lines, text_lines
+from rebill.sources.files import csv_lines, read_statements, text_lines, write_statements
 from rebill.sources.statements import AS_OF, BANK_SQL, bank_rows
+from rebill.sources.store import shared_path
 
 
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -52,10 +53,42 @@ def _report(s: SparkSession, d: str) -> DataFrame:
     return report.report(bank_rows(s, d), subscriptions._subs(s, d), AS_OF)
 
 
-def _report_flat(s: SparkSession, d: str) -> DataFrame:
+def _flat(reports: DataFrame) -> DataFrame:
     names = F.array_join(F.transform("subscriptions", lambda x: x["name"]), "|")
     months = F.array_join(F.transform("monthly", lambda m: F.concat(m["month"], F.lit("="), F.format_string("%.2f", m["spent"]))), "|")
-    return _report(s, d).select("account_id", names.alias("subscriptions"), months.alias("monthly"), "total_monthly", "total_yearly", "message")
+    return reports.select("account_id", names.alias("subscriptions"), months.alias("monthly"), "total_monthly", "total_yearly", "message")
+
+
+def _written(s: SparkSession, d: str) -> DataFrame:
+    """The reports as read back from their JSON texts."""
+    reports, path = _report(s, d), shared_path(s)
+    report.write_json(reports, path)
+    return _flat(s.read.schema(reports.schema).json(path))
+
+
+def _read(s: SparkSession, d: str) -> DataFrame:
+    """The derived files, written and read back."""
+    path = shared_path(s)
+    write_statements(csv_lines(s, d), path)
+    return read_statements(s, path).select(F.regexp_extract("path", "account_id=(-?\\d+)", 1).cast("long").alias("account_id"), "line_no", "text")
+
+
+def _unread(s: SparkSession, d: str) -> DataFrame:
+    """Files cut to their header, to other headers, or to nothing for some accounts, and why they can't be read."""
+    a = F.col("account_id")
+    x = csv_lines(s, d).where((a % 5 != 4) & ((a % 7 != 0) | (F.col("line_no") <= 1)))
+    x = x.withColumn("text", F.when(a % 7 == 0, "").when((a % 11 == 0) & (F.col("line_no") > 1), "-,-").when((a % 11 == 0) & (a % 2 == 0), "date,bar").when(a % 11 == 0, "foo,memo").otherwise(F.col("text")))
+    head = ingest.find_header_line(x)
+    cell = ingest.statement_cells(x, head, ingest.detect_delimiter(x, head))
+    return ingest.unreadable(head, ingest.guess_columns(cell, ingest.pick_columns(cell)))
+
+
+def _saved(s: SparkSession, d: str) -> DataFrame:
+    """States saved in three turns, the second of them twice, and loaded."""
+    path, states = shared_path(s), _states(s, d)
+    for turn in (0, 1, 1, 2):
+        state.save(states.where(F.pmod(F.unix_date(F.col("analyzed_at").cast("date")), F.lit(3)) == turn), path)
+    return state.load(s, path)
 
 
 def _states(s: SparkSession, d: str) -> DataFrame:
@@ -94,13 +127,15 @@ QUERIES = {
     "cell_number": _cells,
     "similar_merchants": lambda s, d: merge.similar_merchants(bank_rows(s, d).select(text.normalize_description("description").alias("name")).distinct()),
     "letter": lambda s, d: _top_names(s, d).select("description", letters.letter(F.when(F.col("description").contains("FIGMA"), " Figma ").otherwise(F.col("description")), "amount", AS_OF).alias("letter")),
-    "latest_state": lambda s, d: state.latest_state(_states(s, d)),
+    "latest_state": _saved,
     "monthly_all": lambda s, d: report.monthly_all(bank_rows(s, d), AS_OF),
     "days_left": lambda s, d: report.days_left(subscriptions._subs(s, d), AS_OF),
     "flat_series": lambda s, d: report.flat_series(report.monthly_from_txs(bank_rows(s, d), subscriptions._subs(s, d), AS_OF)),
     "savings": _savings,
-    "report": _report_flat,
-    "report_json": lambda s, d: report.report_json(_report(s, d)),
+    "report": lambda s, d: _flat(_report(s, d)),
+    "report_json": _written,
+    "read_statements": _read,
+    "unreadable": _unread,
 }
 
 _K = "account_id % 4"
@@ -236,4 +271,8 @@ ORACLES = {
       SELECT account_id, coalesce(subscriptions, '') AS subscriptions, monthly, coalesce(total_monthly, 0) AS total_monthly, coalesce(total_yearly, 0) AS total_yearly,
       CASE WHEN c > 0 THEN 'Выписка: ' || n || ' транзакций, найдено подписок: ' || c ELSE 'В выписке (' || n || ' транзакций) не найдено регулярных списаний — показаны общие расходы по выписке' END AS message
       FROM (SELECT account_id, count(*) AS n FROM bank GROUP BY account_id) LEFT JOIN ms USING (account_id) LEFT JOIN ss USING (account_id)""",
+    "read_statements": _FILES + "z AS (SELECT 1) SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY line_no) - 1 AS INT) AS line_no, text FROM cl",
+    "unreadable": BANK_SQL + """SELECT DISTINCT account_id, CASE WHEN account_id % 7 = 0 THEN 'empty' WHEN account_id % 2 = 0 THEN 'no amount' ELSE 'no date, amount' END AS reason
+      FROM bank WHERE account_id % 5 <> 4 AND (account_id % 7 = 0 OR account_id % 11 = 0)""",
 }
+ORACLES["report_json"] = ORACLES["report"]

@@ -121,7 +121,7 @@ subs AS (SELECT {_G}, left(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+',
 _NEXT = f"""nxt0 AS (SELECT {_G}, months, CAST(last_charge + to_months(CAST(months AS INT)) AS DATE) AS nx FROM band),
 steps AS (SELECT {_G}, months, nx FROM nxt0 UNION ALL SELECT {_G}, months, CAST(nx + to_months(CAST(months AS INT)) AS DATE) FROM steps WHERE nx < DATE '{AS_OF}'),
 nxt AS (SELECT {_G}, max(nx) AS nx FROM steps GROUP BY {_G}),"""
-CHAIN = CHAIN.replace("RECURSION_", _NEXT).replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+CHAIN = CHAIN.replace("RECURSION_", _NEXT).replace("WITH bank AS", "WITH RECURSIVE bank AS", 1)
 _MONTHS = f"SELECT CAST(date_trunc('month', DATE '{AS_OF}') - to_months(CAST(i AS INT)) AS DATE) AS start FROM (SELECT unnest(range(0, 6)) AS i)"
 _OLD = "CASE WHEN old_price > 0 THEN CASE WHEN period = 'ежегодно' THEN old_price / 12 ELSE old_price END ELSE monthly_cost END"
 
@@ -132,6 +132,10 @@ def _case(x: str, table: dict[str, str]) -> str:
 
 _FLAT = "* REPLACE (array_to_string(merchants, '|') AS merchants)"
 ORACLES = {
+    "drop_micro": BANK_SQL + "SELECT * FROM bank WHERE abs(amount) >= 1",
+    "charge_gaps": CHAIN + f"SELECT {_G}, row_no, date, amount, CAST(gap AS INT) AS gap FROM sg",
+    "newest_charge": CHAIN + f"SELECT {_G}, row_no, date, amount, description FROM ok QUALIFY row_number() OVER (PARTITION BY {_G} ORDER BY date DESC, glue, row_no) = 1",
+    "cadence": CHAIN + f"SELECT {_G}, charges, last_charge, period, months FROM band",
     "bank_rows": BANK_SQL + "SELECT * FROM bank",
     "merchant_text": BANK_SQL + f"SELECT description, {translit('description')} AS latin, {normalized('description')} AS norm, {brand('description', 0)} AS brand, {cleaned('description')} AS cleaned FROM (SELECT DISTINCT description FROM bank)",
     "group_key": CHAIN + "SELECT account_id, description, kind, key FROM v",

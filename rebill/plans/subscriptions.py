@@ -12,13 +12,18 @@ from rebill.sources.statements import AS_OF, bank_rows
 GROUP = detect.GROUP
 
 
+def _keys(s: SparkSession, d: str) -> DataFrame:
+    return merge.final_keys(_vocab(s, d))
+
+
 def _fine(s: SparkSession, d: str) -> DataFrame:
-    it = detect.items(bank_rows(s, d))
-    return it.join(detect.verdicts(it).where("rejected IS NULL").select(*GROUP), GROUP, "left_semi")
+    """Items of the groups that pass the filters."""
+    keys = _keys(s, d)
+    return merge.with_keys(detect.counted(bank_rows(s, d)), keys.join(detect.verdicts(keys).where("rejected IS NULL").select(*GROUP), GROUP, "left_semi"))
 
 
 def _vocab(s: SparkSession, d: str) -> DataFrame:
-    return merge.vocabulary(bank_rows(s, d).where("abs(amount) >= 1"))
+    return merge.vocabulary(detect.counted(bank_rows(s, d)))
 
 
 def _subs(s: SparkSession, d: str) -> DataFrame:
@@ -38,15 +43,19 @@ def glued(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "drop_micro": lambda s, d: detect.drop_micro(bank_rows(s, d)),
+    "charge_gaps": lambda s, d: detect.charge_gaps(_fine(s, d)),
+    "newest_charge": lambda s, d: detect.newest_charge(_fine(s, d)),
+    "cadence": lambda s, d: detect.cadence(detect.stable_charges(_fine(s, d))).select(*GROUP, "charges", "last_charge", "period", "months"),
     "bank_rows": bank_rows,
     "merchant_text": merchant_text,
-    "group_key": lambda s, d: _vocab(s, d).drop("first"),
+    "group_key": lambda s, d: _vocab(s, d).select("account_id", "description", "kind", "key"),
     "fuzzy_leader_merge": lambda s, d: merge.fuzzy_leader_merge(_vocab(s, d)),
     "glue_to_brand": glued,
     "group_items": lambda s, d: detect.items(bank_rows(s, d)),
-    "group_sample": lambda s, d: detect.group_sample(detect.items(bank_rows(s, d))),
-    "reject_groups": lambda s, d: detect.verdicts(detect.items(bank_rows(s, d))),
-    "price_clusters": lambda s, d: detect.price_clusters(_fine(s, d)).select(*GROUP, "amount", "cluster"),
+    "group_sample": lambda s, d: detect.group_sample(_keys(s, d)),
+    "reject_groups": lambda s, d: detect.verdicts(_keys(s, d)),
+    "price_clusters": lambda s, d: detect.price_clusters(_fine(s, d)),
     "stable_charges": lambda s, d: detect.stable_charges(_fine(s, d)).select(*GROUP, "row_no", "date", "amount", "main", "cluster", "price", "gap"),
     "price_change": lambda s, d: detect.price_change(_fine(s, d)),
     "subscriptions": lambda s, d: _subs(s, d).withColumn("merchants", F.array_join("merchants", "|")),

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rebill.sources.statements import bank_rows
 
+_HIGH = bytes(range(128, 256))
+_LATIN, _CYRILLIC = _HIGH.decode("latin-1"), _HIGH.decode("cp1251", "replace")
+
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """account_id (a hash of the path), path, line_no, text of every CSV or TXT file below ``path``; UTF-8 or else cp1251."""
-    @F.pandas_udf("string")
-    def old(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: b.decode("cp1251", "replace"))
+    """account_id (a hash of the path), path, line_no, text of every CSV or TXT file below ``path``; UTF-8 or else cp1251.
 
+    An empty file is one empty line; a line break at the end begins no further line.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike("\\.(csv|txt)$"))
-    text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string")).otherwise(old("content"))
-    text = F.regexp_replace(text, "^\ufeff", "")
-    lines = files.select(F.xxhash64("path").alias("account_id"), "path", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("line_no", "text"))
-    return lines
+    old = F.translate(F.decode("content", "ISO-8859-1"), _LATIN, _CYRILLIC)  # byte by byte, so no Python is needed
+    text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string")).otherwise(old)
+    text = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "(\r\n|\n|\r)\\z", "")
+    return files.select(F.xxhash64("path").alias("account_id"), "path", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("line_no", "text"))
+
+
+def write_statements(lines: DataFrame, path: str) -> None:
+    """Lines (account_id, line_no, text) as UTF-8 files, one an account, below a folder ``account_id=...`` of ``path``."""
+    lines.repartition("account_id").sortWithinPartitions("account_id", "line_no").select("account_id", "text").write.partitionBy("account_id").text(path)
 
 
 def csv_lines(s: SparkSession, d: str) -> DataFrame:

@@ -1,47 +1,23 @@
-"""Bank transactions (account_id, row_no, date, amount, description) derived from the customer and orders tables."""
+"""Bank transactions (account_id, row_no, date, amount, description, category, mcc) derived from the customer and orders tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SERVICES = ("NETFLIX.COM", "SPOTIFY AB", "CLOUD BOX 20", "FIT CLUB")
 SHOPS = ("CORNER SHOP", "BOOK HOUSE", "CITY CAFE")
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("account_id"))
-    s = c.select("account_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("s")).where("(account_id + s) % 2 = 0")
-    m = s.select("account_id", "s", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("m")).where("(account_id * 7 + s * 3 + m) % 11 <> 0")
-    step = F.when(F.col("s") == 3, 91).otherwise(30)
-    price = 199.0 + 100 * F.col("s")
-    raised = F.when((F.col("account_id") % 3 == 0) & (F.col("m") >= 7), F.round(price * 1.4, 2)).otherwise(price)
-    charges = m.select(
-        "account_id", (F.col("s") * 100 + F.col("m")).cast("long").alias("row_no"),
-        F.date_add(F.lit("2025-01-01").cast("date"), (F.col("s") * 3 + F.col("m") * step + (F.col("account_id") + F.col("m")) % 3).cast("int")).alias("date"),
-        (-raised).alias("amount"), F.get(F.array(*map(F.lit, SERVICES)), F.col("s")).alias("description"))
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as single purchases."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    bought = o.select(
+    return o.select(
         F.col("o_custkey").cast("long").alias("account_id"), (F.col("o_orderkey") + 1000).cast("long").alias("row_no"),
         F.date_add(F.lit("2025-01-01").cast("date"), F.dayofyear("o_orderdate") - 1).alias("date"),
         (-F.floor(F.col("o_totalprice") % 3000 + 150)).cast("double").alias("amount"),
         F.get(F.array(*map(F.lit, SHOPS)), (F.col("o_orderkey") % 3).cast("int")).alias("description"))
-    return charges.unionByName(bought)
 
 
-SQL = """
-WITH t AS (
- SELECT a AS account_id, CAST(s * 100 + m AS BIGINT) AS row_no,
-  DATE '2025-01-01' + CAST(s * 3 + m * (CASE WHEN s = 3 THEN 91 ELSE 30 END) + (a + m) % 3 AS INT) AS date,
-  -(CASE WHEN a % 3 = 0 AND m >= 7 THEN round((199.0::DOUBLE + 100 * s) * 1.4::DOUBLE, 2) ELSE 199.0::DOUBLE + 100 * s END) AS amount,
-  ['NETFLIX.COM', 'SPOTIFY AB', 'CLOUD BOX 20', 'FIT CLUB'][s + 1] AS description
- FROM (SELECT CAST(c_custkey AS BIGINT) a FROM customer), (SELECT unnest(range(0, 4)) s), (SELECT unnest(range(0, 14)) m)
- WHERE (a + s) % 2 = 0 AND (a * 7 + s * 3 + m) % 11 <> 0
- UNION ALL
- SELECT CAST(o_custkey AS BIGINT), CAST(o_orderkey + 1000 AS BIGINT), DATE '2025-01-01' + CAST(dayofyear(o_orderdate) - 1 AS INT),
-  -CAST(floor(o_totalprice % 3000 + 150) AS DOUBLE), ['CORNER SHOP', 'BOOK HOUSE', 'CITY CAFE'][CAST(o_orderkey % 3 AS INT) + 1] FROM orders)
-"""
-
 # Monthly and other charges: first day, days between, charges, price, spellings, category, code.
 SLOTS = (
     ("2025-01-03", 30, 14, 599.0, ("NETFLIX.COM 866-579-7172 US", "NFLX* 8NQ4R2"), None, None),
@@ -82,7 +58,7 @@ def bank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("a").alias("account_id"), (F.col("s") * 100 + F.col("m")).cast("long").alias("row_no"),
         F.date_add("day", (F.col("m") * F.col("step") + (F.col("a") + F.col("m")) % 3 - 1).cast("int")).alias("date"),
         (-price).alias("amount"), F.get("names", F.col("m") % F.size("names")).alias("description"), "category", "mcc")
-    bought = statements(spark, sf_dir).where("row_no >= 1000")
+    bought = purchases(spark, sf_dir)
     return charges.unionByName(bought.withColumn("category", F.lit(None).cast("string")).withColumn("mcc", F.lit(None).cast("string")))
 
 
@@ -90,12 +66,13 @@ def _sql(v: object) -> str:
     return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
 
 
-BANK_SQL = SQL + ", bank AS (SELECT a AS account_id, CAST(s * 100 + m AS BIGINT) AS row_no, CAST(day AS DATE) + CAST(m * step + (a + m) % 3 - 1 AS INT) AS date,\n" + """
+BANK_SQL = "WITH bank AS (SELECT a AS account_id, CAST(s * 100 + m AS BIGINT) AS row_no, CAST(day AS DATE) + CAST(m * step + (a + m) % 3 - 1 AS INT) AS date,\n" + """
   -(CASE WHEN a % 3 = 0 AND m >= 7 THEN round(price::DOUBLE * 1.4::DOUBLE, 2) ELSE price::DOUBLE END) AS amount,
   names[m % len(names) + 1] AS description, category, mcc
  FROM (SELECT CAST(c_custkey AS BIGINT) a FROM customer), (VALUES """ + ", ".join(
     f"({i}, {_sql(d)}, {step}, {n}, {price}, [{', '.join(map(_sql, names))}], {_sql(cat)}, {_sql(mcc)})" for i, (d, step, n, price, names, cat, mcc) in enumerate(SLOTS)
 ) + """) v(s, day, step, n, price, names, category, mcc), (SELECT unnest(range(0, 20)) m)
  WHERE (a + s) % 4 = 0 AND m < n AND (a * 7 + s * 3 + m) % 11 <> 0
- UNION ALL SELECT account_id, row_no, date, amount, description, NULL, NULL FROM t WHERE row_no >= 1000)
+ UNION ALL SELECT CAST(o_custkey AS BIGINT), CAST(o_orderkey + 1000 AS BIGINT), DATE '2025-01-01' + CAST(dayofyear(o_orderdate) - 1 AS INT),
+  -CAST(floor(o_totalprice % 3000 + 150) AS DOUBLE), ['CORNER SHOP', 'BOOK HOUSE', 'CITY CAFE'][CAST(o_orderkey % 3 AS INT) + 1], NULL, NULL FROM orders)
 """

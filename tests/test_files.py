@@ -1,11 +1,12 @@
 import csv
 import io
+import json
 from datetime import date
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rebill.operators import ingest, lines, state
+from rebill.operators import ingest, lines, report, state
 from rebill.sources.files import read_statements
 
 
@@ -89,7 +90,23 @@ def test_printed_lines(spark):
 
 def test_states(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2026-01-01", "a"), (1, "2026-01-02", "b"), (2, "2026-01-01", "c")], "account_id long, t string, payload string")
-    path = str(tmp_path / "states")
-    state.save(rows.selectExpr("account_id", "cast(t as timestamp) as analyzed_at", "payload"), path)
-    state.clear(spark.createDataFrame([(2,)], "account_id long"), "2026-01-03", path)
-    assert [(r.account_id, r.payload) for r in state.load(spark, path).collect()] == [(1, "b")]
+    new, path = rows.selectExpr("account_id", "cast(t as timestamp) as analyzed_at", "payload"), str(tmp_path / "states")
+    held = lambda: sorted((r.account_id, r.payload) for r in state.load(spark, path).collect())
+    state.save(new, path, 4)
+    assert held() == [(1, "b"), (2, "c")]
+    state.clear(spark.createDataFrame([(2,)], "account_id long"), "2026-01-03", path, 4)
+    assert held() == [(1, "b")]
+    files = lambda: sum(1 for _ in (tmp_path / "states").rglob("*.parquet"))
+    before = files()
+    for _ in range(3):
+        state.save(new, path, 4)  # older than the clearing, or there already
+    assert held() == [(1, "b")] and files() == before
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_json(spark, tmp_path):
+    one = spark.createDataFrame([(7, False, [("Ünï", 1.5)], 2.0)], "account_id long, mock boolean, subscriptions array<struct<name:string,amount:double>>, total_monthly double")
+    whole = one.selectExpr("*", "array(named_struct('month', '01.2026', 'spent', 3.5D)) monthly", "24.0D total_yearly", "'Выписка' message")
+    report.write_json(whole, str(tmp_path / "json"))
+    text = "".join(p.read_text("utf-8") for p in (tmp_path / "json").glob("part-*"))
+    assert json.loads(text)["subscriptions"] == [{"name": "Ünï", "amount": 1.5}] and "Выписка" in text
