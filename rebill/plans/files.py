@@ -101,6 +101,13 @@ def _savings(s: SparkSession, d: str) -> DataFrame:
     return report.savings(subs, subs.where("rank % 2 = 0").select("account_id", "id").distinct())
 
 
+def _merchants(s: SparkSession, d: str) -> DataFrame:
+    """Names of the bank rows, and two made-up ones a customer, of which one lacks the last letters of the other."""
+    made = s.read.parquet(f"{d}/customer.parquet").select(F.translate(F.md5(F.col("c_custkey").cast("string")), "0123456789", "GHIJKLMNOP").alias("m"))
+    made = made.select(F.explode(F.array(F.upper(F.left("m", F.lit(16))), F.upper(F.left("m", F.lit(14))))).alias("name"))
+    return bank_rows(s, d).select(text.normalize_description("description").alias("name")).unionByName(made).distinct()
+
+
 def _top_names(s: SparkSession, d: str) -> DataFrame:
     return bank_rows(s, d).groupBy("description").agg(F.max(F.when(F.col("row_no") % 3 == 0, F.abs("amount"))).alias("amount"))
 
@@ -125,7 +132,7 @@ QUERIES = {
     "assemble_lines": lambda s, d: lines.assemble_lines(text_lines(s, d)),
     "direction_lines": lambda s, d: lines.direction_lines(lines.assemble_lines(text_lines(s, d))),
     "cell_number": _cells,
-    "similar_merchants": lambda s, d: merge.similar_merchants(bank_rows(s, d).select(text.normalize_description("description").alias("name")).distinct()),
+    "similar_merchants": lambda s, d: merge.similar_merchants(_merchants(s, d)),
     "letter": lambda s, d: _top_names(s, d).select("description", letters.letter(F.when(F.col("description").contains("FIGMA"), " Figma ").otherwise(F.col("description")), "amount", AS_OF).alias("letter")),
     "latest_state": _saved,
     "monthly_all": lambda s, d: report.monthly_all(bank_rows(s, d), AS_OF),
@@ -253,7 +260,8 @@ ORACLES = {
     "direction_lines": _TEXT + _LAST + " SELECT * FROM tx WHERE description <> ''",
     "cell_number": BANK_SQL + """SELECT account_id, row_no, CASE row_no % 4 WHEN 0 THEN n WHEN 1 THEN replace(n, '.', ',') || ' ₽' WHEN 2 THEN '−1.234.567,' || right(n, 2) || 'руб.' ELSE 'x' || n END AS cell,
       CASE row_no % 4 WHEN 0 THEN n::DOUBLE WHEN 1 THEN n::DOUBLE WHEN 2 THEN -('1234567.' || right(n, 2))::DOUBLE END AS number FROM (SELECT *, printf('%.2f', abs(amount)) AS n FROM bank)""",
-    "similar_merchants": BANK_SQL + f""", nm AS (SELECT DISTINCT {oracles.normalized('description')} AS name FROM bank), bg AS (SELECT name, {oracles.bigrams('name')} AS g FROM nm)
+    "similar_merchants": BANK_SQL + f""", md AS (SELECT upper(translate(md5(c_custkey::VARCHAR), '0123456789', 'GHIJKLMNOP')) AS m FROM customer),
+      nm AS (SELECT DISTINCT {oracles.normalized('description')} AS name FROM bank UNION SELECT m[:16] FROM md UNION SELECT m[:14] FROM md), bg AS (SELECT name, {oracles.bigrams('name')} AS g FROM nm)
       SELECT x.name AS a, y.name AS b, 2 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS likeness FROM bg x JOIN bg y ON x.name < y.name
       WHERE len(x.g) > 0 AND len(y.g) > 0 AND 2 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) >= 0.8::DOUBLE""",
     "letter": BANK_SQL + f"""SELECT description, CASE WHEN lower(trim(name)) IN ({', '.join(map(_q, letters.FOREIGN))}) THEN {_filled(letters.ENGLISH, ' (currently ', ' RUB per month)')} ELSE {_filled(letters.RUSSIAN, ' в размере ', ' руб./мес')} END AS letter
