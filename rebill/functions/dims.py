@@ -66,8 +66,8 @@ RETAIL = (
     "|gazprom neft|такси|taxi"
 )
 CITY_ONLY = (
-    "^(moscow|moskva|chita|ekaterinburg|sankt|peterburg|piter|novosibirsk|kazan|city|town|rus|ru|us)"
-    "([\\s,]+(moscow|moskva|chita|ekaterinburg|sankt|peterburg|piter|rus|ru|us))*$"
+    "^(?:moscow|moskva|chita|ekaterinburg|sankt|peterburg|piter|novosibirsk|kazan|city|town|rus|ru|us)"
+    "(?:[\\s,]+(?:moscow|moskva|chita|ekaterinburg|sankt|peterburg|piter|rus|ru|us))*$"
 )
 # Statement categories and merchant category codes without subscriptions.
 CATEGORIES = (
@@ -84,11 +84,11 @@ CODES = (
 # Patterns cut from a description, in this order (any case); then white space and edge marks.
 STAR_CODE = "\\b([A-Z]{2,12})\\*(\\d{4})\\*([A-Z0-9. _-]{2,30})"
 BANK_TAIL = "\\s*\\d{0,2}\\s*в ГУ Банка России.*$|\\s*АО\\s*«?Т[- ]?Банк»?.*$|\\s*универсальная лицензи.*$|\\s*СЧЕТ КОРРЕСПОНДЕНТА.*$|\\s*Без НДС.*$"
-PAY_VERB = "^(оплата услуг|оплата в|оплата|платеж|платёж|покупка|списание|перевод в|payment|purchase)\\s+"
-WALLET = "\\b(YM|WB|SBP|QR)\\*"
+PAY_VERB = "^(?:оплата услуг|оплата в|оплата|платеж|платёж|покупка|списание|перевод в|payment|purchase)\\s+"
+WALLET = "\\b(?:YM|WB|SBP|QR)\\*"
 PHONE = "\\s*\\+?\\d[\\d ()-]{8,}\\d\\s*"
-CITY_TAIL = "\\s+[A-Za-zА-Яа-яЁё?'’-]{3,20}\\s+(RUS|RU|US)\\b.*$|\\s+(RUS|RU|US)\\b.*$"
-TERMINAL_TAIL = "[_.\\s]+(P[_ ]?QR|QR|SBP|PP[_ ]?CARD|CARD|SHOP|MARKET)\\s*$"
+CITY_TAIL = "\\s+[A-Za-zА-Яа-яЁё?'’-]{3,20}\\s+(?:RUS|RU|US)\\b.*$|\\s+(?:RUS|RU|US)\\b.*$"
+TERMINAL_TAIL = "[_.\\s]+(?:P[_ ]?QR|QR|SBP|PP[_ ]?CARD|CARD|SHOP|MARKET)\\s*$"
 TERMINAL_HEAD = "^[A-Z0-9]{2,5}\\s+"  # only where these letters hold a digit
 NUMBER_TAIL = "\\s+\\d{3,6}\\s*$"
 EDGES = " .,·—–-"

@@ -70,10 +70,17 @@ def test_records_and_cells_as_a_csv_reader(spark):
             assert [x for x in found[i] if x != [""]] == [x for x in want if x != [""]], (t, d)
 
 
-def test_money():
-    first = lambda s: (lines.moneys(s) or [(None, None)])[0][:2]
-    assert first("-599,00 ₽") == ("-", 599.0) and first("+1 200,00 руб.") == ("+", 1200.0) and first("599.0 RUB") == ("", 599.0)
-    assert lines.moneys("866-579-7172") == [] == lines.moneys("код 123456") and lines.moneys(None) == []
+def test_money(spark):
+    cases = {
+        "-599,00 ₽": [("-", 599.0, 0, 9)], "+1 200,00 руб.": [("+", 1200.0, 0, 14)], "599.0 RUB": [("", 599.0, 0, 9)], "866-579-7172": [], "код 123456": [], None: [],
+        "05.03.2026 10:04:12 −5,00 и 1\u00a0234,5": [("−", 5.0, 20, 25), ("", 1234.5, 28, 35)], "5-599,00": [("", 599.0, 2, 8)], "a/599,00": [], "1,2,30": [], "100000000,00 ₽": [],
+        "**** 1234 7,00": [("", 7.0, 10, 14)], "a\ue000-1,00": [("-", 1.0, 2, 7)]}
+    frame = spark.createDataFrame([(k,) for k in cases], "text string")
+    got = {r["text"]: [tuple(m) for m in r["found"]] for r in frame.select("text", lines.money_scan("text").alias("found")).collect()}
+    assert got == cases
+    masked = frame.select("text", lines.mask_non_money("text").alias("m")).where("text is not null").collect()
+    assert all(len(r["m"]) == len(r["text"]) for r in masked)
+    assert [m["value"] for m in frame.where("text = 'код 123456'").select(lines.money_scan("text", strict=False).alias("f")).first()["f"]] == [123456.0]
 
 
 def test_printed_lines(spark):
