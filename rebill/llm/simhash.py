@@ -93,26 +93,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     it, so that each lead() stays in its range and texts are shuffled once. One document is its own next.
     """
     spark = docs.sparkSession
+    docs = docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))  # null ids are below all others
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100000)).first()[0]
+    cuts = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100000)).first()[0]
     cuts = sorted(set(cuts or []))
     lit = F.array(*[F.lit(c).cast("long") for c in cuts])
-    part = F.size(F.filter(lit, lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    part = F.size(F.filter(lit, lambda c: c < F.col("k"))) if cuts else F.lit(0)
     docs = docs.withColumn("part", part)
-    firsts = [tuple(r) for r in docs.groupBy("part").agg(F.max("doc_id").alias("m")).orderBy(F.desc("part")).collect()]
+    firsts = [tuple(r) for r in docs.groupBy("part").agg(F.max("k").alias("m")).orderBy(F.desc("part")).collect()]
     if not firsts:
         return docs.select("doc_id", "text", "part", F.lit(1).alias("nth"), F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")).withColumnRenamed("part", "p")
     # The highest row of each range also ends the range above it; the very first also ends the lowest range.
     ends = {m: (firsts[i - 1][0]) for i, (_, m) in enumerate(firsts)}
-    to = F.create_map(*[F.lit(x) for m, p in ends.items() for x in (m, p)])[F.col("doc_id")]
+    to = F.create_map(*[F.lit(x) for m, p in ends.items() for x in (m, p)])[F.col("k")]
     rows = docs.select(
-        "doc_id", "text",
+        "doc_id", "k", "text",
         F.explode(F.when(to.isNotNull(), F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("x")), F.struct(to.alias("p"), F.lit(1).alias("x"))))
                   .otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("x"))))).alias("at"),
-    ).select("doc_id", "text", "at.p", "at.x")
+    ).select("doc_id", "k", "text", "at.p", "at.x")
     from pyspark.sql import Window
 
-    w = Window.partitionBy("p").orderBy(F.col("x"), F.desc("doc_id"))
+    w = Window.partitionBy("p").orderBy(F.col("x"), F.desc("k"))
     return rows.select("doc_id", "text", "x", "p", F.row_number().over(w).alias("nth"), F.lead("doc_id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text")).where("x = 0").drop("x")
 
 

@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+import pytest
+
 from rebill.llm import simhash
 
 
@@ -28,3 +31,18 @@ def test_op9_counts_near_copies(spark, tmp_path):
         assert r.near_rows == sum(d <= 3 for d in bits.values())
         assert r.near_fingerprints == len({got[j].fingerprint for j, d in bits.items() if 0 < d <= 3})
     assert got[1].near_rows >= 1
+
+
+@pytest.mark.parametrize("ids", [[5, 1, 9, 3, 7, 2], [None], [None, None, None], [4, None, 8, 1], [2, 2, 2], []])
+def test_edited_texts_take_from_the_next_document(spark, tmp_path, ids):
+    texts = [f"ünï {i} " * (i + 1) for i in range(len(ids))]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = simhash.op9_simhash(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(d), len(t)) for d, t in zip(ids, texts))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, -(ids[i] or 0)))
+    if len(set(ids)) == len(ids):  # else the order of equal ids is free
+        for at, i in enumerate(order):
+            text, other = texts[i], texts[order[(at + 1) % len(ids)]]
+            half = len(text) // 2
+            want = text[:len(text) - half] + other[:half]
+            assert next(r for r in got if r.doc_id == ids[i]).edited_sha256 == hashlib.sha256(want.encode()).hexdigest()
