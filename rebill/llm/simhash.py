@@ -72,8 +72,12 @@ def near_pairs(fps: DataFrame, radius: int = 3, hot: int = 256) -> DataFrame:
     t = stored(t.select("fp", "no", "bits", F.explode(F.when(F.col("count") > hot, split).otherwise(whole)).alias("x")).select("fp", "no", "bits", "x.*"))
     on = ["no", "bits", "r", "more"]
     a, b = t.withColumnRenamed("fp", "fp_a"), t.withColumnRenamed("fp", "fp_b")
-    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    return a.join(b, on).where((F.col("fp_a") < F.col("fp_b")) & (near <= radius)).select("fp_a", "fp_b", near.alias("distance")).distinct()
+    apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    near = F.bit_count(apart)
+    # A pair agrees on the keys of several tables; the first of them is the one that gives it.
+    masks = [sum(1 << bit for j in chosen for bit in range(edges[j], edges[j + 1])) for chosen in tables]
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")) == 0, i) for i, m in enumerate(masks)])
+    return a.join(b, on).where((F.col("fp_a") < F.col("fp_b")) & (near <= radius) & (F.col("no") == first)).select("fp_a", "fp_b", near.alias("distance")).distinct()
 
 
 def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
