@@ -9,7 +9,7 @@ D = "/root/testdata/sf0.001"
 @pytest.fixture(autouse=True, scope="module")
 def shared_frames(spark):
     """Queries of this module share the cached groups and subscriptions instead of planning them anew each time."""
-    whole = {name: getattr(subscriptions, name) for name in ("_fine", "_subs")}
+    whole = {name: getattr(subscriptions, name) for name in ("_vocab", "_keys", "_fine", "_subs")}
     for name, build in whole.items():
         kept = build(spark, D).cache()
         setattr(subscriptions, name, lambda s, d, kept=kept: kept)
