@@ -5,8 +5,9 @@ each, and the language that needs the fewest phrases a symbol wins (ties: the fi
 place of its own in a sparse table of transitions. Null texts and texts without a letter are ``und`` with score 0. With
 nothing to learn from, every text is ``und``. Every row is labelled, repeated ones too.
 
-What is learnt from is a bounded sample: of the LANGS most frequent languages about ROWS different texts each,
-chosen by a hash of the text, the first PART characters of each and SYMBOLS in all.
+What is learnt from is a bounded sample: of each language about ROWS different texts, chosen by a hash of the text, of
+each text a piece of PART characters at a place chosen by its hash, and SYMBOLS in all (less where there are more than
+LANGS languages, so that all of them together stay within LANGS * SYMBOLS).
 """
 
 from __future__ import annotations
@@ -15,16 +16,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rebill.llm.common import read
+from rebill.llm.common import read, sliced
 
 ROWS, PART = 200, 2000
 SYMBOLS = 40_000
 LANGS = 256
-LONGEST = 1 << 17  # symbols parsed in one go; a phrase of a longer text ends there
+LONGEST = 1 << 17  # symbols parsed in one go; what a longer text's next part begins with is put right afterwards
 TOGETHER = 2000  # texts of about a length that are parsed side by side
 _GAP = re.compile(r"[\W\d_]+")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)  # keys times this spread over the table
@@ -114,6 +116,14 @@ class Transitions:
         return out
 
 
+    def step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states in the automata ``lang``, and whether a phrase begins."""
+        to = self(state, symbol)
+        none = to == 0
+        to[none] = self.first[lang[none], symbol[none].astype(np.int64)]
+        return to, none | (state == self.roots[lang])
+
+
 def plain(text: str) -> str:
     return _GAP.sub(" ", text.lower())
 
@@ -122,17 +132,19 @@ def fit(rows: DataFrame) -> dict:
     """Learn from ``rows`` (text, lang) with non-null values; a bounded sample."""
     rows = rows.where("text is not null and lang is not null")
     h = F.xxhash64("text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"), F.count("*").alias("rows")).collect()}  # a row a language
     texts: dict[str, list[str]] = {k: [] for k in counts}
     if counts:
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, ROWS / max(n, 1)))])[F.col("lang")]
-        picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).select("lang", F.substring("text", 1, PART).alias("text"), h.alias("h"))
+        place = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - PART + 1, F.lit(1))).cast("int")
+        picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).select("lang", F.substring("text", place, F.lit(PART)).alias("text"), h.alias("h"))
         nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
         sample = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("nth", nth).where(F.col("nth") <= 2 * ROWS)
         for r in sample.orderBy("lang", "h").collect():
             texts[r["lang"]].append(plain(r["text"]))
     # Each text gives the same share, so that one long text does not fill the sample.
-    joined = {k: " ".join(x[: max(200, SYMBOLS // max(1, len(v)))] for x in v)[:SYMBOLS] for k, v in texts.items()}
+    most = min(SYMBOLS, LANGS * SYMBOLS // max(1, len(texts)))
+    joined = {k: " ".join(x[: max(200, most // max(1, len(v)))] for x in v)[:most] for k, v in texts.items()}
     names = sorted(k for k, v in joined.items() if v)
     return {"names": names, "table": Transitions([automaton([ord(c) for c in joined[k]]) for k in names])}
 
@@ -149,6 +161,7 @@ def phrases(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarra
             parts.append(x[s:s + LONGEST])
             owner.append(i)
     out = np.zeros((len(texts), len(roots)), np.int64)
+    every = np.arange(len(roots))
     if not parts:
         return out, size
     length = np.array([len(x) for x in parts])
@@ -172,18 +185,32 @@ def phrases(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarra
             to[miss] = table.first[miss // (live - g), symbol[miss].astype(np.int64)]
             state[:, g:live] = to.reshape(now.shape)
     np.add.at(out, np.array(owner)[order], made.T)
+    at = np.argsort(order)
+    for i in range(1, len(parts)):
+        if owner[i] == owner[i - 1]:
+            # The part was parsed from the roots; it is parsed again from where the one before ended, until both ways meet.
+            now, was = state[:, at[i - 1]].copy(), roots.copy()
+            for c in table.symbols[parts[i]].astype(np.uint64):
+                symbol = np.full(len(roots), c)
+                now, more = table.step(now, symbol, every)
+                was, less = table.step(was, symbol, every)
+                out[owner[i]] += more.astype(np.int64) - less
+                if (now == was).all():
+                    break
+            else:
+                state[:, at[i]] = now
     return out, size
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1), rate (phrases a symbol) of every whole text."""
+def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, lang_pred, score (0 to 1), rate (phrases a symbol) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = m["names"]
-        for b in batches:
-            texts = [t if isinstance(t, str) else None for t in b["text"]]
+        for b in sliced(batches):
+            texts = b["text"].to_pylist()
             lang, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if names and texts:
                 got, size = phrases(texts, m)
@@ -192,9 +219,11 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                         j = int(got[i].argmin())
                         z = np.exp(np.clip((got[i, j] - got[i]) * 0.5, -50, 0))
                         lang[i], score[i], rate[i] = names[j], 1 / z.sum(), got[i, j] / max(size[i], 1)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": lang, "score": score, "rate": rate})
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(lang), pa.array(score), pa.array(rate)], names=[*keep, "lang_pred", "score", "rate"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rate double")
+    docs = docs.select("text", *[c for c in keep if c != "text"])
+    schema = StructType([*[StructField(c, docs.schema[c].dataType) for c in keep], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rate", DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A document is taken floor(target / source size) times, and once more with the fr
 probability. Flights move these through the null space of (document count, word count) in blocks of a source;
 what a block leaves open (two documents at most) flies on in the next round, until one small landing a source.
 Single draws are turned over where that brings a source nearer its target, whatever its size.
-Null texts have no words; a source without words has target 0. Repeated rows are drawn apart from each other.
+Null texts have no words; a source without words has target 0. Repeated rows are drawn apart from each other. A row
+is known by its id and a hash of all its columns, so rows with a null id or another row's id are mixed by themselves.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rebill.llm.common import read, stored
@@ -130,10 +131,14 @@ def _turn_over(live: DataFrame, drawn: DataFrame) -> DataFrame:
     return rows.groupBy("source").applyInPandas(run, "doc_id long, h long, p double")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*docs.columns)
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, times (copies of the row), taken."""
+    """doc_id, source, size, source_size, target, h (hash of the row of ``docs``), times (copies of the row), taken."""
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", "source").alias("h")))
+    rows = stored(docs.select("doc_id", "source", size.alias("size"), row_hash(docs).alias("h")))
     sums = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]  # a row a source
     aim = targets([(s, n) for s, n, _ in sums])
     table = rows.sparkSession.createDataFrame(

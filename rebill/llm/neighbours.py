@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a robust-pruned directed graph a shard, searched by beams.
 
 Nearness is the largest inner product; vectors get one more coordinate that makes it a least distance. Equal vectors
-are one node and expand to their smallest ids. Vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part; an empty table gives no rows.
+are one node and expand to their smallest ids. Vectors that are null, zero, or that hold null or non-finite
+components take no part. Vectors of another length have no inner product, so each length has an index of its own and a
+query finds those of its length. Of rows that repeat a vec_id the least vector counts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,22 +101,17 @@ def build(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: of each query (vec_id, embedding) the nearest of ``vectors`` but itself."""
-    spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda e: e != 0)
-    v = v.where(sound).dropDuplicates(["vec_id"])
-    length = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if length is None:
-        return spark.createDataFrame([], schema)
-    dim = length["d"]
+    one = F.min("embedding").alias("embedding")
+    v = v.where(sound).groupBy("vec_id").agg(one)
     w = Window.partitionBy("embedding").orderBy("vec_id")
-    few = v.where(F.size("embedding") == dim).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= top + 1)
+    few = v.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= top + 1)
     few = stored(few.withColumn("rep", F.min("vec_id").over(Window.partitionBy("embedding"))))
-    nodes = few.where("nth = 1").select("vec_id", "embedding")
-    shards = max(1, -(-nodes.count() // SHARD))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    nodes = few.where("nth = 1").select("vec_id", "embedding", F.size("embedding").alias("dim"))
+    shards = stored(nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")))  # a row a length
+    nodes = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
 
     def index(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("vec_id").reset_index(drop=True)
@@ -124,13 +120,14 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
         graph, start = build(np.column_stack([x, np.sqrt(np.maximum(sq.max() - sq, 0))]))
         return g.assign(pos=np.arange(len(g)), start=start, links=list(graph.astype(np.int32)))
 
-    built = stored(nodes.groupBy("shard").applyInPandas(index, "vec_id long, embedding array<double>, shard int, pos int, start int, links array<int>"))
+    built = stored(nodes.groupBy("dim", "shard").applyInPandas(index, "vec_id long, embedding array<double>, dim int, shard int, pos int, start int, links array<int>"))
     q = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    q = stored(q.where(sound & (F.size("embedding") == dim)).dropDuplicates(["vec_id"]))
-    blocks = max(1, -(-q.count() // BLOCK))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every)
-    served = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = stored(q.where(sound).groupBy("vec_id").agg(one).withColumn("dim", F.size("embedding")))
+    blocks = stored(q.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    below = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    block = F.expr("cast(pmod(xxhash64(vec_id), blocks) as int) as block")
+    q = q.join(blocks, "dim").join(shards, "dim").select("vec_id", "embedding", "dim", block, below("shards").alias("shard"))
+    served = built.join(blocks, "dim").select("vec_id", "embedding", "dim", "shard", "pos", "start", "links", below("blocks").alias("block"))
 
     def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -149,7 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
             out.append(pd.DataFrame({"query_id": qi[s + i], "rep": ids[p], "score": (qs[s + i] * x[p]).sum(1)}))
         return pd.concat(out)
 
-    hits = q.groupBy("shard", "block").cogroup(served.groupBy("shard", "block")).applyInPandas(lambda b, a: find(a, b), "query_id long, rep long, score double")
+    hits = q.groupBy("dim", "shard", "block").cogroup(served.groupBy("dim", "shard", "block")).applyInPandas(lambda b, a: find(a, b), "query_id long, rep long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).drop("r")
     members = few.groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # top + 1 at most

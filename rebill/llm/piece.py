@@ -14,10 +14,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rebill.llm.common import read
+from rebill.llm.common import read, sliced
 
 MODEL = "piece_bpe_32k.model"
 KEEP = 300_000  # chunks, and pairs of pieces, kept by a worker; longer chunks than LONG are not kept
@@ -156,19 +157,20 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text)."""
     path = path or model_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(path)
-        for b in batches:
+        for b in sliced(batches):
             rows = []
-            for text in b["text"]:
+            for text in b["text"].to_pylist():
                 parts = t.parts(text)
                 ids = ",".join([p[1] for p in parts])
                 rows.append((sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(t.decode(parts)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].to_numpy())
+            n, ids, decoded = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         t.kept.clear()  # workers live on; what was kept goes with the task
         t.pairs.clear()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "n_tokens long, ids_sha256 string, decoded_sha256 string, doc_id long").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,17 +252,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "removed", "spans")]
     docs = docs.select("text", *rest).withColumn("doc_id", F.col("doc_id").cast("long"))
     gone = repeated(docs).unionByName(repeated_windows(docs))
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("_gone"))  # bounded by one text
-    rows = docs.join(gone, "doc_id", "left").select("text", "_gone", *rest)
+    held = "_gone"
+    while held in rest:
+        held += "_"
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias(held))  # bounded by one text
+    rows = docs.join(gone, "doc_id", "left").select("text", held, *rest)
     schema = StructType([StructField("text", StringType()), *[StructField(c, docs.schema[c].dataType) for c in rest], StructField("removed", LongType()), StructField("spans", ArrayType(ArrayType(IntegerType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             texts, removed, spans = b["text"].to_pylist(), [], []
-            some = [i for i, g in enumerate(b["_gone"].is_valid().to_pylist()) if g and texts[i]]
+            some = [i for i, g in enumerate(b[held].is_valid().to_pylist()) if g and texts[i]]
             w = word_table(b["text"].take(pa.array(some, pa.int64())))
             start, _ = paragraphs(w)
-            found = {i: cuts(w, k, start, b["_gone"][i].values.to_numpy()) for k, i in enumerate(some)}
+            found = {i: cuts(w, k, start, b[held][i].values.to_numpy()) for k, i in enumerate(some)}
             for k, i in enumerate(some):
                 lo, hi, base, raw = w.first[k], w.first[k + 1], int(w.text[k]), w.data[w.text[k]:w.text[k + 1]].tobytes()
                 # A cut takes the space after it, up to the next word or the end of the text.

@@ -18,11 +18,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rebill.llm.common import read
+from rebill.llm.common import read, sliced
 
 ROWS = 3000  # labelled documents a class, chosen by a hash of the doc_id: the bound of what is learnt from
 WORDS = 1_500_000  # words of a class's sample, at most; further sampled documents are left out whole
@@ -188,16 +188,16 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             out = np.zeros(len(b))
             for i in range(0, len(b) if m else 0, SOME):
-                x = np.array([features(r, m["span"]) for r in m["ratios"]([tokens(t) for t in b["text"].iloc[i:i + SOME]])])
+                x = np.array([features(r, m["span"]) for r in m["ratios"]([tokens(t) for t in b["text"].slice(i, SOME).to_pylist()])])
                 out[i:i + SOME] = _odds(_design(x) @ m["w"])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": out})
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out)], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
