@@ -14,7 +14,6 @@ Every row is scored, repeated ones too. A doc_id labelled both ways counts in bo
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,94 +30,72 @@ FOLDS = 3
 THRESHOLD = 0.7
 SOME = 500  # texts scored side by side
 _WORD = re.compile(r"[^\W\d_]+")
-BEGIN = ""
+BEGIN = 0  # number of what stands before the first word
 
 
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def discounts(counts: Counter) -> list[float]:
-    """Modified Kneser-Ney discounts of counts 1, 2, and 3 or more."""
-    of = Counter(counts.values())
-    n1, n2, n3, n4 = (of[i] + 0.5 for i in (1, 2, 3, 4))
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0 (none), 1, 2, and 3 or more."""
+    n1, n2, n3, n4 = np.bincount(np.minimum(counts, 5), minlength=6)[1:5] + 0.5
     y = n1 / (n1 + 2 * n2)
-    return [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-
-
-class Model:
-    """Kneser-Ney models of both classes from (words, class) rows, sharing the lowest order."""
-
-    def __init__(self, rows: list[tuple[list[str], int]]):
-        self.pairs = Counter(), Counter()
-        for ws, y in rows:
-            self.pairs[y].update(set(zip([BEGIN, *ws], ws)))
-        self.words = tuple(Counter(c for _, c in x) for x in self.pairs)
-        self.shared = Counter(c for _, c in self.every())
-        self.kinds, self.total = len(self.shared) + 1, sum(self.shared.values())
-        self.d2, self.d1 = [discounts(x) for x in self.pairs], [discounts(x) for x in self.words]
-        self.n1 = [sum(x.values()) for x in self.words]
-        self.gamma1 = [sum(d[min(n, 3) - 1] for n in x.values()) for x, d in zip(self.words, self.d1)]
-        self.after: tuple[Counter, Counter] = (Counter(), Counter())  # of a word: pairs that it begins
-        self.gamma2: tuple[Counter, Counter] = (Counter(), Counter())
-        for y in (0, 1):
-            for (a, _), n in self.pairs[y].items():
-                self.after[y][a] += n
-                self.gamma2[y][a] += self.d2[y][min(n, 3) - 1]
+    return np.array([0.0, *[min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]])
 
-    def every(self) -> Iterator[tuple[str, str]]:
-        """The pairs of both classes, once each."""
-        yield from self.pairs[0]
-        yield from (p for p in self.pairs[1] if p not in self.pairs[0])
 
-    def word(self, y: int, c: str) -> float:
-        """Probability of a word by the continuation counts of a class and the shared ones."""
-        low = (self.shared.get(c, 0) + 1) / (self.total + self.kinds)
-        n = self.words[y].get(c, 0)
-        p = (max(n - self.d1[y][min(n, 3) - 1], 0) if n else 0) + self.gamma1[y] * low
-        return p / self.n1[y] if self.n1[y] else low
+def pair_keys(doc: np.ndarray) -> np.ndarray:
+    """Each word with the word before it (BEGIN before the first) in one long; a document is its words' numbers."""
+    return np.concatenate([[BEGIN], doc[:-1]])[: len(doc)] << 32 | doc
 
-    def pair(self, y: int, a: str, c: str) -> float:
-        """Probability of a word after another."""
-        p, m = self.word(y, c), self.after[y].get(a, 0)
-        if not m:
-            return p
-        n = self.pairs[y].get((a, c), 0)
-        return ((max(n - self.d2[y][min(n, 3) - 1], 0) if n else 0) + self.gamma2[y][a] * p) / m
 
+class Ratios:
+    """Log-likelihood ratios of both classes' models: of words, of contexts (for pairs that no class has) and of known pairs.
 
+    Documents are arrays of word numbers below ``kinds``, toxic is 0 or 1 for each; ``kinds`` itself is any other word.
+    """
 
-class Ratios:
-    """Log-likelihood ratios of a model as arrays: of words, of contexts (for pairs that no class has) and of known pairs."""
-
-    def __init__(self, model: Model):
-        log = lambda f, *x: float(np.log(f(1, *x) / f(0, *x)))
-        self.ids = {w: i for i, w in enumerate(sorted({BEGIN, *model.words[0], *model.words[1]}))}
-        names = list(self.ids)
-        self.word = np.array([log(model.word, w) for w in names] + [log(model.word, None)])  # the last: all other words
-        left = lambda y, a: model.gamma2[y][a] / model.after[y][a] if model.after[y].get(a) else 1.0
-        self.context = np.array([log(left, w) for w in names] + [0.0])
-        # Arrays from the start: lists of keys and ratios take many times the memory of the driver.
-        keys = np.fromiter((self.ids[a] << 32 | self.ids[c] for a, c in model.every()), np.int64)
-        order = np.argsort(keys)
-        self.pairs, self.of = keys[order], np.fromiter((log(model.pair, a, c) for a, c in model.every()), float)[order]
-
-    def __call__(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """[2, word] for each text: ratios of words after the word before, and by themselves."""
-        get, none = self.ids.get, len(self.ids)
-        c = np.array([get(w, none) for ws in texts for w in ws], np.int64)
-        size = np.array([len(ws) for ws in texts], np.int64)
-        a = np.concatenate([[0], c[:-1]]) if len(c) else c
-        a[(np.cumsum(size) - size)[size > 0]] = self.ids[BEGIN]
-        word = self.word[c]
-        pair = self.context[a] + word
-        key = a << 32 | c
+    def __init__(self, docs: list[np.ndarray], toxic: np.ndarray, kinds: int):
+        found = []
+        for y in (0, 1):
+            mine = [np.unique(pair_keys(d)) for d, t in zip(docs, toxic) if t == y]
+            found.append(np.unique(np.concatenate([np.zeros(0, np.int64), *mine]), return_counts=True))
+        self.pairs = np.union1d(found[0][0], found[1][0])
+        a, c = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        shared = np.bincount(c, minlength=kinds + 1)
+        low = (shared + 1) / (shared.sum() + np.count_nonzero(shared) + 1)
+        word, left, pair = [], [], []
+        for keys, n in found:
+            words = np.bincount(keys & 0xFFFFFFFF, minlength=kinds + 1)
+            d = discounts(words[words > 0])[np.minimum(words, 3)]
+            # A class without words falls back to the shared counts.
+            word.append((np.maximum(words - d, 0) + d.sum() * low) / words.sum() if len(keys) else low)
+            d = discounts(n)[np.minimum(n, 3)]
+            after, gamma = (np.bincount(keys >> 32, weights=w, minlength=kinds + 1) for w in (n, d))
+            left.append(np.divide(gamma, after, out=np.ones(kinds + 1), where=after > 0))
+            kept = np.zeros(len(self.pairs))
+            kept[np.searchsorted(self.pairs, keys)] = np.maximum(n - d, 0)
+            pair.append(kept / np.maximum(after[a], 1) + left[-1][a] * word[-1][c])
+        self.word, self.context, self.of = (np.log(x[1] / x[0]) for x in (word, left, pair))
+
+    def __call__(self, docs: list[np.ndarray]) -> list[np.ndarray]:
+        """[2, word] for each document: ratios of words after the word before, and by themselves."""
+        size = np.array([len(d) for d in docs], np.int64)
+        key = np.concatenate([np.zeros(0, np.int64), *map(pair_keys, docs)])
+        word = self.word[key & 0xFFFFFFFF]
+        pair = self.context[key >> 32] + word
         at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
         hit = self.pairs[at] == key
         pair[hit] = self.of[at[hit]]
         return np.split(np.stack([pair, word]), np.cumsum(size)[:-1], axis=1)
 
 
+def numbered(words: list[str], ids: dict[str, int]) -> np.ndarray:
+    """The numbers of words; those that were not learnt have the next number after the last."""
+    none = len(ids)
+    return np.fromiter((ids.get(w, none) for w in words), np.int64, len(words))
+
+
 def features(r: np.ndarray, span: int) -> tuple[float, float]:
     """Mean ratio of the whole text and of its strongest run of ``span`` words (of a shorter text: over ``span``)."""
     if not r.shape[1]:
@@ -164,14 +141,20 @@ def fit(rows: list[tuple[list[str], int]]) -> dict | None:
     """Learn from (words, toxic) rows; None without both classes."""
     if {y for _, y in rows} != {0, 1}:
         return None
+    ids = {"": BEGIN}
+    for ws, _ in rows:
+        for w in ws:
+            ids.setdefault(w, len(ids))
+    docs, toxic, nth = [numbered(ws, ids) for ws, _ in rows], np.array([y for _, y in rows]), np.arange(len(rows)) % FOLDS
+    learn = lambda at: Ratios([docs[i] for i in at], toxic[at], len(ids))
     folds: list[tuple[np.ndarray, int]] = []
     for f in range(FOLDS):
-        seen = [r for i, r in enumerate(rows) if i % FOLDS != f]
-        rest = rows[f::FOLDS]
-        if len({y for _, y in seen}) == 2 and rest:
-            folds += zip(Ratios(Model(seen))([ws for ws, _ in rest]), [y for _, y in rest])
+        seen, rest = np.flatnonzero(nth != f), np.flatnonzero(nth == f)
+        if len(set(toxic[seen])) == 2 and len(rest):
+            folds += zip(learn(seen)([docs[i] for i in rest]), toxic[rest].tolist())
+    whole = learn(np.arange(len(rows)))
     if len({y for _, y in folds}) < 2:  # too few rows for folds
-        folds = [*zip(Ratios(Model(rows))([ws for ws, _ in rows]), [y for _, y in rows])]
+        folds = [*zip(whole(docs), toxic.tolist())]
     ys = np.array([y for _, y in folds], float)
     best = None
     for span in SPANS:
@@ -181,7 +164,7 @@ def fit(rows: list[tuple[list[str], int]]) -> dict | None:
         loss = -float(np.log(np.where(ys == 1, p, 1 - p)).sum())
         if best is None or loss < best[0]:
             best = (loss, span, w)
-    return {"ratios": Ratios(Model(rows)), "span": best[1], "w": best[2]}
+    return {"ids": ids, "ratios": whole, "span": best[1], "w": best[2]}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -193,7 +176,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         for b in sliced(batches):
             out = np.zeros(len(b))
             for i in range(0, len(b) if m else 0, SOME):
-                x = np.array([features(r, m["span"]) for r in m["ratios"]([tokens(t) for t in b["text"].slice(i, SOME).to_pylist()])])
+                x = np.array([features(r, m["span"]) for r in m["ratios"]([numbered(tokens(t), m["ids"]) for t in b["text"].slice(i, SOME).to_pylist()])])
                 out[i:i + SOME] = _odds(_design(x) @ m["w"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out)], names=["doc_id", "score"])
 
