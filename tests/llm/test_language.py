@@ -48,14 +48,3 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "word")], "doc_id long, text string")
     none = spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.identify(docs, language.fit(none)).collect()] == [("und", 0.0)]
-
-
-def test_pieces_come_from_the_whole_text_and_every_language_is_learnt(spark, monkeypatch):
-    monkeypatch.setattr(language, "LANGS", 2)
-    head = "0 " * 3000  # no letters in what a text begins with
-    rows = [(head + f"{chr(0xAC00 + i)}{chr(0xAC01 + i)} " * 3000 + str(n), f"l{i}") for i in range(5) for n in range(40)]
-    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
-    assert model["names"] == [f"l{i}" for i in range(5)]
-    docs = spark.createDataFrame([(i, f"{chr(0xAC00 + i)}{chr(0xAC01 + i)} " * 4) for i in range(5)], "doc_id long, text string")
-    assert {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()} == {i: f"l{i}" for i in range(5)}
-    assert language.identify(docs.limit(0), model).collect() == []
