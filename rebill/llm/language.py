@@ -5,8 +5,9 @@ each, and the language that needs the fewest phrases a symbol wins (ties: the fi
 place of its own in a sparse table of transitions. Null texts and texts without a letter are ``und`` with score 0. With
 nothing to learn from, every text is ``und``. Every row is labelled, repeated ones too.
 
-What is learnt from is a bounded sample: of the LANGS most frequent languages about ROWS different texts each,
-chosen by a hash of the text, the first PART characters of each and SYMBOLS in all.
+What is learnt from is a bounded sample: of each language about ROWS different texts, chosen by a hash of the text, of
+each text a piece of PART characters at a place chosen by its hash, and SYMBOLS in all (less where there are so many
+languages that all of them together would pass TOTAL).
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from rebill.llm.common import read, sliced
 
 ROWS, PART = 200, 2000
-SYMBOLS = 40_000
-LANGS = 256
-LONGEST = 1 << 17  # symbols parsed in one go; what a longer text's next part begins with is put right afterwards
-TOGETHER = 2000  # texts of about a length that are parsed side by side
+SYMBOLS, TOTAL = 40_000, 640_000
+WIDE = 64  # symbols with a column of their own, a power of two
+LONGEST = 4096  # symbols parsed in one go; what a longer text's next part begins with is put right afterwards
+TOGETHER = 1000  # parts of about a length that are parsed side by side
 _GAP = re.compile(r"[\W\d_]+")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)  # keys times this spread over the table
 
@@ -61,31 +62,42 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Transitions:
-    """All automata as one sparse table: state and symbol are hashed to a slot, taken slots pass on to the next.
+    """All automata in two tables; symbols are numbered from 1 by falling frequency, 0 is any that was not learnt.
 
-    A slot holds (state, symbol, next state) in one long; symbols are numbered from 1, 0 is any that was not learnt.
+    The WIDE most frequent symbols have a column each in a table of all states, which also says where a symbol that a
+    state can't take in leads to: (next state) * WIDE, plus 1 where a phrase begins. Transitions by other symbols are
+    in a sparse table: state and symbol are hashed to a slot, taken slots pass on to the next; a slot holds (state,
+    symbol, next state) in one long.
     """
 
     def __init__(self, automata: list[list[dict[int, int]]]):
-        found = np.unique(np.array([c for states in automata for c in states[0]], np.int64))
+        codes = np.array([c for states in automata for row in states for c in row], np.int64)
+        found, often = np.unique(codes, return_counts=True)
+        found = found[np.argsort(-often, kind="stable")]
         self.symbols = np.zeros(0x110000, np.uint32)
         self.symbols[found] = np.arange(1, len(found) + 1)
-        rows, roots, base = [], [], 1
-        for states in automata:
-            roots.append(base)
-            rows += [(base + i, int(self.symbols[c]), base + j) for i, row in enumerate(states) for c, j in row.items()]
-            base += len(states)
-        self.roots = np.array(roots, np.uint64)
-        states, width = base.bit_length(), len(found).bit_length()
-        if 2 * states + width > 64:
-            raise ValueError("too many languages for the table")
+        sizes = [len(states) for states in automata]
+        self.roots = 1 + np.cumsum([0, *sizes])[:-1]
+        states, width = (1 + sum(sizes)).bit_length(), len(found).bit_length()
+        if 2 * states + width > 64 or states > 26:
+            raise ValueError("too much to learn from for the tables")
+        state = np.array([r + i for r, a in zip(self.roots, automata) for i, row in enumerate(a) for _ in row], np.int64)
+        to = np.array([r + j for r, a in zip(self.roots, automata) for row in a for j in row.values()], np.int64)
+        symbol = self.symbols[codes].astype(np.int64)
+        self.first = np.repeat(self.roots[:, None], len(found) + 1, axis=1)  # from the roots, the roots where there is none
+        lang = np.searchsorted(self.roots, state, "right") - 1
+        at_root = state == self.roots[lang] if len(state) else np.zeros(0, bool)
+        self.first[lang[at_root], symbol[at_root]] = to[at_root]
+        self.wide = np.zeros((1 + sum(sizes), WIDE), np.uint32)
+        for r, n, row in zip(self.roots, sizes, self.first):
+            self.wide[r:r + n, : len(row)] = row[:WIDE] * WIDE + 1
+            self.wide[r:r + n, len(row):] = r * WIDE + 1
+        common = symbol < WIDE
+        self.wide[state[common], symbol[common]] = to[common] * WIDE + at_root[common]
+        self.wide = self.wide.ravel()
         self.width, self.states = np.uint64(width), np.uint64(states)
-        self.shift = np.uint64(64 - max(4, (2 * len(rows)).bit_length()))
-        state, symbol, to = np.array(rows, np.uint64).reshape(-1, 3).T
-        self.first = np.zeros((len(roots), len(found) + 1), np.uint64)  # from the roots, the roots where there is none
-        self.first[:] = self.roots[:, None]
-        for i, r in enumerate(self.roots):
-            self.first[i, symbol[state == r].astype(np.int64)] = to[state == r]
+        state, symbol, to = (x[~common].astype(np.uint64) for x in (state, symbol, to))
+        self.shift = np.uint64(64 - max(4, (2 * len(state)).bit_length()))
         key = state << self.width | symbol
         entry, slot = key << self.states | to, key * _SPREAD >> self.shift
         self.table = np.zeros(1 << (64 - int(self.shift)), np.uint64)
@@ -98,29 +110,37 @@ class Transitions:
             rest[take] = False
             entry, slot = entry[rest], (slot[rest] + np.uint64(1)) & np.uint64(len(self.table) - 1)
 
-    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Next states, 0 where there is none."""
-        key = state << self.width | symbol
+    def rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states by symbols from WIDE on, 0 where there is none."""
+        key = state.astype(np.uint64) << self.width | symbol.astype(np.uint64)
         slot = key * _SPREAD >> self.shift
-        entry = self.table[slot]
-        hit = entry >> self.states == key
-        out = (entry & np.uint64((1 << int(self.states)) - 1)) * hit
-        open_ = np.flatnonzero((entry != 0) & ~hit)
+        out = np.zeros(len(key), np.int64)
+        open_ = np.arange(len(key))
         while len(open_):
-            slot[open_] = (slot[open_] + np.uint64(1)) & np.uint64(len(self.table) - 1)
             entry = self.table[slot[open_]]
             hit = entry >> self.states == key[open_]
-            out[open_[hit]] = entry[hit] & np.uint64((1 << int(self.states)) - 1)
+            out[open_[hit]] = (entry[hit] & np.uint64((1 << int(self.states)) - 1)).astype(np.int64)
             open_ = open_[~hit & (entry != 0)]
+            slot[open_] = (slot[open_] + np.uint64(1)) & np.uint64(len(self.table) - 1)
         return out
 
+    def start(self, n: int) -> np.ndarray:
+        """Places [language, text] at the roots, as ``step`` takes them."""
+        return np.repeat((self.roots * WIDE).astype(np.uint32)[:, None], n, axis=1)
 
-    def step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states in the automata ``lang``, and whether a phrase begins."""
-        to = self(state, symbol)
-        none = to == 0
-        to[none] = self.first[lang[none], symbol[none].astype(np.int64)]
-        return to, none | (state == self.roots[lang])
+    def step(self, place: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next places [language, text] after a symbol of each text, and 1 where a phrase begins.
+
+        A phrase begins at a root, and with a symbol that the one before can't take in.
+        """
+        out = self.wide.take(place + (symbol & np.uint32(WIDE - 1)))
+        if (at := np.flatnonzero(symbol >= WIDE)).size:
+            s, c = place[:, at].astype(np.int64) // WIDE, symbol[at].astype(np.int64)
+            to = self.rare(s.ravel(), np.tile(c, len(s))).reshape(s.shape)
+            out[:, at] = np.where(to == 0, self.first[:, c], to) * WIDE + ((to == 0) | (s == self.roots[:, None]))
+        begins = out & np.uint32(1)
+        out -= begins
+        return out, begins
 
 
 def plain(text: str) -> str:
@@ -131,24 +151,26 @@ def fit(rows: DataFrame) -> dict:
     """Learn from ``rows`` (text, lang) with non-null values; a bounded sample."""
     rows = rows.where("text is not null and lang is not null")
     h = F.xxhash64("text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}  # a row a language
     texts: dict[str, list[str]] = {k: [] for k in counts}
     if counts:
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, ROWS / max(n, 1)))])[F.col("lang")]
-        picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).select("lang", F.substring("text", 1, PART).alias("text"), h.alias("h"))
+        place = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - PART + 1, F.lit(1))).cast("int")
+        picked = rows.where(F.pmod(h, F.lit(1 << 30)) < share * float(1 << 30)).select("lang", F.substring("text", place, F.lit(PART)).alias("text"), h.alias("h"))
         nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
         sample = picked.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("nth", nth).where(F.col("nth") <= 2 * ROWS)
         for r in sample.orderBy("lang", "h").collect():
             texts[r["lang"]].append(plain(r["text"]))
     # Each text gives the same share, so that one long text does not fill the sample.
-    joined = {k: " ".join(x[: max(200, SYMBOLS // max(1, len(v)))] for x in v)[:SYMBOLS] for k, v in texts.items()}
+    most = min(SYMBOLS, TOTAL // max(1, len(texts)))
+    joined = {k: " ".join(x[: max(200, most // max(1, len(v)))] for x in v)[:most] for k, v in texts.items()}
     names = sorted(k for k, v in joined.items() if v)
     return {"names": names, "table": Transitions([automaton([ord(c) for c in joined[k]]) for k in names])}
 
 
 def phrases(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Phrases [text, language] and symbols [text] of whole texts, parsed side by side."""
-    table, roots = model["table"], model["table"].roots
+    table = model["table"]
     parts, owner = [], []
     size = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -157,48 +179,65 @@ def phrases(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarra
         for s in range(0, len(x), LONGEST):
             parts.append(x[s:s + LONGEST])
             owner.append(i)
-    out = np.zeros((len(texts), len(roots)), np.int64)
-    every = np.arange(len(roots))
+    out = np.zeros((len(texts), len(table.roots)), np.int64)
     if not parts:
         return out, size
     length = np.array([len(x) for x in parts])
     order = np.argsort(-length, kind="stable")
-    length, flat = length[order], table.symbols[np.concatenate([parts[i] for i in order])].astype(np.uint64)
-    start, n = np.cumsum(length) - length, len(length)
-    made = np.zeros((len(roots), n), np.int64)
-    state = np.repeat(roots[:, None], n, axis=1)
-    for g in range(0, n, TOGETHER):
-        live = g + min(TOGETHER, n - g)
-        for step in range(int(length[g])):
-            while length[live - 1] <= step:
-                live -= 1
-            now = state[:, g:live]
-            symbol = np.tile(flat[start[g:live] + step], len(roots))
-            to = table(now.ravel(), symbol)
-            none = to == 0
-            # A phrase begins at a root, and with a symbol that the one before can't take in.
-            made[:, g:live] += none.reshape(now.shape) | (now == roots[:, None])
-            miss = np.flatnonzero(none)
-            to[miss] = table.first[miss // (live - g), symbol[miss].astype(np.int64)]
-            state[:, g:live] = to.reshape(now.shape)
-    np.add.at(out, np.array(owner)[order], made.T)
-    at = np.argsort(order)
-    for i in range(1, len(parts)):
-        if owner[i] == owner[i - 1]:
-            # The part was parsed from the roots; it is parsed again from where the one before ended, until both ways meet.
-            now, was = state[:, at[i - 1]].copy(), roots.copy()
-            for c in table.symbols[parts[i]].astype(np.uint64):
-                symbol = np.full(len(roots), c)
-                now, more = table.step(now, symbol, every)
-                was, less = table.step(was, symbol, every)
-                out[owner[i]] += more.astype(np.int64) - less
-                if (now == was).all():
-                    break
-            else:
-                state[:, at[i]] = now
+    made = np.zeros((len(table.roots), len(parts)), np.int64)
+    ends = table.start(len(parts))
+    for g in range(0, len(parts), TOGETHER):
+        group = order[g:g + TOGETHER]
+        symbols = np.zeros((length[group[0]], len(group)), np.uint32)
+        for i, j in enumerate(group):
+            symbols[: length[j], i] = table.symbols[parts[j]]
+        place, count = table.start(len(group)), np.zeros((len(table.roots), len(group)), np.uint32)
+        live = len(group) - np.searchsorted(length[group][::-1], np.arange(len(symbols)), "right")
+        now = place
+        for row, n in zip(symbols, live):
+            if n < now.shape[1]:
+                place[:, : now.shape[1]] = now
+                now = now[:, :n]
+            now, begins = table.step(now, row[:n])
+            count[:, :n] += begins
+        place[:, : now.shape[1]] = now
+        made[:, group], ends[:, group] = count, place
+    made += _joined(table, parts, np.array(owner), length, ends)
+    np.add.at(out, owner, made.T)
     return out, size
 
 
+def _joined(table: Transitions, parts: list[np.ndarray], owner: np.ndarray, length: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What to add to the phrases [language, part] of parts parsed from the roots, as they go on from the part before.
+
+    Such parts are parsed again from where the one before ended, side by side, until both ways meet. A part in which
+    they don't meet ends elsewhere, and so the next one is parsed again.
+    """
+    more, alone, ends = np.zeros(ends.shape, np.int64), ends, ends.copy()
+    flat, start = table.symbols[np.concatenate(parts)], np.cumsum(length) - length
+    todo = 1 + np.flatnonzero(owner[1:] == owner[:-1])
+    while len(todo):
+        more[:, todo] = 0
+        after = alone[:, todo]
+        now, was, i = ends[:, todo - 1], table.start(len(todo)), 0
+        open_ = np.arange(len(todo))
+        while len(open_):
+            part = todo[open_]
+            now, begins = table.step(now, flat[start[part] + i])
+            was, began = table.step(was, flat[start[part] + i])
+            more[:, part] += begins.astype(np.int64) - began
+            i += 1
+            apart, over = (now != was).any(axis=0), length[part] == i
+            after[:, open_[apart & over]] = now[:, apart & over]
+            go = apart & ~over
+            open_, now, was = open_[go], now[:, go], was[:, go]
+        other = todo[(after != ends[:, todo]).any(axis=0)] + 1
+        ends[:, todo] = after
+        other = other[other < len(parts)]
+        todo = other[owner[other] == owner[other - 1]]
+    return more
+
+
 def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, lang_pred, score (0 to 1), rate (phrases a symbol) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

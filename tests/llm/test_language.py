@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -48,3 +49,26 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "word")], "doc_id long, text string")
     none = spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.identify(docs, language.fit(none)).collect()] == [("und", 0.0)]
+
+
+def test_query_against_a_plain_parse_and_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in language.read(spark, d, "documents").collect()}
+    got = language.op2_language(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert all(r.held_out == (r in held) for r in got)
+    known = [r for r in held if docs[r.doc_id].lang and r.lang_pred != "und"]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in known) >= 0.95 * len(known) > 20
+    for r in got:
+        text = docs[r.doc_id].text
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, text or ""))) and 0 <= r.score <= 1
+
+
+def test_a_long_text_that_never_falls_in_step(monkeypatch):
+    monkeypatch.setattr(language, "LONGEST", 50)
+    train = {"x": "a" * 7 + " b", "y": "ab" * 9 + "c"}
+    model = {"names": ["x", "y"], "table": language.Transitions([language.automaton([ord(c) for c in t]) for t in train.values()])}
+    texts = ["a" * 1003, "ab" * 400, "a" * 333 + "b" + "a" * 333, "ba" * 77 + "c" * 60 + "ab" * 200]
+    got, _ = language.phrases(texts, model)
+    assert got.tolist() == [[naive(t, x) for x in train.values()] for t in texts]
