@@ -50,7 +50,7 @@ def near_pairs(fps: DataFrame, radius: int = 3, hot: int = 256) -> DataFrame:
 
     Of 2 * radius blocks two fingerprints within the radius agree on ``radius`` at least, so every choice of these is a
     table. Keys of more than ``hot`` fingerprints are split by one more of radius + 1 blocks of the whole, on one of which
-    the pair agrees, too. Equal fingerprints are one row, so copies make no pairs.
+    the pair agrees, too. Equal fingerprints are one row, so copies make no pairs; any pair is made once.
     """
     n = max(2 * radius, 1)
     edges = [64 * i // n for i in range(n + 1)]
@@ -60,12 +60,13 @@ def near_pairs(fps: DataFrame, radius: int = 3, hot: int = 256) -> DataFrame:
     sizes = t.groupBy("no", "bits").count().where("count > 1")
     t = stored(t.join(sizes, ["no", "bits"]))
     # The bits outside of a table's blocks differ in radius places at most: one of radius + 1 parts of them agrees.
-    out = []
-    for i, chosen in enumerate(tables):
+    out, places = [], []
+    for chosen in tables:
         free = [b for j in range(n) if j not in chosen for b in range(edges[j], edges[j + 1])]
         parts = [free[len(free) * r // (radius + 1):len(free) * (r + 1) // (radius + 1)] for r in range(radius + 1)]
         masks = [sum(1 << b for b in x) for x in parts]
         masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+        places.append(masks)
         out.append(F.array(*[F.struct(F.lit(r).alias("r"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("more")) for r, m in enumerate(masks)]))
     split = F.element_at(F.array(*out), F.col("no") + 1)
     whole = F.array(F.struct(F.lit(-1).alias("r"), F.lit(0).cast("long").alias("more")))
@@ -77,7 +78,11 @@ def near_pairs(fps: DataFrame, radius: int = 3, hot: int = 256) -> DataFrame:
     # A pair agrees on the keys of several tables; the first of them is the one that gives it.
     masks = [sum(1 << bit for j in chosen for bit in range(edges[j], edges[j + 1])) for chosen in tables]
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long")) == 0, i) for i, m in enumerate(masks)])
-    return a.join(b, on).where((F.col("fp_a") < F.col("fp_b")) & (near <= radius) & (F.col("no") == first)).select("fp_a", "fp_b", near.alias("distance")).distinct()
+    # So does the first part, of those that split a hot key.
+    part = lambda r: F.element_at(F.array(*[F.lit(x[r]).cast("long") for x in places]), F.col("no") + 1)
+    for r in range(radius):
+        first = F.when((F.col("r") <= r) | (apart.bitwiseAND(part(r)) != 0), first)
+    return a.join(b, on).where((F.col("fp_a") < F.col("fp_b")) & (near <= radius) & (F.col("no") == first)).select("fp_a", "fp_b", near.alias("distance"))
 
 
 def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:

@@ -46,3 +46,12 @@ def test_edited_texts_take_from_the_next_document(spark, tmp_path, ids):
             half = len(text) // 2
             want = text[:len(text) - half] + other[:half]
             assert next(r for r in got if r.doc_id == ids[i]).edited_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_near_pairs_come_once_without_a_distinct(spark):
+    fps = [x for i in range(24) for x in {1 << i, 1 << i | 1 << (i + 7) % 24}]
+    pairs = simhash.near_pairs(spark.createDataFrame([(f,) for f in set(fps)], "fp long"), 3, 4)
+    assert "Deduplicate" not in pairs._jdf.queryExecution().analyzed().toString()
+    got = [(r.fp_a, r.fp_b) for r in pairs.collect()]
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
+    assert sorted(got) == sorted(want)
