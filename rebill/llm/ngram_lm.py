@@ -30,6 +30,8 @@ CHUNK = 4_000_000  # tokens whose counts are added up in a task before the shuff
 RANGE = 4_000_000  # n-grams of a file, about
 TURN_BITS = 1  # bigrams and trigrams are counted in two ranges of keys, one after the other, so that shuffles stay small
 TRI, BI = 24, 31  # bits of a key that the last word of a trigram, a bigram takes
+BUFFER = 1 << 20  # sorted rows that a task of a table handles at once
+AFTER = 31  # bits of a hash of the word before a bigram
 WIDE = 16  # contexts of as many words or more keep their totals
 
 
@@ -72,6 +74,27 @@ def _unsigned(k: np.ndarray) -> np.ndarray:
     return k.view(np.uint64) ^ np.uint64(1 << 63)
 
 
+def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """k and x of BUFFER rows or more at a time, and of the rest."""
+    held, many = [], 0
+    for b in batches:
+        held.append((b["k"].to_numpy(), b["x"].to_numpy()))
+        many += len(b)
+        if many >= BUFFER:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, many = [], 0
+    if many:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _once(k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of sorted k and x (of AFTER bits) once, sorted."""
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    both = np.sort((np.cumsum(new) - 1 << AFTER) | x)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    return k[new][both >> AFTER], both & ((1 << AFTER) - 1)
+
+
 def counted(docs: DataFrame, order: int, turn: int = 0) -> DataFrame:
     """k, x of the n-grams of all texts whose key falls into a turn's range, added up in each task.
 
@@ -83,7 +106,9 @@ def counted(docs: DataFrame, order: int, turn: int = 0) -> DataFrame:
         def flush():
             rows = np.concatenate(held, axis=1)
             if order == 2:
-                _, at = np.unique(pair(rows[0], rows[1]), return_index=True)
+                both = pair(rows[0], rows[1])
+                at = np.argsort(both)
+                at = at[np.concatenate([[True], np.diff(both[at]) != 0])]
                 k, x = rows[0, at], rows[1, at].astype(np.int64)
             else:
                 k, x = np.unique(rows[0], return_counts=True)
@@ -94,7 +119,7 @@ def counted(docs: DataFrame, order: int, turn: int = 0) -> DataFrame:
             rows = t[None]
             if order > 1:
                 a, b = contexts(t, size)
-                rows = keyed(pair(a, b), t, TRI)[None] if order == 3 else np.stack([keyed(mix(b), t, BI), mix(a) >> np.uint64(33)])
+                rows = keyed(pair(a, b), t, TRI)[None] if order == 3 else np.stack([keyed(mix(b), t, BI), mix(a) >> np.uint64(64 - AFTER)])
                 rows = rows[:, rows[0] >> np.uint64(64 - TURN_BITS) == np.uint64(turn)]
             held.append(rows)
             many += rows.shape[1]
@@ -115,8 +140,8 @@ def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: boo
     """
     k, sign = F.col("k"), F.lit(1 << (parts_bits - 1))
     part = (F.shiftright(k, 64 - parts_bits) + sign).cast("int")
-    ordered = df.repartitionById(1 << parts_bits, part).sortWithinPartitions("k", "x")
-    shift = np.uint64(tail)
+    ordered = df.repartitionById(1 << parts_bits, part).sortWithinPartitions("k")
+    shift, low = np.uint64(tail), np.uint64((1 << tail) - 1)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, first = f"{folder}/{uuid.uuid4().hex}", None
@@ -147,15 +172,13 @@ def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: boo
             rows = rows[:, :-1]
             wide.append(rows[:, rows[1] >= WIDE])
 
+        words, many = [], 0  # last words of distinct bigrams
         held_k, held_x = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last key, which the next batch may go on with
         with files.open_output_stream(path + ".k") as keys, files.open_output_stream(path + ".n") as counts:
-            for b in batches:
-                k, x = np.concatenate([held_k, b["k"].to_numpy()]), np.concatenate([held_x, b["x"].to_numpy()])
-                if not len(k):
-                    continue
+            for k, x in _buffered(batches):
+                k, x = np.concatenate([held_k, k]), np.concatenate([held_x, x])
                 if distinct:
-                    new = np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
-                    k, x = k[new], x[new]
+                    k, x = _once(k, x)
                 tail_at = int(np.searchsorted(k, k[-1]))
                 if tail_at == 0 and not distinct:
                     held_k, held_x = k[:1], np.array([x.sum()])
@@ -167,12 +190,16 @@ def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: boo
                     first = k[0] if first is None else first
                     put(_unsigned(k[at]), np.diff(np.append(at, len(k))) if distinct else np.add.reduceat(x, at))
                     if distinct:
-                        yield from listed(_unsigned(k[at]))
+                        words.append((_unsigned(k[at]) & low).astype(np.int32))
+                        many += len(at)
+                        if many >= CHUNK:
+                            yield listed(words)
+                            words, many = [], 0
             if len(held_k):
                 first = held_k[0] if first is None else first
                 put(_unsigned(held_k[:1]), np.array([len(np.unique(held_x)) if distinct else held_x.sum()]))
                 if distinct:
-                    yield from listed(_unsigned(held_k[:1]))
+                    yield listed([*words, (_unsigned(held_k[:1]) & low).astype(np.int32)])
         if first is None:
             files.delete_file(path + ".k"), files.delete_file(path + ".n")
             return
@@ -184,11 +211,11 @@ def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: boo
         none = pa.nulls(1, pa.int32())
         yield pa.RecordBatch.from_arrays([none, none, pa.array([int(first)]), pa.array([name]), pa.array([sums.tolist()])], names=["word", "n", "k", "path", "sums"])
 
-    def listed(k: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The last words of distinct bigrams, counted within a batch."""
-        c, n = np.unique(k & np.uint64((1 << tail) - 1), return_counts=True)
+    def listed(words: list[np.ndarray]) -> pa.RecordBatch:
+        """The last words of distinct bigrams, counted."""
+        c, n = np.unique(np.concatenate(words), return_counts=True)
         none = pa.nulls(len(c))
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(n.astype(np.int32)), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.list_(pa.int64()))], names=["word", "n", "k", "path", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(n.astype(np.int32)), none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.list_(pa.int64()))], names=["word", "n", "k", "path", "sums"])
 
     # A task that is run again writes files of other names; only those of the task that counts are listed.
     return stored(ordered.mapInArrow(save, "word int, n int, k long, path string, sums array<long>"))
@@ -224,8 +251,11 @@ class Table:
         return [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of keys, 0 where there is none, and [key, 4] of their contexts: the sum of counts, ones, twos, more."""
-        uniq, back = np.unique(keys, return_inverse=True)
+        """Counts of keys, 0 where there is none, and [key, 4] of their contexts: the sum of counts, ones, twos, more.
+
+        Where keys have no context (a tail of no bits) these are 0.
+        """
+        uniq, back = _inverse(keys)
         out, ctx = np.zeros(len(uniq), np.int64), np.zeros((len(uniq), 4), np.int64)
         shift = np.uint64(self.tail)
         # A context lies in one file: keys before a file's first one may still share the context of it.
@@ -241,6 +271,8 @@ class Table:
             large = np.flatnonzero(c == 255)
             c[large] = big[1][np.searchsorted(big[0], u[large])].astype(np.int64)
             out[sel] = c
+            if not self.tail:
+                continue
             c = u >> shift
             new = np.concatenate([[True], c[1:] != c[:-1]])
             cu, cb = c[new], np.cumsum(new) - 1
@@ -265,6 +297,16 @@ class Table:
         return out[back], ctx[back]
 
 
+def _inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and where each key is among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(keys)]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], back
+
+
 def _bits(rows: float) -> int:
     return int(np.clip(np.ceil(np.log2(max(rows / RANGE, 1))), 1, 20))
 
@@ -306,12 +348,13 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def logs(t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, base, logs) of tokens."""
         a, b = contexts(t, size)
-        count = raw(t)[0]
-        base = np.log10((count + 1) / (big_n + v + 1))
-        p = _level(uni(keyed(np.zeros(1, np.uint64), t, BI) << np.uint64(64 - BI))[0], np.broadcast_to(whole, (len(t), 4)), d1, np.full(len(t), 1 / (v + 1)))
+        words, at = _inverse(t)
+        count = raw(words)[0]
+        base = np.log10((count + 1) / (big_n + v + 1))[at]
+        p = _level(uni(keyed(np.zeros(1, np.uint64), words, BI) << np.uint64(64 - BI))[0], np.broadcast_to(whole, (len(words), 4)), d1, np.full(len(words), 1 / (v + 1)))[at]
         p = _level(*bi(keyed(mix(b), t, BI)), d2, p)
         p = _level(*tri(keyed(pair(a, b), t, TRI)), d3, p)
-        return count > 0, base, np.log10(p)
+        return (count > 0)[at], base, np.log10(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):

@@ -73,3 +73,27 @@ def test_no_training_text(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = ngram_lm.train(docs.limit(0))
     assert [(r.n_tokens, r.n_known, r.score) for r in ngram_lm.score(docs, model).collect()] == [(3, 0, 0.0)]
+
+
+def test_last_words_of_bigrams_are_counted_once_a_file(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(30)}" for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        out = [ngram_lm._write(ngram_lm.counted(docs, 2, i), str(tmp_path), 2, ngram_lm.BI, True).collect() for i in (0, 1)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    before_of = defaultdict(set)
+    for t in texts:
+        ws = ["<s>", "<s>", *t.split(), "</s>"]
+        for a, b, c in zip(ws, ws[1:], ws[2:]):
+            before_of[b, c].add(a)
+    n = [len(x) for x in before_of.values()]
+    sums = [sum(r.sums[i] for rows in out for r in rows if r.path) for i in range(7)]
+    assert sums == [len(n), sum(n), n.count(1), n.count(2), n.count(3), n.count(4), sum(x > 2 for x in n)]
+    for rows in out:
+        words = [r.word for r in rows if r.path is None]
+        assert len(words) <= len(set(words)) * sum(r.path is not None for r in rows)
+    assert sum(r.n for rows in out for r in rows if r.path is None) == len(n)
