@@ -231,7 +231,7 @@ def _file(uri: str, kind: str, dtype) -> np.ndarray:
     """A file as an array: memory-mapped where the shared folder is mounted, else read (the caller holds one at a time)."""
     files, path = _fs(uri + kind)
     if os.path.exists(path):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return np.memmap(path, dtype, "r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, dtype)
     return np.frombuffer(files.open_input_file(path).read(), dtype)
 
 
@@ -250,51 +250,76 @@ class Table:
         y = n1 / (n1 + 2 * n2)
         return [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
-    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of keys, 0 where there is none, and [key, 4] of their contexts: the sum of counts, ones, twos, more.
-
-        Where keys have no context (a tail of no bits) these are 0.
-        """
+    def _by_file(self, of: np.ndarray) -> Iterator[tuple]:
+        """The numbers of the keys of each file (of: a key's file), and the file's keys, counts, larger ones and wide contexts."""
+        ends = np.flatnonzero(np.diff(of, append=len(self.paths)))  # keys are sorted, and so are files
+        for i, j in zip(np.concatenate([[0], ends[:-1] + 1]), ends + 1):
+            if of[i] >= 0:
+                path = self.paths[of[i]]
+                yield slice(i, j), _file(path, ".k", np.uint64), _file(path, ".n", np.uint8), _file(path, ".o", np.uint64).reshape(2, -1), _file(path, ".w", np.uint64).reshape(6, -1)
+
+    def counts(self, uniq: np.ndarray) -> np.ndarray:
+        """Counts of sorted keys, 0 where there is none."""
+        out = np.zeros(len(uniq), np.int64)
+        for sel, k, n, big, _ in self._by_file(np.searchsorted(self.starts, uniq, "right") - 1):
+            i = np.minimum(np.searchsorted(k, uniq[sel]), len(k) - 1)
+            out[sel] = np.where(k[i] == uniq[sel], _counts(i, k, n, big), 0)
+        return out
+
+    def level(self, keys: np.ndarray, d: list[float], lower: np.ndarray) -> np.ndarray:
+        """Probabilities of keys in their contexts with discounts ``d``, backed off to ``lower``."""
         uniq, back = _inverse(keys)
-        out, ctx = np.zeros(len(uniq), np.int64), np.zeros((len(uniq), 4), np.int64)
-        shift = np.uint64(self.tail)
+        own, rest_mass = np.zeros(len(uniq)), np.ones(len(uniq))
+        off, shift = np.array([0.0, *d]), np.uint64(self.tail)
         # A context lies in one file: keys before a file's first one may still share the context of it.
-        of = np.searchsorted(self.starts >> shift, uniq >> shift, "right") - 1
-        for f in np.unique(of[of >= 0]):
-            sel, path = np.flatnonzero(of == f), self.paths[f]
-            k, n = _file(path, ".k", np.uint64), _file(path, ".n", np.uint8)
-            big, wide = _file(path, ".o", np.uint64).reshape(2, -1), _file(path, ".w", np.uint64).reshape(6, -1)
+        for sel, k, n, big, wide in self._by_file(np.searchsorted(self.starts >> shift, uniq >> shift, "right") - 1):
             u = uniq[sel]
-            i = np.minimum(np.searchsorted(k, u), len(k) - 1)
-            hit = k[i] == u
-            c = np.where(hit, n[i], 0).astype(np.int64)
-            large = np.flatnonzero(c == 255)
-            c[large] = big[1][np.searchsorted(big[0], u[large])].astype(np.int64)
-            out[sel] = c
-            if not self.tail:
-                continue
             c = u >> shift
             new = np.concatenate([[True], c[1:] != c[:-1]])
             cu, cb = c[new], np.cumsum(new) - 1
-            got = np.zeros((len(cu), 4), np.int64)
+            total, mass, first, size = np.zeros(len(cu)), np.zeros(len(cu)), np.zeros(len(cu), np.int64), np.zeros(len(cu), np.int64)
             at = np.minimum(np.searchsorted(wide[0], cu), max(wide.shape[1] - 1, 0))
             found = wide[0][at] == cu if wide.shape[1] else np.zeros(len(cu), bool)
-            got[found] = wide[2:, at[found]].T.astype(np.int64)
-            # Other contexts have fewer than WIDE words, side by side.
-            rest = np.flatnonzero(~found)
-            s = np.searchsorted(k, cu[rest] << shift)
-            e = np.searchsorted(k, (cu[rest] << shift) | np.uint64((1 << self.tail) - 1), "right")
-            some = e > s
-            if some.any():
-                rest, s, size = rest[some], s[some], (e - s)[some]
-                begin = np.cumsum(size) - size
-                place = np.arange(int(size.sum())) + np.repeat(s - begin, size)
-                c = n[place].astype(np.int64)
-                large = np.flatnonzero(c == 255)
-                c[large] = big[1][np.searchsorted(big[0], k[place[large]])].astype(np.int64)
-                got[rest] = np.stack([np.add.reduceat(x, begin, dtype=np.int64) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
-            ctx[sel] = got[cb]
-        return out[back], ctx[back]
+            total[found] = wide[2, at[found]]
+            mass[found] = off[1:] @ wide[3:, at[found]]
+            # Other contexts have fewer than WIDE words, side by side: where they begin is searched, the rest are steps.
+            live = np.flatnonzero(~found)
+            first[live] = np.searchsorted(k, cu[live] << shift)
+            while len(live):
+                i = first[live] + size[live]
+                live = live[(i < len(k)) & (k[np.minimum(i, len(k) - 1)] >> shift == cu[live])]
+                size[live] += 1
+            some = np.flatnonzero(size)
+            begin = np.cumsum(size[some]) - size[some]
+            place = np.arange(int(size.sum())) + np.repeat(first[some] - begin, size[some])
+            if len(some):
+                x = _counts(place, k, n, big)
+                total[some] = np.add.reduceat(x, begin)
+                mass[some] = np.add.reduceat(off[np.minimum(x, 3)], begin)
+            at, hit = first[cb], found[cb]
+            at[hit] = np.minimum(np.searchsorted(k, u[hit]), len(k) - 1)
+            live = np.flatnonzero(size[cb] > 1)
+            end = first[cb] + size[cb] - 1
+            while len(live):
+                live = live[(k[at[live]] < u[live]) & (at[live] < end[live])]
+                at[live] += 1
+            hit |= size[cb] > 0
+            x = np.zeros(len(u), np.int64)
+            hit = np.flatnonzero(hit)
+            hit = hit[k[at[hit]] == u[hit]]
+            x[hit] = _counts(at[hit], k, n, big)
+            safe, known = np.maximum(total, 1)[cb], (total > 0)[cb]
+            own[sel] = (x - off[np.minimum(x, 3)]) / safe
+            rest_mass[sel] = np.where(known, mass[cb] / safe, 1.0)
+        return own[back] + rest_mass[back] * lower
+
+
+def _counts(at: np.ndarray, k: np.ndarray, n: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """Counts at places of a file; larger ones are looked up by key."""
+    c = n[at].astype(np.int64)
+    large = np.flatnonzero(c == 255)
+    c[large] = big[1][np.searchsorted(big[0], k[at[large]])].astype(np.int64)
+    return c
 
 
 def _inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,31 +354,29 @@ def train(docs: DataFrame) -> dict:
     return {"raw": raw_table, "uni": Table(uni, 0), "bi": Table(bi, BI), "tri": Table(tri, TRI)}
 
 
-def _level(n: np.ndarray, ctx: np.ndarray, d: list[float], lower: np.ndarray) -> np.ndarray:
-    off = np.select([n <= 0, n == 1, n == 2], [0.0, d[0], d[1]], d[2])
-    total = ctx[:, 0]
-    safe = np.maximum(total, 1)
-    gamma = (d[0] * ctx[:, 1] + d[1] * ctx[:, 2] + d[2] * ctx[:, 3]) / safe
-    return np.where(total > 0, np.maximum(n - off, 0) / safe + gamma * lower, lower)
-
-
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every whole text."""
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     raw, uni, bi, tri = (model[x] for x in ("raw", "uni", "bi", "tri"))
     big_n, v = int(raw.sums[1]), int(raw.sums[0])
-    whole = np.array([[uni.sums[1], uni.sums[2], uni.sums[3], uni.sums[6]]])
     d1, d2, d3 = uni.discounts(), bi.discounts(), tri.discounts()
 
+    def last_words(words: np.ndarray) -> np.ndarray:
+        """Probabilities of distinct words by the bigrams that they end."""
+        uniq, back = _inverse(keyed(np.zeros(1, np.uint64), words, BI) << np.uint64(64 - BI))
+        n, off, total = uni.counts(uniq), np.array([0.0, *d1]), max(int(uni.sums[1]), 1)
+        rest = off[1:] @ uni.sums[[2, 3, 6]] / total if uni.sums[1] else 1.0
+        return ((n - off[np.minimum(n, 3)]) / total + rest / (v + 1))[back]
+
     def logs(t: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, base, logs) of tokens."""
         a, b = contexts(t, size)
         words, at = _inverse(t)
-        count = raw(words)[0]
+        count = raw.counts(words)
         base = np.log10((count + 1) / (big_n + v + 1))[at]
-        p = _level(uni(keyed(np.zeros(1, np.uint64), words, BI) << np.uint64(64 - BI))[0], np.broadcast_to(whole, (len(words), 4)), d1, np.full(len(words), 1 / (v + 1)))[at]
-        p = _level(*bi(keyed(mix(b), t, BI)), d2, p)
-        p = _level(*tri(keyed(pair(a, b), t, TRI)), d3, p)
+        p = last_words(words)[at]
+        p = bi.level(keyed(mix(b), t, BI), d2, p)
+        p = tri.level(keyed(pair(a, b), t, TRI), d3, p)
         return (count > 0)[at], base, np.log10(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
