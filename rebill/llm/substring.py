@@ -82,30 +82,27 @@ def _again(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (its first word), n (words), key, own (whether the text has it before) of every paragraph of the least length."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            w = word_table(b["text"])
-            start, size, key = _kept_paragraphs(w)
-            doc = np.searchsorted(w.first, start, "right") - 1
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key), pa.array(_again(doc, key))], names=["doc_id", "pos", "n", "key", "own"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, n int, key long, own boolean")
+    """doc_id, pos (its first word), n (words), key, own (whether the text has it before), buckets of every paragraph of the least length.
 
-
-def _banded(docs: DataFrame) -> DataFrame:
-    """node (key of a paragraph), bucket: those of a slice of texts once each."""
+    Buckets are those of its bands, for one paragraph a key of a slice of texts, else null.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             w = word_table(b["text"])
             start, size, key = _kept_paragraphs(w)
-            key, one = np.unique(key, return_index=True)
-            if len(key):
-                flat, at = _shingles(w, start[one], size[one])
-                bucket = band_keys(signature(flat, at, BANDS * ROWS), BANDS, ROWS).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, BANDS)), pa.array(bucket.ravel())], names=["node", "bucket"])
+            if not len(key):
+                continue
+            doc = np.searchsorted(w.first, start, "right") - 1
+            one = np.sort(np.unique(key, return_index=True)[1])
+            flat, at = _shingles(w, start[one], size[one])
+            bucket = band_keys(signature(flat, at, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+            some = np.zeros(len(key), bool)
+            some[one] = True
+            ends = np.concatenate([[0], np.cumsum(some) * BANDS]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, bucket.ravel(), mask=pa.array(~some))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key), pa.array(_again(doc, key)), lists], names=["doc_id", "pos", "n", "key", "own", "buckets"])
 
-    return docs.select("text").mapInArrow(run, "node long, bucket long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, n int, key long, own boolean, buckets array<long>")
 
 
 def _wanted_sets(rows: DataFrame) -> DataFrame:
@@ -131,9 +128,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, pos, n: the paragraphs that are not the first of their component."""
     docs = docs.where("doc_id is not null and text is not null")
     places = stored(_places(docs))
-    # Banding is done twice, as its rows are many and those that share a bucket are few.
-    mixed = stored(_banded(docs).groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"))
-    inside = stored(_banded(docs).join(mixed, "bucket").select("bucket", "node").distinct())
+    banded = places.where("buckets is not null").select(F.col("key").alias("node"), F.explode("buckets").alias("bucket"))
+    mixed = stored(banded.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket"))
+    inside = stored(banded.join(mixed, "bucket").select("bucket", "node").distinct())
     counts = stored(places.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     wanted = inside.select("node").distinct().join(counts, "node").groupBy("doc_id").agg(F.collect_set("node").alias("wanted"))  # of one text
     sets = stored(_wanted_sets(docs.join(wanted, "doc_id")).dropDuplicates(["node"]))
@@ -153,7 +150,11 @@ def chosen(hs: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """
     use = np.zeros(len(hs), bool)
     if len(hs) >= SPACING:
-        low = np.lib.stride_tricks.sliding_window_view(hs, SPACING).argmin(axis=1) + np.arange(len(hs) - SPACING + 1)
+        low, width = np.arange(len(hs)), 1
+        while width < SPACING:  # the least of two windows that overlap or touch, the left one if they are equal
+            step = min(width, SPACING - width)
+            left, right = low[:-step], low[step:]
+            low, width = np.where(hs[left] <= hs[right], left, right), width + step
     for i, j in zip(first, last):
         if j - i >= SPACING:
             use[low[i:j - SPACING + 1]] = True

@@ -44,3 +44,13 @@ def test_passages_cut_mid_sentence_and_of_short_sentences(spark):
     for i, n in ((2, 51), (3, 51), (4, 51), (9, 60)):
         k = 6 if i == 9 else 2 * i - 4
         assert got[i] == (f"{other[k]} {other[k + 1]}", n)
+
+
+def test_paragraphs_are_hashed_once(spark, monkeypatch):
+    plans = []
+    stored = substring.stored
+    monkeypatch.setattr(substring, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
+    one = " ".join(f"w{i}" for i in range(30)) + "."
+    docs = spark.createDataFrame([(1, one), (2, one + " " + " ".join(f"v{i}" for i in range(20)) + "."), (3, one.replace("w29", "other"))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.pos) for r in substring.repeated(docs).collect()) == [(2, 0), (3, 0)]
+    assert sum("MapInArrow" in p for p in plans) == 2  # places with their bands, and the sets of those that share one
