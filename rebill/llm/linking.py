@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rebill.llm.common import components, dropped, stored
 
 ROUNDS, TRIES = 4, 2  # rounds of centres; centres that a component tries in a round
-LONGS = 16  # of a parity sketch; it tells sets of up to some 1400 shingles at 0.7 from those at 0.8, larger ones less well
+LONGS = 8  # of a parity sketch; it tells sets of up to some 700 shingles at 0.7 from those at 0.8, larger ones less well
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from rebill.llm.common import Words, dropped, mix, read, rolled, runs, sliced, stored, word_table
+from rebill.llm.common import SLICE, Words, dropped, mix, read, rolled, runs, sliced, stored, word_table
 from rebill.llm.linking import link
 from rebill.llm.minhash import band_keys
 
@@ -87,7 +87,7 @@ def _places(docs: DataFrame) -> DataFrame:
     Buckets are those of its bands, for one paragraph a key of a slice of texts, else null.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, SLICE >> 2):
             w = word_table(b["text"])
             start, size, key = _kept_paragraphs(w)
             if not len(key):
