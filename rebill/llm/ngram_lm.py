@@ -30,7 +30,9 @@ CHUNK = 4_000_000  # tokens whose counts are added up in a task before the shuff
 RANGE = 4_000_000  # n-grams of a file, about
 TURN_BITS = 1  # bigrams and trigrams are counted in two ranges of keys, one after the other, so that shuffles stay small
 TRI, BI = 24, 31  # bits of a key that the last word of a trigram, a bigram takes
-BUFFER = 1 << 20  # sorted rows that a task of a table handles at once
+BUFFER = 1 << 20  # rows that a task of a table merges at once, or as many as wait
+PIECE = 512  # sorted rows that are shuffled as one row
+PIECES = "k long, ks binary, xs binary"
 AFTER = 31  # bits of a hash of the word before a bigram
 WIDE = 16  # contexts of as many words or more keep their totals
 
@@ -74,45 +76,102 @@ def _unsigned(k: np.ndarray) -> np.ndarray:
     return k.view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """k and x of BUFFER rows or more at a time, and of the rest."""
-    held, many = [], 0
-    for b in batches:
-        held.append((b["k"].to_numpy(), b["x"].to_numpy()))
-        many += len(b)
-        if many >= BUFFER:
-            yield tuple(np.concatenate(c) for c in zip(*held))
-            held, many = [], 0
-    if many:
-        yield tuple(np.concatenate(c) for c in zip(*held))
+def _packed(k: np.ndarray, x: np.ndarray, parts_bits: int) -> pa.RecordBatch:
+    """Sorted k with its x as pieces of up to PIECE rows, none across two ranges: a row a piece, with its first key."""
+    part = k >> (64 - parts_bits)
+    cuts = np.unique(np.concatenate([np.arange(0, len(k), PIECE), np.flatnonzero(part[1:] != part[:-1]) + 1, [len(k)]]))
+    x = x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.int64)
+    whole = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * c.itemsize), pa.py_buffer(c)]) for c in (np.ascontiguousarray(k), x)]
+    return pa.RecordBatch.from_arrays([pa.array(k[cuts[:-1]]), *(c.cast(pa.binary()) for c in whole)], names=["k", "ks", "xs"])
+
+
+def _rows(pieces: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """k and x of pieces, one piece after another."""
+    def whole(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset:c.offset + len(c) + 1]
+        return np.frombuffer(c.buffers()[2], np.uint8)[at[0]:at[-1]], np.diff(at)
+
+    (ks, k_size), (xs, x_size) = whole(pieces["ks"]), whole(pieces["xs"])
+    if (x_size * 2 == k_size).all():
+        x = xs.view(np.uint32).astype(np.int64)
+    else:
+        cuts = np.concatenate([[0], np.cumsum(x_size)])
+        x = np.concatenate([xs[i:j].view(np.uint32 if 2 * (j - i) == n else np.int64) for i, j, n in zip(cuts[:-1], cuts[1:], k_size)])
+    return ks.view(np.int64), x
+
+
+def _merged(batches: Iterator[pa.RecordBatch], distinct: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each key once, in order, with its sum of x or number of different x, from pieces sorted by their first keys.
+
+    No later piece holds a key below the last first key, so what lies below is whole; the rest waits.
+    """
+    k, x = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    many = 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        k_all, x_all = (np.concatenate(c) for c in zip((k, x), *held))
+        order = np.argsort(k_all)
+        k_all, x_all = k_all[order], x_all[order]
+        if distinct:
+            return _once(k_all, x_all)
+        at = np.flatnonzero(_new(k_all))
+        return k_all[at], np.add.reduceat(x_all, at)
+
+    def final(k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not distinct:
+            return k, x
+        at = np.flatnonzero(_new(k))
+        return k[at], np.diff(np.append(at, len(k)))
+
+    for batch in batches:
+        for i in range(0, len(batch), BUFFER // PIECE):
+            pieces = batch.slice(i, BUFFER // PIECE)
+            held.append(_rows(pieces))
+            many += len(held[-1][0])
+            if many >= max(BUFFER, len(k)):
+                k, x = added()
+                held, many = [], 0
+                whole = int(np.searchsorted(k, pieces["k"][-1].as_py()))
+                if whole:
+                    yield final(k[:whole], x[:whole])
+                    k, x = k[whole:].copy(), x[whole:].copy()
+    if held:
+        k, x = added()
+    if len(k):
+        yield final(k, x)
+
+
+def _new(k: np.ndarray) -> np.ndarray:
+    """Whether each of sorted keys differs from the one before."""
+    return np.concatenate([[True], k[1:] != k[:-1]])[:len(k)]
 
 
 def _once(k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each pair of sorted k and x (of AFTER bits) once, sorted."""
-    new = np.concatenate([[True], k[1:] != k[:-1]])
+    new = _new(k)
     both = np.sort((np.cumsum(new) - 1 << AFTER) | x)
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    both = both[_new(both)]
     return k[new][both >> AFTER], both & ((1 << AFTER) - 1)
 
 
-def counted(docs: DataFrame, order: int, turn: int = 0) -> DataFrame:
-    """k, x of the n-grams of all texts whose key falls into a turn's range, added up in each task.
+def counted(docs: DataFrame, order: int, turn: int = 0, parts_bits: int = 4) -> DataFrame:
+    """Keys k and x of the n-grams of all texts whose key falls into a turn's range, added up in each task, in sorted pieces.
 
-    Of order 1 and 3, x is a count; of order 2, k is a bigram (b, c) and x a hash of a word before it, each pair once.
+    Of order 1 and 3, x is a count; of order 2, k is a bigram (b, c) and x a hash of a word before it, each pair once. A
+    piece is a row: its first key, its keys and its x; it has keys that agree on their first ``parts_bits``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
 
         def flush():
             rows = np.concatenate(held, axis=1)
+            held.clear()
+            k = _signed(rows[0])
             if order == 2:
-                both = pair(rows[0], rows[1])
-                at = np.argsort(both)
-                at = at[np.concatenate([[True], np.diff(both[at]) != 0])]
-                k, x = rows[0, at], rows[1, at].astype(np.int64)
-            else:
-                k, x = np.unique(rows[0], return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(_signed(k)), pa.array(x.astype(np.int64))], names=["k", "x"])
+                at = np.argsort(k)
+                return _packed(*_once(k[at], rows[1, at].astype(np.int64)), parts_bits)
+            return _packed(*np.unique(k, return_counts=True), parts_bits)
 
         for batch in sliced(batches):
             t, size = tokens(batch["text"])
@@ -129,11 +188,22 @@ def counted(docs: DataFrame, order: int, turn: int = 0) -> DataFrame:
         if many:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "k long, x long")
+    return docs.select("text").mapInArrow(run, PIECES)
+
+
+def _pieces(df: DataFrame, parts_bits: int) -> DataFrame:
+    """Rows k, x in sorted pieces."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, x = b["k"].to_numpy(), b["x"].to_numpy()
+            at = np.argsort(k)
+            yield _packed(k[at], x[at], parts_bits)
+
+    return df.mapInArrow(run, PIECES)
 
 
 def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: bool = False) -> DataFrame:
-    """Sort (k, x) by key and write each range of keys as arrays; rows of what was written.
+    """Merge pieces of (k, x) in the order of their keys and write each range of keys as arrays; rows of what was written.
 
     A range has the keys that agree on their first bits, so a context lies in one file. Of a file: keys, counts (a byte,
     larger ones apart) and the totals of contexts of WIDE words or more. ``distinct``: a count is that of different x.
@@ -173,33 +243,19 @@ def _write(df: DataFrame, folder: str, parts_bits: int, tail: int, distinct: boo
             wide.append(rows[:, rows[1] >= WIDE])
 
         words, many = [], 0  # last words of distinct bigrams
-        held_k, held_x = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last key, which the next batch may go on with
         with files.open_output_stream(path + ".k") as keys, files.open_output_stream(path + ".n") as counts:
-            for k, x in _buffered(batches):
-                k, x = np.concatenate([held_k, k]), np.concatenate([held_x, x])
-                if distinct:
-                    k, x = _once(k, x)
-                tail_at = int(np.searchsorted(k, k[-1]))
-                if tail_at == 0 and not distinct:
-                    held_k, held_x = k[:1], np.array([x.sum()])
-                    continue
-                held_k, held_x = (k[tail_at:], x[tail_at:]) if distinct else (k[-1:], x[tail_at:].sum(keepdims=True))
-                if tail_at:
-                    k, x = k[:tail_at], x[:tail_at]
-                    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                    first = k[0] if first is None else first
-                    put(_unsigned(k[at]), np.diff(np.append(at, len(k))) if distinct else np.add.reduceat(x, at))
-                    if distinct:
-                        words.append((_unsigned(k[at]) & low).astype(np.int32))
-                        many += len(at)
-                        if many >= CHUNK:
-                            yield listed(words)
-                            words, many = [], 0
-            if len(held_k):
-                first = held_k[0] if first is None else first
-                put(_unsigned(held_k[:1]), np.array([len(np.unique(held_x)) if distinct else held_x.sum()]))
+            for k, n in _merged(batches, distinct):
+                first = k[0] if first is None else first
+                k = _unsigned(k)
+                put(k, n)
                 if distinct:
-                    yield listed([*words, (_unsigned(held_k[:1]) & low).astype(np.int32)])
+                    words.append((k & low).astype(np.int32))
+                    many += len(k)
+                    if many >= CHUNK:
+                        yield listed(words)
+                        words, many = [], 0
+            if words:
+                yield listed(words)
         if first is None:
             files.delete_file(path + ".k"), files.delete_file(path + ".n")
             return
@@ -341,16 +397,17 @@ def train(docs: DataFrame) -> dict:
     folder = shared_dir(docs.sparkSession)
     # Words are known by 31 bits in bigrams and as their last words, by 64 bits where they are counted.
     turns = range(1 << TURN_BITS)
-    raw = _write(counted(docs, 1), f"{folder}/raw", 4, 0)
+    raw = _write(counted(docs, 1, parts_bits=4), f"{folder}/raw", 4, 0)
     raw_table = Table(raw, 0)
     big_n = int(raw_table.sums[1])
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     bits = max(TURN_BITS + 1, _bits(big_n))
-    bi = union([_write(counted(docs, 2, i), f"{folder}/bi", bits, BI, True) for i in turns])
-    tri = union([_write(counted(docs, 3, i), f"{folder}/tri", bits, TRI) for i in turns])
+    bi = union([_write(counted(docs, 2, i, bits), f"{folder}/bi", bits, BI, True) for i in turns])
+    tri = union([_write(counted(docs, 3, i, bits), f"{folder}/tri", bits, TRI) for i in turns])
     last = bi.where("word is not null").groupBy(F.col("word").cast("long").alias("k")).agg(F.sum("n").alias("x"))
     # Last words are placed at the top of the key, so that they spread over the files.
-    uni = _write(last.select((F.shiftleft("k", 64 - BI)).bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("k"), "x"), f"{folder}/uni", 4, 0)
+    last = last.select((F.shiftleft("k", 64 - BI)).bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("k"), "x")
+    uni = _write(_pieces(last, 4), f"{folder}/uni", 4, 0)
     return {"raw": raw_table, "uni": Table(uni, 0), "bi": Table(bi, BI), "tri": Table(tri, TRI)}
 
 

@@ -3,6 +3,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from rebill.llm import ngram_lm
 
 
@@ -97,3 +100,37 @@ def test_last_words_of_bigrams_are_counted_once_a_file(spark, tmp_path):
         words = [r.word for r in rows if r.path is None]
         assert len(words) <= len(set(words)) * sum(r.path is not None for r in rows)
     assert sum(r.n for rows in out for r in rows if r.path is None) == len(n)
+
+
+def test_ngrams_are_shuffled_in_pieces(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{rnd.randrange(40)}" for _ in range(300)) for _ in range(50)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for order in (1, 2, 3):
+        pieces = ngram_lm.counted(docs, order).collect()
+        ngrams = sum(len(r.ks) // 8 for r in pieces)
+        assert len(pieces) <= ngrams // ngram_lm.PIECE + 2 * 16
+        for r in pieces:
+            k = np.frombuffer(r.ks, np.int64)
+            assert k[0] == r.k and (np.diff(k) >= 0).all() and len(set((k >> 60).tolist())) == 1 and len(r.xs) * 2 == len(r.ks)
+
+
+def test_pieces_are_merged_whatever_their_cuts(monkeypatch):
+    monkeypatch.setattr(ngram_lm, "PIECE", 8)
+    rnd = np.random.default_rng(7)
+    for distinct in (False, True):
+        for size, buffer, large in ((0, 16, 0), (1, 16, 0), (300, 16, 0), (300, 64, 1 << 33), (3000, 1 << 20, 0)):
+            monkeypatch.setattr(ngram_lm, "BUFFER", buffer)
+            rows, runs = defaultdict(list), []
+            for run in range(7 if size else 0):
+                # Some keys fill many pieces of every run.
+                k = np.where(rnd.random(size) < 0.3, rnd.integers(-2, 2, size) << 61, rnd.integers(-99, 99, size) << 55)
+                x = rnd.integers(1, 50, size) + (0 if distinct or run < 3 else large)
+                at = np.argsort(k)
+                runs.append(ngram_lm._packed(k[at], x[at], 2))
+                for i, j in zip(k.tolist(), x.tolist()):
+                    rows[i].append(j)
+            table = pa.Table.from_batches(runs) if runs else pa.table({"k": pa.array([], pa.int64())})
+            batches = table.sort_by("k").combine_chunks().to_batches(max_chunksize=5)
+            got = [(i, j) for k, n in ngram_lm._merged(iter(batches), distinct) for i, j in zip(k.tolist(), n.tolist())]
+            assert got == sorted((i, len(set(j)) if distinct else sum(j)) for i, j in rows.items())
