@@ -27,7 +27,9 @@ from rebill.llm.common import mix, read, shared_dir, sliced, stored, word_table
 
 END, BEGIN = np.uint64(0x1357), np.uint64(0x2468)
 CHUNK = 4_000_000  # tokens whose counts are added up in a task before the shuffle
-RANGE = 4_000_000  # n-grams of a file, about
+RANGE = 4_000_000  # n-grams of a file, about, while there are up to FILES files
+FILES = 32  # beyond them, files grow as well as their number: each look-up of many tokens meets each file
+LOOKUP = 2_500_000  # tokens that are looked up at once
 TURN_BITS = 1  # bigrams and trigrams are counted in two ranges of keys, one after the other, so that shuffles stay small
 TRI, BI = 24, 31  # bits of a key that the last word of a trigram, a bigram takes
 BUFFER = 1 << 20  # rows that a task of a table merges at once, or as many as wait
@@ -307,19 +309,19 @@ class Table:
         return [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
     def _by_file(self, of: np.ndarray) -> Iterator[tuple]:
-        """The numbers of the keys of each file (of: a key's file), and the file's keys, counts, larger ones and wide contexts."""
+        """The numbers of the keys of each file (of: a key's file), and the file's keys, counts and name."""
         ends = np.flatnonzero(np.diff(of, append=len(self.paths)))  # keys are sorted, and so are files
         for i, j in zip(np.concatenate([[0], ends[:-1] + 1]), ends + 1):
             if of[i] >= 0:
                 path = self.paths[of[i]]
-                yield slice(i, j), _file(path, ".k", np.uint64), _file(path, ".n", np.uint8), _file(path, ".o", np.uint64).reshape(2, -1), _file(path, ".w", np.uint64).reshape(6, -1)
+                yield slice(i, j), _file(path, ".k", np.uint64), _file(path, ".n", np.uint8), path
 
     def counts(self, uniq: np.ndarray) -> np.ndarray:
         """Counts of sorted keys, 0 where there is none."""
         out = np.zeros(len(uniq), np.int64)
-        for sel, k, n, big, _ in self._by_file(np.searchsorted(self.starts, uniq, "right") - 1):
+        for sel, k, n, path in self._by_file(np.searchsorted(self.starts, uniq, "right") - 1):
             i = np.minimum(np.searchsorted(k, uniq[sel]), len(k) - 1)
-            out[sel] = np.where(k[i] == uniq[sel], _counts(i, k, n, big), 0)
+            out[sel] = np.where(k[i] == uniq[sel], _counts(i, k, n, path), 0)
         return out
 
     def level(self, keys: np.ndarray, d: list[float], lower: np.ndarray) -> np.ndarray:
@@ -328,8 +330,8 @@ class Table:
         own, rest_mass = np.zeros(len(uniq)), np.ones(len(uniq))
         off, shift = np.array([0.0, *d]), np.uint64(self.tail)
         # A context lies in one file: keys before a file's first one may still share the context of it.
-        for sel, k, n, big, wide in self._by_file(np.searchsorted(self.starts >> shift, uniq >> shift, "right") - 1):
-            u = uniq[sel]
+        for sel, k, n, path in self._by_file(np.searchsorted(self.starts >> shift, uniq >> shift, "right") - 1):
+            u, wide = uniq[sel], _file(path, ".w", np.uint64).reshape(6, -1)
             c = u >> shift
             new = np.concatenate([[True], c[1:] != c[:-1]])
             cu, cb = c[new], np.cumsum(new) - 1
@@ -349,7 +351,7 @@ class Table:
             begin = np.cumsum(size[some]) - size[some]
             place = np.arange(int(size.sum())) + np.repeat(first[some] - begin, size[some])
             if len(some):
-                x = _counts(place, k, n, big)
+                x = _counts(place, k, n, path)
                 total[some] = np.add.reduceat(x, begin)
                 mass[some] = np.add.reduceat(off[np.minimum(x, 3)], begin)
             at, hit = first[cb], found[cb]
@@ -363,18 +365,20 @@ class Table:
             x = np.zeros(len(u), np.int64)
             hit = np.flatnonzero(hit)
             hit = hit[k[at[hit]] == u[hit]]
-            x[hit] = _counts(at[hit], k, n, big)
+            x[hit] = _counts(at[hit], k, n, path)
             safe, known = np.maximum(total, 1)[cb], (total > 0)[cb]
             own[sel] = (x - off[np.minimum(x, 3)]) / safe
             rest_mass[sel] = np.where(known, mass[cb] / safe, 1.0)
         return own[back] + rest_mass[back] * lower
 
 
-def _counts(at: np.ndarray, k: np.ndarray, n: np.ndarray, big: np.ndarray) -> np.ndarray:
+def _counts(at: np.ndarray, k: np.ndarray, n: np.ndarray, path: str) -> np.ndarray:
     """Counts at places of a file; larger ones are looked up by key."""
     c = n[at].astype(np.int64)
     large = np.flatnonzero(c == 255)
-    c[large] = big[1][np.searchsorted(big[0], k[at[large]])].astype(np.int64)
+    if len(large):
+        big = _file(path, ".o", np.uint64).reshape(2, -1)
+        c[large] = big[1][np.searchsorted(big[0], k[at[large]])].astype(np.int64)
     return c
 
 
@@ -389,7 +393,27 @@ def _inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bits(rows: float) -> int:
-    return int(np.clip(np.ceil(np.log2(max(rows / RANGE, 1))), 1, 20))
+    """Bits of the number of files: it grows with the rows up to FILES, with their square root from there on."""
+    files = max(rows / RANGE, 1)
+    return int(np.clip(np.ceil(np.log2(min(files, (files * FILES) ** 0.5))), 1, 20))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_id, tokens and their number a text, of batches together until they have LOOKUP tokens."""
+    held, many = [], 0
+    for b in sliced(batches):
+        held.append((b["doc_id"], *tokens(b["text"])))
+        many += len(held[-1][1])
+        if many >= LOOKUP:
+            yield _joined(held)
+            held, many = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    ids, t, size = zip(*held)
+    return pa.concat_arrays(ids), np.concatenate(t), np.concatenate(size)
 
 
 def train(docs: DataFrame) -> dict:
@@ -437,11 +461,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         return (count > 0)[at], base, np.log10(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            t, size = tokens(b["text"])
+        for ids, t, size in _gathered(batches):
             at = np.cumsum(size) - size
             known, base, log = (np.add.reduceat(x.astype(float), at) for x in logs(t, size))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(log)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(log)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 

@@ -134,3 +134,17 @@ def test_pieces_are_merged_whatever_their_cuts(monkeypatch):
             batches = table.sort_by("k").combine_chunks().to_batches(max_chunksize=5)
             got = [(i, j) for k, n in ngram_lm._merged(iter(batches), distinct) for i, j in zip(k.tolist(), n.tolist())]
             assert got == sorted((i, len(set(j)) if distinct else sum(j)) for i, j in rows.items())
+
+
+def test_few_lookups_and_files(monkeypatch):
+    # Each look-up meets each file, so neither may grow in proportion to the texts.
+    files = ngram_lm.RANGE * 32
+    assert [ngram_lm._bits(files * x) for x in (1 / 16, 1, 64, 64 * 64)] == [1, 5, 8, 11]
+    monkeypatch.setattr(ngram_lm, "LOOKUP", 50)
+    texts = [None if i % 9 == 4 else "a b " * (i % 7) for i in range(200)]
+    table = pa.table({"doc_id": pa.array([None, *range(1, 200)], pa.int64()), "text": texts})
+    got = list(ngram_lm._gathered(iter(table.to_batches(max_chunksize=3))))
+    assert pa.concat_arrays([ids for ids, _, _ in got]).to_pylist() == table["doc_id"].to_pylist()
+    assert np.concatenate([size for _, _, size in got]).tolist() == [len((t or "").split()) + 1 for t in texts]
+    assert all(len(t) == size.sum() and len(ids) == len(size) for ids, t, size in got)
+    assert all(len(t) >= 50 for _, t, _ in got[:-1]) and len(got) < 40
