@@ -1,8 +1,10 @@
 """What queries over larger tables rest on: how work is dealt out, and that heavy expressions are there once."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from rebill.operators import lines
+from rebill.operators import detect, lines, tables
 from rebill.sources.statements import bank_rows
 
 D = "/root/testdata/sf0.001"
@@ -26,3 +28,15 @@ def test_cell_numbers(spark):
     x = spark.createDataFrame([(k,) for k in cases], "cell string").repartition(2).select("cell", lines.cell_number("cell").alias("n"))
     assert {r["cell"]: r["n"] for r in x.collect()} == cases
     assert patterns(x) == 2
+
+
+def test_merchants_are_searched_once(spark):
+    x = spark.createDataFrame([("1,00 RUB, SHOP, x", 1.0)], "d string, a double").repartition(2)
+    assert patterns(x.select(tables.extract_merchant("d", "a").alias("m"))) <= 12
+
+
+def test_price_clusters_read_their_items_once(spark):
+    it = spark.createDataFrame([(1, "norm", "k", date(2026, 1, i + 1), a, 0, i) for i, a in enumerate((-1.0, -1.05, -2.0, -2.0))], "account_id long, kind string, key string, date date, amount double, glue int, row_no int")
+    x = detect.price_clusters(it)
+    assert sorted((r["amount"], r["cluster"]) for r in x.collect()) == [(-2.0, 1), (-1.05, 2), (-1.0, 2)]
+    assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
