@@ -5,6 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from rebill.operators import detect, lines, tables
+from rebill.plans import files
 from rebill.sources.statements import bank_rows
 
 D = "/root/testdata/sf0.001"
@@ -40,3 +41,12 @@ def test_price_clusters_read_their_items_once(spark):
     x = detect.price_clusters(it)
     assert sorted((r["amount"], r["cluster"]) for r in x.collect()) == [(-2.0, 1), (-1.05, 2), (-1.0, 2)]
     assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_stay_where_their_accounts_are(spark):
+    def moves(name):
+        plan = files.QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning(")
+
+    assert moves("csv_lines") == 1
+    assert moves("single_column_dump") <= 3  # the bank rows, once for each of the lines that a query reads
