@@ -50,3 +50,10 @@ def test_files_stay_where_their_accounts_are(spark):
 
     assert moves("csv_lines") == 1
     assert moves("single_column_dump") <= 3  # the bank rows, once for each of the lines that a query reads
+
+
+def test_tables_stay_where_their_accounts_are(spark):
+    from rebill.plans import tables as plans
+
+    plan = plans.QUERIES["assign_cells"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 3  # the bank rows, once for each time that lines are read
